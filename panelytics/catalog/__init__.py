@@ -4,6 +4,7 @@ import importlib
 
 FAMILIES = [
     "core_tail",
+    "panel",
 ]
 
 

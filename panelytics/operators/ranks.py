@@ -92,7 +92,9 @@ def view_bins(
     )
 
 
-def period_bins(panel: DataFrame, nb_bins: int, source: DataFrame | None = None) -> DataFrame:
+def period_bins(
+    panel: DataFrame, nb_bins: int, keys: Sequence[str] = (), source: DataFrame | None = None
+) -> DataFrame:
     """Adds ``date_range``: runs of ``nb_periods // nb_bins`` periods.
 
     Edges are every step-th period and the last one; the last bin is closed.
@@ -101,11 +103,12 @@ def period_bins(panel: DataFrame, nb_bins: int, source: DataFrame | None = None)
     source = panel if source is None else source
     step = F.greatest(F.floor(F.col("nb_periods") / nb_bins), F.lit(1))
     last = F.greatest(F.ceil((F.col("nb_periods") - 1) / step) - 1, F.lit(0))
-    bins = period_table(source).select(
+    bins = period_table(source, keys).select(
+        *keys,
         "date",
         F.least(F.floor((F.col("period_idx") - 1) / step), last).cast("bigint").alias("date_range"),
     )
-    return attach(panel, bins, ["date"], source=source)
+    return attach(panel, bins, [*keys, "date"], source=source)
 
 
 def period_rank_bins(
@@ -118,7 +121,7 @@ def period_rank_bins(
 ) -> DataFrame:
     """Ranks and rank bins over the page-periods of each run of periods."""
     return rank_bins(
-        period_bins(panel, nb_bin_dates), lim, slicing, by=(*keys, "date_range"), tie=tie
+        period_bins(panel, nb_bin_dates, keys), lim, slicing, by=(*keys, "date_range"), tie=tie
     )
 
 

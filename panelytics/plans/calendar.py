@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelytics.plans.joins import attach
 
 
-def period_table(source: DataFrame) -> DataFrame:
-    """(date, period_idx, nb_periods), positions from 1.
+def period_table(source: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, date, period_idx, nb_periods), positions from 1.
 
-    The unpartitioned windows run over the distinct periods only, which are
-    few by nature: months or days since records began.
+    The windows run over the distinct periods only, which are few by nature:
+    months or days since records began, per edition.
     """
-    everything = Window.partitionBy()
-    return source.select("date").where("date is not null").distinct().select(
+    group = Window.partitionBy(*keys)
+    return source.select(*keys, "date").where("date is not null").distinct().select(
+        *keys,
         "date",
-        F.row_number().over(everything.orderBy("date")).cast("bigint").alias("period_idx"),
-        F.count("*").over(everything).alias("nb_periods"),
+        F.row_number().over(group.orderBy("date")).cast("bigint").alias("period_idx"),
+        F.count("*").over(group).alias("nb_periods"),
     )
 
 
 def with_period_idx(
-    panel: DataFrame, source: DataFrame | None = None, calendar: bool = False
+    panel: DataFrame, keys: Sequence[str] = (), source: DataFrame | None = None
 ) -> DataFrame:
-    """Adds ``period_idx``: position among existing periods, or the calendar month.
+    """Adds ``period_idx`` and ``nb_periods``: position among existing periods.
 
     ``source`` gives the periods where ``panel`` may lack some, or where they
     are cheaper to read elsewhere.
     """
-    if calendar:
-        return panel.withColumn("period_idx", month_number(F.col("date")))
     source = panel if source is None else source
-    table = period_table(source).drop("nb_periods")
-    return attach(panel, table, ["date"], source=source)
+    return attach(panel, period_table(source, keys), [*keys, "date"], source=source)
 
 
-def month_number(date):
+def month_number(date: Column | str = "date") -> Column:
     """Months since year 0; differences of first-of-month dates are whole months."""
     return (F.year(date) * 12 + F.month(date)).cast("bigint")
+
+
+def months_apart(late: Column | str, early: Column | str) -> Column:
+    """Whole months between two first-of-month dates."""
+    return month_number(late) - month_number(early)

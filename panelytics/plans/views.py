@@ -5,8 +5,13 @@ The same text runs in Spark and in DuckDB.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from panelytics.operators.hinge import label_volumes
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -110,6 +115,12 @@ def with_needs(names: list[str] | tuple[str, ...]) -> list[str]:
     return ordered
 
 
+# Views that several branches of a plan read; a session computes each once.
+SHARED = ("v_panel", "v_panel_all", "v_daily", "v_succession")
+
+_shared: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """The tables of one folder and the views over them."""
 
@@ -120,7 +131,18 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage output that many queries read, kept for the session.
+
+        It stands for the panel file that a pipeline would write and re-read;
+        lost blocks are rebuilt from their lineage.
+        """
+        slot = (self.spark.sparkContext.applicationId, self.folder, name)
+        if slot not in _shared:
+            _shared[slot] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return _shared[slot]
+
+    def _build(self, name: str) -> DataFrame:
         text = VIEWS[name]
         for each in TABLES:
             if each in text:
@@ -128,3 +150,16 @@ class Tables:
         for each in NEEDS.get(name, ()):
             self.view(each).createOrReplaceTempView(each)
         return self.spark.sql(text)
+
+    def view(self, name: str) -> DataFrame:
+        if name in SHARED:
+            return self.shared(name, lambda: self._build(name))
+        return self._build(name)
+
+    def volumes(self, name: str = "v_panel") -> DataFrame:
+        """The panel labelled core / tail, shared by most analyses."""
+        keep = ["project", "date", "page_id", "page", "tot_count_views", "rank", "volume"]
+        return self.shared(f"volumes of {name}", lambda: label_volumes(self.view(name)).select(*keep))
+
+    def core(self, name: str = "v_panel") -> DataFrame:
+        return self.volumes(name).where("volume = 'core'")
