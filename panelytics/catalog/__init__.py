@@ -5,6 +5,7 @@ import importlib
 FAMILIES = [
     "core_tail",
     "panel",
+    "dynamics",
 ]
 
 

@@ -94,7 +94,7 @@ def s6(t: Tables):
     parts = []
     for low, high in (("1900-01-01", "1996-12-31"), ("1997-01-01", "1998-12-31"), ("1999-01-01", "2999-01-01")):
         folder = tables.stage_folder(t.spark, "batch")
-        tables.write_panel(panel.where(F.col("date").between(low, high)), folder)
+        tables.write_panel(panel.where(F.col("date").between(low, high)), folder, by=["project"])
         parts.append(folder)
     return tables.read_panel(t.spark, *parts).groupBy("project").agg(
         F.count("*").alias("nb_rows"), F.sum("tot_count_views").alias("views")

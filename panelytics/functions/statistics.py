@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def error95(value: Column | str, n: Column | None = None) -> Column:
@@ -30,7 +31,7 @@ def log2_ratio(share: Column, base: Column) -> Column:
     return F.log2(F.try_divide(share, base))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """P(Z > z) of the standard normal; used on one row per test."""
     return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))

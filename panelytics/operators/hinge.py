@@ -26,9 +26,10 @@ def cumulative_curve(
     ``perc_rank`` uses the new rank, or the column ``keep_rank`` of a panel
     that was ranked before it was filtered (then it may exceed 100).
     """
-    ranked = histogram.curve(panel.drop("rank") if keep_rank is None else panel.withColumnRenamed(
-        "rank", "_old_rank"), by, tie=tie)
-    shown = F.col("rank") if keep_rank is None else F.col("_old_rank")
+    if keep_rank is not None:
+        panel = panel.withColumnRenamed(keep_rank, "_old_rank")
+    shown = F.col("rank" if keep_rank is None else "_old_rank")
+    ranked = histogram.curve(panel.drop("rank", "fractional_rank"), by, tie=tie)
     return (
         ranked.withColumn("perc_views", F.col("cum_views") / F.col("tot_views") * 100)
         .withColumn("perc_rank", shown / F.col("nb_pages") * 100)
