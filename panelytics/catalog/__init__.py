@@ -6,6 +6,7 @@ FAMILIES = [
     "core_tail",
     "panel",
     "dynamics",
+    "profiles",
 ]
 
 
