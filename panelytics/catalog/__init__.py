@@ -7,6 +7,7 @@ FAMILIES = [
     "panel",
     "dynamics",
     "profiles",
+    "experiments",
 ]
 
 
