@@ -41,6 +41,23 @@ def h1(t: Tables):
     )
 
 
+@query(
+    "h1_sampled_curve",
+    """WITH rk AS (SELECT *, row_number() OVER (PARTITION BY project, date ORDER BY tot_count_views DESC, page_id) AS rank FROM v_panel),
+    st AS (SELECT CAST(unnest([1, 5, 50]) AS BIGINT) AS sampling), sm AS (SELECT rk.*, sampling FROM rk JOIN st ON rank % sampling = 0 OR rank = 1),
+    cv AS (SELECT *, CAST(SUM(tot_count_views) OVER (PARTITION BY project, date, sampling ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_views,
+        CAST(SUM(tot_count_views) OVER (PARTITION BY project, date, sampling) AS BIGINT) AS tot,
+        COUNT(*) OVER (PARTITION BY project, date, sampling) AS nb FROM sm)
+    SELECT project, date, page_id, sampling, rank, cum_views, round(cum_views / tot * 100, 6) AS perc_views,
+      round(rank / (nb * sampling) * 100, 6) AS perc_rank FROM cv""",
+)
+def h1_sampled(t: Tables):
+    return hinge.sampled_curve(t.view("v_panel"), [1, 5, 50]).select(
+        "project", "date", "page_id", "sampling", "rank", "cum_views",
+        F.round("perc_views", R).alias("perc_views"), F.round("perc_rank", R).alias("perc_rank"),
+    )
+
+
 @query(
     "h2_central_difference",
     f"""WITH {CURVE} SELECT project, date, page_id, rank, round(d_perc_views, 6) AS d_perc_views,
@@ -64,7 +81,7 @@ def h2(t: Tables):
     round(hinge_rank, 6) AS hinge_rank FROM hg""",
 )
 def h3(t: Tables):
-    points = hinge.hinge_points(hinge.cumulative_curve(t.view("v_panel")))
+    points = hinge.hinge_points(t.view("v_panel"))
     return points.select(
         "project", "date", F.round("hinge_perc", R).alias("hinge_perc"), F.round("hinge_rank", R).alias("hinge_rank")
     )
@@ -108,7 +125,7 @@ def h6(t: Tables):
 )
 def h7(t: Tables):
     panel = t.view("v_panel")
-    points = hinge.hinge_points(hinge.cumulative_curve(panel))
+    points = hinge.hinge_points(panel)
     sizes = hinge.volume_sizes(points, panel.groupBy("project", "date").agg(F.count("*").alias("nb_pages")))
     summary = hinge.hinge_summary(points, ["project"]).join(
         sizes.groupBy("project").agg(
@@ -181,14 +198,14 @@ def h10(t: Tables):
     )
 
 
-TOPS = [100, 500, 1000]
+TOPS = [20, 50, 90]
 
 
 @query(
     "h11_common_maximisation",
-    """WITH rk AS (SELECT *, row_number() OVER (PARTITION BY project, date ORDER BY tot_count_views DESC, page_id) AS rank FROM v_panel_all),
-    ns AS (SELECT CAST(unnest([100, 500, 1000]) AS BIGINT) AS top_n),
-    np AS (SELECT COUNT(DISTINCT date) AS nb_periods FROM v_panel_all),
+    """WITH rk AS (SELECT *, row_number() OVER (PARTITION BY project, date ORDER BY tot_count_views DESC, page_id) AS rank FROM v_supply),
+    ns AS (SELECT CAST(unnest([20, 50, 90]) AS BIGINT) AS top_n),
+    np AS (SELECT COUNT(DISTINCT date) AS nb_periods FROM v_supply),
     sd AS (SELECT project, date, page_id, top_n, 'core' AS volume FROM rk JOIN ns ON rank <= top_n
            UNION ALL SELECT project, date, page_id, top_n, 'tail' FROM rk JOIN ns ON rank >= top_n),
     pg AS (SELECT project, top_n, volume, page_id, COUNT(*) AS c FROM sd GROUP BY ALL),
@@ -199,7 +216,7 @@ TOPS = [100, 500, 1000]
     FROM pm JOIN cm USING (project, top_n, volume) GROUP BY ALL""",
 )
 def h11(t: Tables):
-    share = hinge.common_share(ranks.rank_rows(t.view("v_panel_all")), TOPS)
+    share = hinge.common_share(ranks.rank_rows(t.view("v_supply")), TOPS)
     return share.select(
         "project", "top_n", "volume", "nb_common",
         F.round("avg_share", R).alias("avg_share"), F.round("std_share", R).alias("std_share"),

@@ -400,7 +400,7 @@ def o12(t: Tables):
 
 @query(
     "o13_always_present_share",
-    f"""WITH {curve_sql('v_daily')}, np AS (SELECT project, COUNT(DISTINCT date) AS np FROM v_daily GROUP BY 1),
+    f"""WITH {curve_sql('v_supply')}, np AS (SELECT project, COUNT(DISTINCT date) AS np FROM v_supply GROUP BY 1),
     pc2 AS (SELECT project, volume, page_id, COUNT(*) AS c FROM vol GROUP BY 1, 2, 3),
     cm AS (SELECT project, volume, CAST(COUNT_IF(c = np) AS BIGINT) AS nb_common FROM pc2 JOIN np USING (project) GROUP BY 1, 2),
     pm AS (SELECT project, volume, date, COUNT(*) AS nb FROM vol GROUP BY 1, 2, 3)
@@ -408,7 +408,7 @@ def o12(t: Tables):
       round(stddev_samp(nb_common / nb * 100), 6) AS std_share FROM pm JOIN cm USING (project, volume) GROUP BY 1, 2""",
 )
 def o13(t: Tables):
-    share = overlap.always_present_share(t.volumes("v_daily"), source=t.view("v_daily"))
+    share = overlap.always_present_share(t.volumes("v_supply"), source=t.view("v_supply"))
     return rounded(share, 6, "avg_share", "std_share")
 
 
@@ -499,13 +499,13 @@ def l6(t: Tables):
 
 @query(
     "l7_stable_views",
-    f"""WITH {curve_sql('v_daily')}, lb AS (SELECT project, date, page_id, tot_count_views, volume FROM vol
+    f"""WITH {curve_sql('v_supply')}, lb AS (SELECT project, date, page_id, tot_count_views, volume FROM vol
       UNION ALL SELECT project, date, page_id, tot_count_views, 'all' FROM vol),
-    np AS (SELECT project, COUNT(DISTINCT date) AS np FROM v_daily GROUP BY 1),
+    np AS (SELECT project, COUNT(DISTINCT date) AS np FROM v_supply GROUP BY 1),
     oc AS (SELECT lb.*, COUNT(*) OVER (PARTITION BY project, volume, page_id) = np AS stable FROM lb JOIN np USING (project))
     SELECT project, volume, stable, date, round(avg(tot_count_views), 6) AS avg_views,
       round(stddev_samp(tot_count_views) * 1.96 / sqrt(COUNT(*)), 6) AS error, COUNT(*) AS nb_pages FROM oc GROUP BY 1, 2, 3, 4""",
 )
 def l7(t: Tables):
-    rows = lifetime.with_baseline(t.volumes("v_daily"))
-    return rounded(lifetime.stable_views(rows, source=t.view("v_daily")), 6, "avg_views", "error")
+    rows = lifetime.with_baseline(t.volumes("v_supply"))
+    return rounded(lifetime.stable_views(rows, source=t.view("v_supply")), 6, "avg_views", "error")

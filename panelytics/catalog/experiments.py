@@ -51,29 +51,34 @@ def m1(t: Tables):
     return pairs.edition_totals(panel, known)
 
 
-SOURCES = """so AS (SELECT source AS project, COUNT(*) AS nb_articles, CAST(SUM(n_chars) AS BIGINT) AS nb_views, avg(n_chars) AS avg_views FROM documents GROUP BY 1)"""
+SOURCES = """so AS (SELECT source || '.' || lang AS project, COUNT(*) AS nb_articles, CAST(SUM(n_chars) AS BIGINT) AS nb_views, avg(n_chars) AS avg_views FROM documents GROUP BY 1)"""
+
+
+def sources(t: Tables) -> DataFrame:
+    """Every source and language as an edition: sizes differ, but not by much."""
+    return t.view("v_editions").select(F.concat_ws(".", "source", "project").alias("project"), "counts")
 
 
 @query(
     "m2_similar_editions",
-    f"WITH {SOURCES}, {pairs_sql('so', ['nb_articles', 'nb_views'], 0.9, 'sp')} SELECT * FROM sp",
+    f"WITH {SOURCES}, {pairs_sql('so', ['nb_articles', 'nb_views'], 0.7, 'sp')} SELECT * FROM sp",
 )
 def m2(t: Tables):
-    counts = t.view("v_editions").select(F.col("source").alias("project"), "counts")
+    counts = sources(t)
     return pairs.similar_pairs(
-        pairs.edition_totals(counts, views="counts"), ["nb_articles", "nb_views"], 0.9
+        pairs.edition_totals(counts, views="counts"), ["nb_articles", "nb_views"], 0.7
     ).drop("pairs")
 
 
 @query(
     "m3_pairs_by_mean_views",
-    f"""WITH {SOURCES}, {pairs_sql('so', ['nb_articles', 'nb_views'], 0.9, 'sp')}, {pairs_sql('so', ['avg_views'], 0.85, 'av')},
+    f"""WITH {SOURCES}, {pairs_sql('so', ['nb_articles', 'nb_views'], 0.7, 'sp')}, {pairs_sql('so', ['avg_views'], 0.85, 'av')},
     k AS (SELECT lang1, lang2 FROM av SEMI JOIN sp USING (lang1, lang2))
     SELECT lang1 || '-' || lang2 AS pair, lang1, lang2 FROM k UNION ALL SELECT lang2 || '-' || lang1, lang1, lang2 FROM k""",
 )
 def m3(t: Tables):
-    counts = t.view("v_editions").select(F.col("source").alias("project"), "counts")
-    matched = pairs.similar_pairs(pairs.edition_totals(counts, views="counts"), ["nb_articles", "nb_views"], 0.9)
+    counts = sources(t)
+    matched = pairs.similar_pairs(pairs.edition_totals(counts, views="counts"), ["nb_articles", "nb_views"], 0.7)
     stats = counts.groupBy("project").agg(F.avg("counts").alias("avg_views"))
     found = pairs.pairs_by_mean_views(stats, matched)
     return found.select(F.array_join("pairs", "-").alias("pair"), "lang1", "lang2")
@@ -173,7 +178,7 @@ def m9(t: Tables):
         MAX(1 / n) FILTER (WHERE p = 1 AND t = 0) AS i10, MAX(1 / n) FILTER (WHERE p = 1 AND t = 1) AS i11 FROM c),
     o AS (SELECT 'intercept' AS term, m00 AS coef, i00 AS s FROM r UNION ALL SELECT 'post', m10 - m00, i00 + i10 FROM r
         UNION ALL SELECT 'treated', m01 - m00, i00 + i01 FROM r UNION ALL SELECT 'post:treated', m11 - m10 - m01 + m00, i00 + i01 + i10 + i11 FROM r)
-    SELECT term, round(coef, 6) AS coef, round(sqrt(rss / (a.n - 4) * s), 6) AS std_err, round(coef / sqrt(rss / (a.n - 4) * s), 6) AS t_value,
+    SELECT term, round(coef, 6) AS coef, round(sqrt(rss / NULLIF(a.n - 4, 0) * s), 6) AS std_err, round(coef / sqrt(rss / NULLIF(a.n - 4, 0) * s), 6) AS t_value,
       a.n, round(1 - rss / tss, 6) AS r_squared FROM o, r, a""",
 )
 def m10(t: Tables):

@@ -434,15 +434,15 @@ def e15(t: Tables):
 
 @query(
     "e16_always_present_topics",
-    f"""WITH {curve_sql('v_daily')}, np AS (SELECT project, COUNT(DISTINCT date) AS np FROM v_daily GROUP BY 1),
+    f"""WITH {curve_sql('v_supply')}, np AS (SELECT project, COUNT(DISTINCT date) AS np FROM v_supply GROUP BY 1),
     lb AS (SELECT project, page_id, volume FROM vol UNION ALL SELECT project, page_id, 'all' FROM vol),
     ap AS (SELECT project, volume, page_id FROM lb JOIN np USING (project) GROUP BY ALL HAVING COUNT(*) >= MAX(np)),
     c AS (SELECT project, volume, topic, COUNT(*) AS nb_pages FROM ap JOIN (SELECT DISTINCT page_id, topic FROM v_topics) USING (page_id) GROUP BY ALL)
     SELECT *, round(nb_pages / SUM(nb_pages) OVER (PARTITION BY project, volume) * 100, 6) AS perc FROM c""",
 )
 def e16(t: Tables):
-    rows = lifetime.with_baseline(t.volumes("v_daily"))
-    always = overlap.always_present(rows, source=t.view("v_daily")).select("project", "volume", "page_id")
+    rows = lifetime.with_baseline(t.volumes("v_supply"))
+    always = overlap.always_present(rows, source=t.view("v_supply")).select("project", "volume", "page_id")
     counts = enrich.topic_counts(always, t.view("v_topics"), ["project", "volume"])
     return rounded(overlap.with_share(counts, ["project", "volume"]), 6, "perc")
 

@@ -68,21 +68,72 @@ def central_difference(df: DataFrame, x: str, by: Sequence[str] = PANEL_KEYS, or
     )
 
 
-def hinge_points(curve: DataFrame, eps: float = 1, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
+# Float noise in ``d_perc_views`` stays far below this.
+NOISE = 1e-12
+# Positions of a tie block that are written out at a time.
+CHUNK = 100_000
+
+
+def hinge_points(
+    panel: DataFrame,
+    eps: float = 1,
+    by: Sequence[str] = PANEL_KEYS,
+    tie: Sequence[str] | None = None,
+) -> DataFrame:
     """First rank whose slope is at most 100 * eps / number of rows.
 
-    Groups with fewer than three rows or without such a rank give no row.
+    Groups with fewer than three rows or without such a rank give no row. Only
+    the weight histogram is read, see ``flat_points``.
     """
-    flat = curve.where(F.col("d_perc_views") <= F.lit(100 * eps) / F.col("nb_pages"))
-    return flat.groupBy(*by).agg(_first_point()).select(*by, "_first.*")
+    return flat_points(histogram.panel_blocks(panel, by, WEIGHT, tie), by, [eps]).drop("eps")
+
 
+def flat_points(blocks: DataFrame, by: Sequence[str], eps: Sequence[float], step: Column | None = None) -> DataFrame:
+    """The hinge of every group and slope, from tie blocks alone.
 
-def _first_point(extra: Column | None = None) -> Column:
+    Inside a block the slope is constant up to float noise and lower only at
+    its last position. If the constant is clear of the threshold, the first
+    and the last positions decide; a block within the noise is written out in
+    full, in chunks that are spread over the tasks. Every position is judged
+    by the same float expression as a row would be.
+    """
+    step = F.lit(1).cast("bigint") if step is None else step
+    w, total, nb, ties = F.col(WEIGHT), F.col("tot_views"), F.col("nb_pages"), F.col("_ties")
+    threshold = 100 * F.col("eps") / nb
+    near = F.abs(w / total * 100 - threshold) <= NOISE
+    one = F.lit(1).cast("bigint")
+    ends = F.array_distinct(F.array(one, F.least(one + 1, ties), ties))
+    spans = F.when(
+        near,
+        F.transform(
+            F.sequence(one, ties, F.lit(CHUNK).cast("bigint")),
+            lambda s: F.struct(s.alias("low"), F.least(s + (CHUNK - 1), ties).alias("high")),
+        ),
+    ).otherwise(F.transform(ends, lambda s: F.struct(s.alias("low"), s.alias("high"))))
+    spread = (
+        blocks.withColumn("eps", F.explode(F.array(*[F.lit(float(e)) for e in eps])))
+        .withColumn("_span", F.explode(spans))
+        .repartition(*by, WEIGHT, "_span")
+        .withColumn("_j", F.explode(F.sequence("_span.low", "_span.high")))
+    )
+    j = F.col("_j")
+    spot = F.col("_above") + j
+    cum = F.col("_mass_above") + j * w
+    following = F.when(j < ties, w).otherwise(F.col("_next_block"))
+    fall = ((cum + following) / total * 100 - (cum - w) / total * 100) / 2
+    rank = F.when((step == 1) | (spot == 1), spot).otherwise((spot - 1) * step)
+    flat = spread.where((spot > 1) & (spot < nb) & (fall <= threshold))
+    point = F.struct(
+        (cum / total * 100).alias("hinge_perc"), (rank / (nb * step) * 100).alias("hinge_rank")
+    )
+    return flat.groupBy(*by, "eps").agg(F.min_by(point, spot).alias("_first")).select(*by, "eps", "_first.*")
+
+
+def hinge_of_curve(curve: DataFrame, eps: float = 1, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
+    """The hinge read from the rows of a curve, where ``perc_rank`` is not the new rank."""
+    flat = curve.where(F.col("d_perc_views") <= F.lit(100 * eps) / F.col("nb_pages"))
     point = F.struct(F.col("perc_views").alias("hinge_perc"), F.col("perc_rank").alias("hinge_rank"))
-    if extra is not None:
-        point = F.when(extra, point)
-        return F.min_by(point, F.when(extra, F.col("rank"))).alias("_first")
-    return F.min_by(point, "rank").alias("_first")
+    return flat.groupBy(*by).agg(F.min_by(point, "rank").alias("_first")).select(*by, "_first.*")
 
 
 def label_volumes(
@@ -94,7 +145,8 @@ def label_volumes(
 ) -> DataFrame:
     """Every row of a group that has a hinge, with ``volume`` core or tail."""
     curve = cumulative_curve(panel, by, tie, keep_rank)
-    labelled = attach(curve, hinge_points(curve, eps, by), by, source=panel)
+    points = hinge_points(panel, eps, by, tie) if keep_rank is None else hinge_of_curve(curve, eps, by)
+    labelled = attach(curve, points, by, source=panel)
     core = F.col("perc_views") <= F.col("hinge_perc")
     return labelled.withColumn("volume", F.when(core, "core").otherwise("tail"))
 
@@ -108,94 +160,74 @@ def tail(panel: DataFrame, **options) -> DataFrame:
 
 
 def hinge_by_slope(panel: DataFrame, eps: Sequence[float], by: Sequence[str] = PANEL_KEYS) -> DataFrame:
-    """Hinge for several slopes at once: one conditional aggregate per slope."""
-    curve = cumulative_curve(panel, by)
-    aggs = [
-        _first_point(F.col("d_perc_views") <= F.lit(100 * e) / F.col("nb_pages")).alias(f"_e{i}")
-        for i, e in enumerate(eps)
-    ]
-    wide = curve.groupBy(*by).agg(*aggs)
-    each = F.array(
-        *[F.struct(F.lit(float(e)).alias("eps"), F.col(f"_e{i}").alias("p")) for i, e in enumerate(eps)]
-    )
-    return (
-        wide.select(*by, F.explode(each).alias("_s"))
-        .where("_s.p is not null")
-        .select(*by, "_s.eps", "_s.p.hinge_perc", "_s.p.hinge_rank")
-    )
+    """Hinge for several slopes in one job, keyed by ``eps``."""
+    return flat_points(histogram.panel_blocks(panel, by, WEIGHT), by, eps)
 
 
-def sampled_curve(
-    panel: DataFrame,
-    steps: Sequence[int],
-    by: Sequence[str] = PANEL_KEYS,
-    tie: Sequence[str] = ("page_id",),
-) -> DataFrame:
-    """The curve over ranks 1, k, 2k, .. for every step k, keyed by ``sampling``.
+def sampled_blocks(panel: DataFrame, steps: Sequence[int], by: Sequence[str] = PANEL_KEYS) -> DataFrame:
+    """Weight histogram of the ranks 1, k, 2k, .. for every step k.
 
-    How many sampled ranks a tie block holds is arithmetic, so the running
-    totals come from the weight histogram and all steps share one pass.
+    How many sampled ranks a tie block holds is arithmetic, so all steps come
+    from the one histogram of the panel.
     """
     ks = F.array(*[F.lit(int(k)).cast("bigint") for k in steps])
-
-    def upto(r: Column) -> Column:
-        """Sampled ranks among 1..r for step ``sampling``."""
-        k = F.col("sampling")
-        return F.floor(r / k) + F.when((k > 1) & (r >= 1), 1).otherwise(0)
-
-    cells = panel.groupBy(*by, WEIGHT).agg(F.count("*").alias("_n"))
-    blocks = histogram.weight_blocks(cells, by, WEIGHT)
-    blocks = blocks.withColumn("sampling", F.explode(ks)).select(
-        *by,
-        WEIGHT,
-        "sampling",
-        "_above",
-        (upto(F.col("_above") + F.col("_ties")) - upto(F.col("_above"))).alias("_taken"),
-    ).where("_taken > 0")
+    above, ties = F.col("_above"), F.col("_ties")
+    taken = (
+        histogram.panel_blocks(panel, by, WEIGHT)
+        .withColumn("sampling", F.explode(ks))
+        .select(*by, WEIGHT, "sampling", above, (sampled_upto(above + ties) - sampled_upto(above)).alias("_taken"))
+        .where("_taken > 0")
+    )
     group = Window.partitionBy(*by, "sampling")
     down = group.orderBy(F.col(WEIGHT).desc())
     mass = F.col("_taken") * F.col(WEIGHT)
-    blocks = blocks.select(
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    return taken.select(
         *by,
         WEIGHT,
         "sampling",
-        "_taken",
-        upto(F.col("_above")).alias("_taken_above"),
-        F.coalesce(F.sum(mass).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mass_above"),
-        F.sum("_taken").over(group).alias("nb_sampled"),
+        F.col("_taken").alias("_ties"),
+        sampled_upto(above).alias("_above"),
+        F.coalesce(F.sum(mass).over(before), F.lit(0)).alias("_mass_above"),
+        F.sum("_taken").over(group).alias("nb_pages"),
         F.sum(mass).over(group).alias("tot_views"),
         F.lead(WEIGHT).over(down).alias("_next_block"),
     )
-    ranked = histogram.curve(panel, by, WEIGHT, tie).drop("tot_views", "cum_views", "next_views")
+
+
+def sampled_upto(rank: Column) -> Column:
+    """Sampled ranks among 1..rank for the step in ``sampling``."""
+    k = F.col("sampling")
+    return F.floor(rank / k) + F.when((k > 1) & (rank >= 1), 1).otherwise(0)
+
+
+def sampled_curve(
+    panel: DataFrame,
+    steps: Sequence[int],
+    by: Sequence[str] = PANEL_KEYS,
+    tie: Sequence[str] = ("page_id",),
+) -> DataFrame:
+    """Rows of the curve over ranks 1, k, 2k, .. for every step k, keyed by ``sampling``."""
+    ks = F.array(*[F.lit(int(k)).cast("bigint") for k in steps])
+    ranked = histogram.curve(panel, by, WEIGHT, tie).select(*panel.columns, "rank")
     sampled = ranked.withColumn(
         "sampling", F.explode(F.filter(ks, lambda k: (F.col("rank") % k == 0) | (F.col("rank") == 1)))
     )
-    rows = sampled.join(blocks, [*by, WEIGHT, "sampling"])
-    into = upto(F.col("rank")) - F.col("_taken_above")
-    w = F.col(WEIGHT)
-    total = F.col("tot_views")
-    rows = rows.withColumn("cum_views", F.col("_mass_above") + into * w).withColumn(
-        "_next", F.when(into < F.col("_taken"), w).otherwise(F.col("_next_block"))
-    )
-    spot = upto(F.col("rank"))
-    inner = (spot > 1) & (spot < F.col("nb_sampled"))
-    before = (F.col("cum_views") - w) / total * 100
-    after = (F.col("cum_views") + F.col("_next")) / total * 100
-    return rows.select(
+    rows = sampled.join(sampled_blocks(panel, steps, by), [*by, WEIGHT, "sampling"])
+    into = sampled_upto(F.col("rank")) - F.col("_above")
+    return rows.withColumn("cum_views", F.col("_mass_above") + into * F.col(WEIGHT)).select(
         *panel.columns,
         "sampling",
         "rank",
         "cum_views",
-        (F.col("cum_views") / total * 100).alias("perc_views"),
-        (F.col("rank") / (F.col("nb_sampled") * F.col("sampling")) * 100).alias("perc_rank"),
-        F.col("nb_sampled").alias("nb_pages"),
-        F.when(inner, (after - before) / 2).alias("d_perc_views"),
+        (F.col("cum_views") / F.col("tot_views") * 100).alias("perc_views"),
+        (F.col("rank") / (F.col("nb_pages") * F.col("sampling")) * 100).alias("perc_rank"),
     )
 
 
 def hinge_by_sampling(panel: DataFrame, steps: Sequence[int], by: Sequence[str] = PANEL_KEYS) -> DataFrame:
-    """Hinge for several sampling steps in one job."""
-    return hinge_points(sampled_curve(panel, steps, by), 1, (*by, "sampling"))
+    """Hinge for several sampling steps in one job, keyed by ``sampling``."""
+    return flat_points(sampled_blocks(panel, steps, by), (*by, "sampling"), [1], F.col("sampling")).drop("eps")
 
 
 def hinge_summary(hinges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

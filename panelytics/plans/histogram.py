@@ -34,6 +34,39 @@ def tie_cell(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.substring(F.md5(F.col(column).cast("string")), 1, HASH_CELL_DIGITS), F.lit(""))
 
 
+def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
+def rows_with_cell(panel: DataFrame, by: Sequence[str], weight: str, tie: Sequence[str]) -> DataFrame:
+    """Rows that can be ranked, with the cell of their id.
+
+    Said once up front, the filter is the same in every branch of a plan, so
+    the exchanges of rows and cells can be reused.
+    """
+    return _complete(panel, [*by, weight]).withColumn("_cell", tie_cell(panel, tie[0]))
+
+
+def count_cells(rows: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
+    return rows.groupBy(*by, weight, "_cell").agg(F.count("*").alias("_n"))
+
+
+def panel_blocks(
+    panel: DataFrame, by: Sequence[str] = PANEL_KEYS, weight: str = WEIGHT, tie: Sequence[str] | None = None
+) -> DataFrame:
+    """The weight histogram of a panel with its running totals.
+
+    With ``tie`` it is summed from the cells that ``curve`` counts, so a plan
+    that has both reads the panel once for them.
+    """
+    if tie is not None:
+        return weight_blocks(count_cells(rows_with_cell(panel, by, weight, tie), by, weight), by, weight)
+    rows = _complete(panel, [*by, weight])
+    return weight_blocks(rows.groupBy(*by, weight).agg(F.count("*").alias("_n")), by, weight)
+
+
 def weight_blocks(cells: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
     """One row per distinct weight: rows and weight above it, and group totals."""
     group = Window.partitionBy(*by)
@@ -65,12 +98,12 @@ def curve(
     Adds ``rank`` (weight descending, then tie order), ``fractional_rank``
     (mean rank of the ties), ``cum_views``, ``tot_views``, ``nb_pages`` and
     ``next_views`` (weight at the following rank). The tie order is the id
-    itself for integer ids and (md5 prefix, id) for others. ``by`` and
-    ``weight`` must not be null. With ``lim`` only the first ``lim`` ranks
+    itself for integer ids and (md5 prefix, id) for others. Rows without a
+    group or a weight have no rank and are left out. With ``lim`` only the first ``lim`` ranks
     of each group are kept, and cells beyond them never meet the rows.
     """
-    rows = panel.withColumn("_cell", tie_cell(panel, tie[0]))
-    cells = rows.groupBy(*by, weight, "_cell").agg(F.count("*").alias("_n"))
+    rows = rows_with_cell(panel, by, weight, tie)
+    cells = count_cells(rows, by, weight)
     blocks = weight_blocks(cells, by, weight)
     before = (
         Window.partitionBy(*by, weight).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,8 +143,8 @@ def fractional_ranks(
     panel: DataFrame, by: Sequence[str] = PANEL_KEYS, weight: str = WEIGHT
 ) -> DataFrame:
     """Only the mean rank of the ties: no order inside ties is needed."""
-    cells = panel.groupBy(*by, weight).agg(F.count("*").alias("_n"))
-    blocks = weight_blocks(cells, by, weight).select(
+    panel = _complete(panel, [*by, weight])
+    blocks = panel_blocks(panel, by, weight).select(
         *by,
         weight,
         (F.col("_above") + (F.col("_ties") + 1) / F.lit(2.0)).alias("fractional_rank"),

@@ -44,6 +44,11 @@ VIEWS: dict[str, str] = {
         SELECT 'all' AS project, date, page_id, page, CAST(SUM(tot_count_views) AS BIGINT) AS tot_count_views
         FROM v_panel GROUP BY 1, 2, 3, 4
     """,
+    "v_supply": """
+        SELECT 'all' AS project, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_suppkey AS page_id,
+               's' || CAST(l_suppkey AS STRING) AS page, CAST(SUM(l_quantity) AS BIGINT) AS tot_count_views
+        FROM lineitem GROUP BY 1, 2, 3, 4
+    """,
     "v_daily": """
         SELECT event_type AS project, CAST(ts AS DATE) AS date, user_id AS page_id,
                'u' || CAST(user_id AS STRING) AS page, CAST(COUNT(*) AS BIGINT) AS tot_count_views
@@ -116,7 +121,7 @@ def with_needs(names: list[str] | tuple[str, ...]) -> list[str]:
 
 
 # Views that several branches of a plan read; a session computes each once.
-SHARED = ("v_panel", "v_panel_all", "v_daily", "v_succession")
+SHARED = ("v_panel", "v_panel_all", "v_daily", "v_supply", "v_succession")
 
 _shared: dict[tuple, DataFrame] = {}
 
