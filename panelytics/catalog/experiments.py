@@ -11,6 +11,7 @@ from panelytics.catalog.dynamics import CURVE, rounded
 from panelytics.catalog.registry import curve_sql, query
 from panelytics.operators import filters, hinge, models, pairs, ranks, transitions
 from panelytics.plans.views import Tables
+from panelytics.session import stage
 
 # ------------------------------------------------------------ matched pairs
 
@@ -33,7 +34,9 @@ MATCHED = f"{ITEM_PANEL}, {TOTALS}, {pairs_sql('et', ['nb_articles', 'nb_views']
 
 
 def items(t: Tables) -> DataFrame:
-    return t.view("v_panel").join(t.view("v_meta").select("page_id", "item_id"), "page_id")
+    return t.shared(
+        "items", lambda: t.view("v_panel").join(t.view("v_meta").select("page_id", "item_id"), "page_id")
+    )
 
 
 def totals(t: Tables) -> DataFrame:
@@ -98,7 +101,7 @@ def m4(t: Tables):
     )
     meta = t.view("v_meta").select("page_id", "item_id")
     known = counts.select("project", "page_id").distinct().join(meta, "page_id")
-    return ranks.rank_rows(pairs.item_panel(counts, known))
+    return ranks.rank_rows(stage(pairs.item_panel(counts, known), "items"))
 
 
 LABELLED_ITEMS = f"{MATCHED}, {curve_sql('ip')}"

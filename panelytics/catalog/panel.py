@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelytics.catalog.registry import query
 from panelytics.operators import filters, identity, ranks
 from panelytics.plans.views import Tables
+from panelytics.session import stage_folder
 from panelytics.sources import dumps, tables
 
 # ---------------------------------------------------------------- sources
@@ -18,7 +19,7 @@ from panelytics.sources import dumps, tables
       access_type, counts, date FROM v_counts""",
 )
 def s1(t: Tables):
-    folder = tables.stage_folder(t.spark, "counts")
+    folder = stage_folder(t.spark, "counts")
     counts = t.view("v_counts")
     text = F.concat_ws(
         " ", "project", F.replace("page", F.lit(" "), F.lit("_")), F.coalesce("page_id", F.lit("null")),
@@ -33,7 +34,7 @@ def s1(t: Tables):
 
 @query("s2_transition_dump_scan", "SELECT 'aa' AS project, date, prev, curr, type, count FROM v_links")
 def s2(t: Tables):
-    folder = tables.stage_folder(t.spark, "links")
+    folder = stage_folder(t.spark, "links")
     text = F.concat_ws("\t", "prev", "curr", "type", F.col("count").cast("string"))
     name = F.concat(F.lit("clickstream-aawiki-"), F.date_format("date", "yyyy-MM"))
     t.view("v_links").select(text.alias("value"), name.alias("dump")).repartition("dump").write.partitionBy(
@@ -47,7 +48,7 @@ def s2(t: Tables):
     "SELECT project, date, page_id, page, tot_count_views FROM v_panel WHERE project = 'A' AND date >= DATE '1998-01-01'",
 )
 def s3(t: Tables):
-    folder = tables.stage_folder(t.spark, "panel")
+    folder = stage_folder(t.spark, "panel")
     tables.write_panel(t.view("v_panel"), folder)
     panel = tables.read_panel(t.spark, folder)
     return panel.where("project = 'A' and date >= date'1998-01-01'").select(
@@ -60,7 +61,7 @@ def s3(t: Tables):
     "SELECT revision_id, score_label FROM v_quality",
 )
 def s4(t: Tables):
-    folder = tables.stage_folder(t.spark, "quality")
+    folder = stage_folder(t.spark, "quality")
     t.view("v_quality").select(F.to_json(F.struct("revision_id", "page_id", "score_label"))).write.text(
         folder, compression="gzip"
     )
@@ -74,7 +75,7 @@ def s4(t: Tables):
     FROM documents WHERE lang = 'fr'""",
 )
 def s5(t: Tables):
-    folder = tables.stage_folder(t.spark, "ranked-quality")
+    folder = stage_folder(t.spark, "ranked-quality")
     t.table("documents").select(
         F.col("lang").alias("language"),
         (F.col("doc_id") % 2000 + 1).cast("string").alias("page_id"),
@@ -93,7 +94,7 @@ def s6(t: Tables):
     panel = t.view("v_panel")
     parts = []
     for low, high in (("1900-01-01", "1996-12-31"), ("1997-01-01", "1998-12-31"), ("1999-01-01", "2999-01-01")):
-        folder = tables.stage_folder(t.spark, "batch")
+        folder = stage_folder(t.spark, "batch")
         tables.write_panel(panel.where(F.col("date").between(low, high)), folder, by=["project"])
         parts.append(folder)
     return tables.read_panel(t.spark, *parts).groupBy("project").agg(
@@ -107,7 +108,7 @@ def s6(t: Tables):
       CAST(CAST(SUM(tot_count_views) AS BIGINT) AS VARCHAR) AS views FROM v_panel GROUP BY date""",
 )
 def s7(t: Tables):
-    folder = tables.stage_folder(t.spark, "report")
+    folder = stage_folder(t.spark, "report")
     report = t.view("v_panel").groupBy("date").agg(
         F.count("*").alias("nb_pages"), F.sum("tot_count_views").alias("views")
     )
@@ -117,7 +118,7 @@ def s7(t: Tables):
 
 @query("s8_reference_series", "SELECT date, tot_views FROM v_ref_series")
 def s8(t: Tables):
-    folder = tables.stage_folder(t.spark, "series")
+    folder = stage_folder(t.spark, "series")
     day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     t.table("orders").groupBy(day.alias("month")).agg(F.count("*").alias("total.total")).write.csv(
         folder, header=True

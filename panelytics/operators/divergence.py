@@ -12,6 +12,7 @@ from panelytics import WEIGHT
 from panelytics.plans import histogram
 from panelytics.plans.calendar import period_table, with_period_idx
 from panelytics.plans.joins import attach
+from panelytics.session import stage
 
 EDITION = ("project",)
 
@@ -61,11 +62,13 @@ def align_pairs(
         falling = sides.withColumn("_w", (-2 * F.col("fractional_rank")).cast("bigint"))
         sides = histogram.curve(falling, pair, "_w", ("page_id", "side"), lim=top)
     rank = F.col("fractional_rank")
+    # Counted per pair and then read again, in other columns: written out once.
     wide = sides.groupBy(*pair, "page_id").agg(
         F.max("page").alias("page"),
         F.sum(F.when(F.col("side") == 1, rank)).alias("prev_rank_1"),
         F.sum(F.when(F.col("side") == 2, rank)).alias("prev_rank_2"),
     )
+    wide = stage(wide, "aligned")
     sizes = wide.groupBy(*pair).agg(
         F.count("prev_rank_1").alias("n1"),
         F.count("prev_rank_2").alias("n2"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelytics import PANEL_KEYS, WEIGHT
 from panelytics.operators.filters import access_views, with_ids
 from panelytics.plans import histogram
-from panelytics.session import cut_lineage
+from panelytics.session import cut_lineage, stage
 
 
 def _largest(value: str, weight: str, *tie: str) -> Column:
@@ -90,7 +90,12 @@ def title_totals(counts: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame
 
 
 def ranked_panel(totals: DataFrame, by: Sequence[str] = PANEL_KEYS, tie: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Last step of the panel build: rank within edition and period."""
+    """Last step of the panel build: rank within edition and period.
+
+    Ranks read the totals twice (counts of equal views, then rows), so the
+    aggregation behind them is written out first.
+    """
+    totals = stage(totals, "totals")
     ranked = histogram.curve(totals, by, WEIGHT, tie)
     return ranked.select(*totals.columns, "rank", "fractional_rank")
 

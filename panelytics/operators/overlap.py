@@ -12,6 +12,7 @@ from panelytics import WEIGHT
 from panelytics.functions.statistics import error95
 from panelytics.plans.calendar import month_number, period_table, with_period_idx
 from panelytics.plans.joins import attach
+from panelytics.session import stage
 
 EDITION = ("project",)
 
@@ -181,16 +182,19 @@ def flux_by_lag(
     shared by many is expanded once; lags run over periods only.
     """
     idx = with_period_idx(panel, keys, source)
-    patterns = presence(idx, keys, entity).groupBy(*keys, "periods").agg(F.count("*").alias("n"))
+    patterns = stage(presence(idx, keys, entity).groupBy(*keys, "periods").agg(F.count("*").alias("n")), "patterns")
     sizes = patterns.select(*keys, "n", F.explode("periods").alias("period_idx")).groupBy(*keys, "period_idx").agg(
         F.sum("n").alias("size")
     )
     t = F.col("period_idx")
-    reach = t - 1 if max_lag is None else F.least(t - 1, F.lit(max_lag).cast("bigint"))
-    lags = F.when(t > 1, F.sequence(F.lit(1).cast("bigint"), reach)).otherwise(F.array().cast("array<bigint>"))
+    far = F.lit(max_lag if max_lag is not None else 2**31 - 1).cast("bigint")
+    lags = F.when(t > 1, F.sequence(F.lit(1).cast("bigint"), F.least(t - 1, far))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    earlier = F.transform(F.filter("periods", lambda s: (s < t) & (t - s <= far)), lambda s: t - s)
     common = (
         patterns.select(*keys, "n", "periods", F.explode("periods").alias("period_idx"))
-        .select(*keys, "n", "period_idx", F.explode(F.filter(lags, lambda k: F.array_contains("periods", t - k))).alias("lag"))
+        .select(*keys, "n", "period_idx", F.explode(earlier).alias("lag"))
         .groupBy(*keys, "period_idx", "lag")
         .agg(F.sum("n").alias("common"))
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelytics import PANEL_KEYS, WEIGHT
-from panelytics.plans.joins import attach
+from panelytics.session import stage
 
 # Integer ids are unique in a group, so a cell of this many consecutive ids
 # cannot hold more rows than that.
@@ -166,11 +166,15 @@ def running_counts(
     ``{m}_below`` and ``{m}_total``.
     """
     keys = list(keys)
+    # Read three times below (bounds, cells, rows), so written out once.
+    hist = stage(_complete(hist, keys), "values")
     steps = [i / VALUE_CELLS for i in range(1, VALUE_CELLS)]
     bounds = hist.groupBy(*keys).agg(
-        F.percentile_approx(value, F.array(*[F.lit(s) for s in steps]), F.lit(20_000)).alias("_bounds")
+        F.percentile_approx(value, F.array(*[F.lit(s) for s in steps]), F.lit(10_000)).alias("_bounds")
     )
-    rows = attach(hist, bounds, keys).withColumn(
+    # One short row per key: adaptive execution broadcasts it once it knows the
+    # size, and splits hot keys if it should not be small.
+    rows = hist.join(bounds, keys).withColumn(
         "_cell", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")
     cells = rows.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(f"_{m}") for m in measures])

@@ -120,8 +120,10 @@ def with_needs(names: list[str] | tuple[str, ...]) -> list[str]:
     return ordered
 
 
-# Views that several branches of a plan read; a session computes each once.
-SHARED = ("v_panel", "v_panel_all", "v_daily", "v_supply", "v_succession")
+# Views that stand for stored tables; a session computes each once.
+SHARED = (
+    "v_counts", "v_panel", "v_panel_all", "v_daily", "v_supply", "v_succession", "v_topics", "v_meta", "v_links",
+)
 
 _shared: dict[tuple, DataFrame] = {}
 

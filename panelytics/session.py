@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; the files outlive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a derived frame to the shared folder and read it back.
+
+    For frames that the next step reads more than once, in different columns:
+    the work behind them is done once, survives lost executors, and each
+    branch reads only its columns.
+    """
+    folder = stage_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector
@@ -10,18 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelytics import PANEL_KEYS
-from panelytics.session import ensure_checkpoint_dir
 
 # Sources that are no pages, with their ids.
 PSEUDO_PAGES = {"other-search": "-1", "other-internal": "-2", "other-external": "-3"}
 
 
-def stage_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def write_panel(panel: DataFrame, path: str, by: Sequence[str] = PANEL_KEYS, mode: str = "error") -> None:
     """Panel as Parquet by edition and period, so reads prune to what they need.
 
