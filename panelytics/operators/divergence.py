@@ -59,8 +59,9 @@ def align_pairs(
     pair = [*keys, "pair"]
     if top is not None:
         # Fractional ranks are halves, so twice the rank is a whole weight.
-        falling = sides.withColumn("_w", (-2 * F.col("fractional_rank")).cast("bigint"))
-        sides = histogram.curve(falling, pair, "_w", ("page_id", "side"), lim=top)
+        falling = sides.withColumnRenamed("fractional_rank", "_f").withColumn("_w", (-2 * F.col("_f")).cast("bigint"))
+        kept = histogram.curve(falling, pair, "_w", ("page_id", "side"), lim=top)
+        sides = kept.drop("fractional_rank").withColumnRenamed("_f", "fractional_rank")
     rank = F.col("fractional_rank")
     # Counted per pair and then read again, in other columns: written out once.
     wide = sides.groupBy(*pair, "page_id").agg(
