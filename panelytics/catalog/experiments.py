@@ -44,7 +44,9 @@ def totals(t: Tables) -> DataFrame:
 
 
 def edition_pairs(t: Tables) -> DataFrame:
-    return pairs.similar_pairs(totals(t), ["nb_articles", "nb_views"], PRECISION)
+    return t.shared(
+        "edition pairs", lambda: pairs.similar_pairs(totals(t), ["nb_articles", "nb_views"], PRECISION)
+    )
 
 
 @query("m1_edition_totals", f"WITH {ITEM_PANEL}, {TOTALS} SELECT * FROM et")

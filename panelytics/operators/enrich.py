@@ -30,7 +30,10 @@ def parsed_topics(raw: DataFrame) -> DataFrame:
 
 
 def scored_topics(rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """Topics of each entity by score, from ``least`` on, and the most specific."""
+    """Topics of each entity by score, from ``least`` on, and the most specific.
+
+    A list holds one entry per topic of the taxonomy at most.
+    """
     kept = rows.where(F.col("score").cast("double") >= least)
     lists = kept.groupBy("page_id").agg(
         F.sort_array(F.collect_list(F.struct("score", "topic")), asc=False).alias("_l")

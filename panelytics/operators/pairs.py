@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelytics import WEIGHT
 from panelytics.operators.hinge import label_volumes
+from panelytics.plans.joins import few
 
 
 def edition_totals(counts: DataFrame, known: DataFrame | None = None, views: str = WEIGHT) -> DataFrame:
@@ -83,7 +84,7 @@ def pair_items(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     share makes no more rows than there are pairs.
     """
     spots = rows.select("date", "item_id", "project").distinct()
-    firsts = spots.withColumnRenamed("project", "lang1").join(pairs.select("lang1", "lang2"), "lang1")
+    firsts = spots.withColumnRenamed("project", "lang1").join(few(pairs.select("lang1", "lang2")), "lang1")
     return firsts.join(spots.withColumnRenamed("project", "lang2"), ["date", "item_id", "lang2"])
 
 

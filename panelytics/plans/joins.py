@@ -46,3 +46,11 @@ def attach(
     if count_keys(source if source is not None else rows, keys, limit) <= limit:
         small = F.broadcast(small)
     return rows.join(small, keys, how)
+
+
+def few(small: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """A short list with a broadcast hint if its rows are counted to be few.
+
+    Without the hint the join shuffles, and adaptive execution splits hot keys.
+    """
+    return F.broadcast(small) if count_keys(small, small.columns, limit) <= limit else small

@@ -20,7 +20,7 @@ RANKED_QUALITY_SCHEMA = (
 )
 
 
-def _month(pattern: str, year: int) -> Column:
+def month_of_file(pattern: str, year: int) -> Column:
     """First day of the month a file's path names."""
     path = F.col("_metadata.file_path")
     text = F.concat_ws(
@@ -34,7 +34,7 @@ def read_counts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     rows = spark.read.schema(COUNT_SCHEMA).csv(
         paths if isinstance(paths, str) else list(paths), sep=" ", quote="", nullValue="\\N"
     )
-    return rows.withColumn("page_id", known_id(F.col("page_id"))).withColumn("date", _month(COUNT_FILES, 1))
+    return rows.withColumn("page_id", known_id(F.col("page_id"))).withColumn("date", month_of_file(COUNT_FILES, 1))
 
 
 def read_transitions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def read_transitions(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     )
     path = F.col("_metadata.file_path")
     return rows.withColumn("project", F.regexp_extract(path, TRANSITION_FILES, 1)).withColumn(
-        "date", _month(TRANSITION_FILES, 2)
+        "date", month_of_file(TRANSITION_FILES, 2)
     )
 
 
@@ -62,7 +62,8 @@ def read_ranked_quality(spark: SparkSession, path: str, project: str) -> DataFra
 def read_reference_series(spark: SparkSession, path: str) -> DataFrame:
     """Published monthly totals, summed per month."""
     rows = spark.read.csv(path, header=True, inferSchema=False)
-    month = F.date_trunc("month", F.to_timestamp("month")).cast("date")
+    # The text names the month; reading it as an instant would depend on the zone.
+    month = F.to_date(F.concat(F.substring("month", 1, 7), F.lit("-01")))
     return rows.groupBy(month.alias("date")).agg(
         F.sum(F.col("`total.total`").cast("bigint")).alias("tot_views")
     )
