@@ -332,16 +332,25 @@ def x2(t: Tables):
     return both.groupBy("part", "is_core").agg(F.count("*").alias("nb"), F.round(F.max("weight"), 6).alias("weight"))
 
 
-def forest(t: Tables):
-    train, test = sets(t)
-    model = models.fit_forest(train, depths=(5,), trees=(5, 20), folds=3)
-    return model, model.transform(test), train
+_fitted: dict[tuple, tuple] = {}
 
 
-def logistic(t: Tables):
-    train, test = sets(t)
-    model = models.fit_logistic(train, penalties=(0.0, 0.1), mixing=(0.0,), folds=3)
-    return model, model.transform(test), train
+def _fit(t: Tables, kind: str, fit) -> tuple:
+    """Model, predictions and training rows; fitted once per session and folder."""
+    slot = (t.spark.sparkContext.applicationId, t.folder, kind)
+    if slot not in _fitted:
+        train, test = sets(t)
+        model = fit(train)
+        _fitted[slot] = (model, model.transform(test), train)
+    return _fitted[slot]
+
+
+def forest(t: Tables) -> tuple:
+    return _fit(t, "forest", lambda train: models.fit_forest(train, depths=(5,), trees=(5, 20), folds=3))
+
+
+def logistic(t: Tables) -> tuple:
+    return _fit(t, "logistic", lambda train: models.fit_logistic(train, penalties=(0.0, 0.1), mixing=(0.0,), folds=3))
 
 
 @query("x3_random_forest")

@@ -118,13 +118,15 @@ def curve(
     in_cell = Window.partitionBy(*by, weight, "_cell").orderBy(
         *[F.col(c).asc_nulls_last() for c in tie]
     )
-    ranked = (
-        rows.join(offsets, [*by, weight, "_cell"])
-        .withColumn(
-            "rank",
-            (F.col("_above") + F.col("_skip") + F.row_number().over(in_cell)).cast("bigint"),
-        )
-    )
+    place = F.row_number().over(in_cell)
+    cell = [*by, weight, "_cell"]
+    # With a limit the join drops most rows before they are sorted; without one
+    # the window goes first, as its order serves the join too.
+    if lim is not None:
+        ranked = rows.join(offsets, cell).withColumn("_place", place)
+    else:
+        ranked = rows.withColumn("_place", place).join(offsets, cell)
+    ranked = ranked.withColumn("rank", (F.col("_above") + F.col("_skip") + F.col("_place")).cast("bigint"))
     w = F.col(weight)
     into = F.col("rank") - F.col("_above")
     ranked = ranked.select(
