@@ -10,8 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Objects built from broadcasts, kept for the tasks that a Python worker runs one after another.
-_BUILT: dict[tuple[str, int], object] = {}
+#: By kind: a broadcast's value and what was made of it, kept for the tasks that a Python worker runs one after another.
+_BUILT: dict[str, tuple[object, object]] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,12 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def built(kind: str, source: Broadcast, make: Callable):
     """``make(source.value)``, once for a worker; only the last of a kind is kept."""
-    key = (kind, source._jbroadcast.id() if source._jbroadcast is not None else id(source.value))
-    if key not in _BUILT:
-        for old in [k for k in _BUILT if k[0] == kind]:
-            del _BUILT[old]
-        _BUILT[key] = make(source.value)
-    return _BUILT[key]
+    value = source.value
+    if kind not in _BUILT or _BUILT[kind][0] is not value:
+        _BUILT[kind] = (value, make(value))
+    return _BUILT[kind][1]
 
 
 def id_remainder(column: str, modulus: int) -> Column:

@@ -40,7 +40,7 @@ SPELLINGS = [
     ("practise", "practice"),
     ("programme", "program"),
     ("recognise", "recognize"),
-    ("sub licence", "sublicense"),
+    ("sub license", "sublicense"),
     ("sublicence", "sublicense"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
@@ -115,9 +115,10 @@ KNOWN = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
-# Lines of a copyright notice, with what may stand before it in a comment; then what the form keeps: letters and digits.
+# Lines of a copyright notice, with what may stand before it in a comment; then what the form does not keep.
 _COPYRIGHT = r"(?m)^[ \t*/#;.<>-]*(copyright|\(c\)|©)[^\n]*$"
-_KEPT = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
+# Typographic quotes, dashes and blanks (U+0080-00BF, U+2000-303F) count as punctuation.
+_KEPT = "[^a-z0-9\\x{C0}-\\x{1FFF}\\x{3040}-\\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:

@@ -172,7 +172,10 @@ def group_edges(groups: np.ndarray, fps: np.ndarray, radius: int, items: int = 2
 
 
 def near_edges(nodes: DataFrame, radius: int, tile: int = 4_096) -> DataFrame:
-    """(a, b): spanning edges among the distinct fingerprints ``nodes.fp`` within ``radius`` bits."""
+    """(a, b): edges with the components of all links within ``radius`` bits among the distinct ``nodes.fp``.
+
+    Each group of a key sends on a star for each of its components, so an edge need not be a link itself.
+    """
     masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in block_masks(radius)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)]))
     keyed = nodes.select("fp", keys.alias("k")).select("fp", "k.block", "k.part")
