@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,26 +43,24 @@ class Settings:
     modulus: int = 3
     held_out: int = 1
     threshold: float = 0.7
-    toxic_docs: int = 1_500
-    clean_docs: int = 3_000
-    doc_windows: int = 8
+    toxic_docs: int = 700
+    clean_docs: int = 1_500
+    doc_windows: int = 4
     window: int = 256
-    bits: int = 18
+    bits: int = 20
     steps: int = 40
     rate: float = 0.3
     decay: float = 1e-6
     keep: int = 400_000
 
 
-def features(token: str) -> list[str]:
-    out: dict[str, None] = {}
+def features(token: str) -> list[int]:
+    """Hashes of the words in a token, their prefixes and suffixes."""
+    out: dict[int, None] = {}
     for w in WORD.findall(token.lower()):
         w = w[:64]
-        out[w] = None
-        for n in range(3, min(6, len(w)) + 1):
-            out["^" + w[:n]] = None
-        for n in range(3, min(4, len(w)) + 1):
-            out[w[-n:] + "$"] = None
+        for f in (w, *("^" + w[:n] for n in range(3, min(6, len(w)) + 1)), *(w[-n:] + "$" for n in range(3, min(4, len(w)) + 1))):
+            out[zlib.crc32(f.encode())] = None
     return list(out)
 
 
@@ -79,7 +78,7 @@ class Field:
 
     def emission(self, token: str) -> float:
         size = len(self.weights)
-        return self.bias + float(sum(self.weights[zlib.crc32(f.encode()) % size] for f in features(token)))
+        return self.bias + float(sum(self.weights[f % size] for f in features(token)))
 
 
 def messages(emissions: np.ndarray, mask: np.ndarray, links: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,30 +106,68 @@ def windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return padded.reshape(n, window), (np.arange(n * window) < len(values)).reshape(n, window)
 
 
-def markers(sample: list[tuple[bool, list[str]]]) -> set[str]:
+@dataclass
+class Sample:
+    """Sampled documents as numbers of distinct tokens, and the feature hashes of each distinct token."""
+
+    toxic: np.ndarray
+    docs: list[np.ndarray]
+    sizes: np.ndarray  # features of each distinct token
+    hashes: np.ndarray  # one after another
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[bool, str]]) -> "Sample":
+        toxic, docs, sizes, hashes = [], [], array("I"), array("I")
+        index: dict[str, int] = {}
+        for label, text in rows:
+            tokens = text.split()
+            for t in tokens:
+                if t not in index:
+                    index[t] = len(index)
+                    own = features(t)
+                    sizes.append(len(own))
+                    hashes.extend(own)
+            toxic.append(label)
+            docs.append(np.fromiter(map(index.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
+        return cls(np.array(toxic, dtype=bool), docs, np.array(sizes, dtype=np.int64), np.array(hashes, dtype=np.uint32))
+
+    def document_features(self, toxic: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Features and the number of documents of a class that hold them."""
+        ends = np.cumsum(self.sizes)
+        found = [np.zeros(0, dtype=np.uint32)]
+        for doc, label in zip(self.docs, self.toxic, strict=True):
+            if label == toxic:
+                own = np.unique(doc)
+                found.append(np.unique(self.hashes[_spans(ends[own] - self.sizes[own], self.sizes[own])]))
+        return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[i] .. starts[i] + sizes[i] - 1, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def markers(sample: Sample) -> np.ndarray:
     """Features in at least 1 % (and four) of the toxic documents, and by their share over 30 times rarer in clean ones."""
-    found = {True: Counter(), False: Counter()}
-    sizes = Counter(toxic for toxic, _ in sample)
-    for toxic, tokens in sample:
-        found[toxic].update({f for t in set(tokens) for f in features(t)})
-    least = max(4, sizes[True] / 100)
-    return {f for f, n in found[True].items() if n >= least and n / sizes[True] > 30 * (found[False][f] + 0.3) / max(sizes[False], 1)}
+    n_toxic, n_clean = int(sample.toxic.sum()), int((~sample.toxic).sum())
+    found, times = sample.document_features(True)
+    clean, clean_times = sample.document_features(False)
+    at = np.minimum(np.searchsorted(clean, found), max(len(clean) - 1, 0))
+    others = np.where(clean[at] == found, clean_times[at], 0) if len(clean) else np.zeros(len(found))
+    return found[(times >= max(4, n_toxic / 100)) & (times / n_toxic > 30 * (others + 0.3) / max(n_clean, 1))]
 
 
-def fit(sample: list[tuple[bool, list[str]]], class_sizes: tuple[int, int], settings: Settings) -> Field:
-    """The field from (toxic, tokens) of sampled documents; ``class_sizes``: labelled clean and toxic rows in all."""
+def fit(sample: Sample, class_sizes: tuple[int, int], settings: Settings) -> Field:
+    """The field from sampled documents; ``class_sizes``: labelled clean and toxic rows in all."""
     size = 1 << settings.bits
-    toxic = np.array([y for y, _ in sample], dtype=bool)
+    toxic, docs = sample.toxic, sample.docs
     base = class_sizes[1] / max(sum(class_sizes), 1)
     if not toxic.any() or toxic.all():
         return Field(np.zeros(size), 0.0, np.zeros((2, 2)), 0.0, 0.0, float(np.log((base + 1e-9) / (1 - base + 1e-9))), False)
-    marked = markers(sample)
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(t, len(index)) for t in tokens], dtype=np.int64) for _, tokens in sample]
-    of_token = [features(t) for t in index]
-    token_at = np.repeat(np.arange(len(of_token)), [len(f) for f in of_token])
-    feature_at = np.array([zlib.crc32(f.encode()) % size for fs in of_token for f in fs], dtype=np.int64)
-    has_marker = np.array([any(f in marked for f in fs) for fs in of_token], dtype=bool)
+    n_tokens = len(sample.sizes)
+    token_at = np.repeat(np.arange(n_tokens, dtype=np.int32), sample.sizes)
+    feature_at = (sample.hashes % size).astype(np.int32)
+    has_marker = np.bincount(token_at, weights=np.isin(sample.hashes, markers(sample)), minlength=n_tokens) > 0
     cut = [windows(d, settings.window) for d in docs]
     tokens, mask = np.concatenate([c[0] for c in cut]), np.concatenate([c[1] for c in cut])
     owner = np.repeat(np.arange(len(docs)), [len(c[0]) for c in cut])
@@ -145,7 +182,7 @@ def fit(sample: list[tuple[bool, list[str]]], class_sizes: tuple[int, int], sett
 
     def run(flat):
         links = np.array([[0.0, flat[-3]], [flat[-2], flat[-1]]])
-        emission = flat[-5] + np.bincount(token_at, weights=flat[feature_at], minlength=len(index))
+        emission = flat[-5] + np.bincount(token_at, weights=flat[feature_at], minlength=n_tokens)
         f, b, e = messages(emission[tokens], mask, links, flat[-4])
         return links, f, b, e
 
@@ -158,12 +195,12 @@ def fit(sample: list[tuple[bool, list[str]]], class_sizes: tuple[int, int], sett
         joint = np.stack([a[0, 1] * g, a[1, 0] * f[:, :-1], a[1, 1] * f[:, :-1] * g])
         joint /= a[0, 0] + joint.sum(axis=0)
         off = p - y
-        by_token = np.bincount(tokens.reshape(-1), weights=off.reshape(-1), minlength=len(index))
+        by_token = np.bincount(tokens.reshape(-1), weights=off.reshape(-1), minlength=n_tokens)
         gradient = np.concatenate([
             np.bincount(feature_at, weights=by_token[token_at], minlength=size) + settings.decay * n * flat[:size],
             [off.sum(), off[:, 0].sum()],
             np.where(pair, joint, 0.0).sum(axis=(1, 2)) - told,
-        ]) / len(sample)
+        ]) / len(docs)
         first += 0.1 * (gradient - first)
         second += 0.02 * (gradient * gradient - second)
         flat -= settings.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-6)
@@ -229,8 +266,8 @@ class Tagger(dict):
         return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[tuple[bool, list[str]]], tuple[int, int]]:
-    """Tokens of the sampled training documents, and the numbers of clean and toxic training labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Sample, tuple[int, int]]:
+    """The sampled training documents, and the numbers of clean and toxic training labels."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     rows = rows.where(id_remainder("doc_id", settings.modulus) != settings.held_out)
     sizes = dict(rows.groupBy("toxic").count().collect())
@@ -253,9 +290,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> t
     # The sample has a documented bound, so it may be broadcast and gathered.
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", texts(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    got = joined.mapInArrow(cut, f"doc_id {kind}, toxic int, tokens string").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["tokens"]))
-    return [(bool(r["toxic"]), r["tokens"].split()) for r in got], sizes
+    got = joined.mapInArrow(cut, f"doc_id {kind}, toxic int, tokens string").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("tokens", "ascending")])
+    return Sample.of((bool(r["toxic"]), r["tokens"]) for b in got.to_batches(max_chunksize=100) for r in b.to_pylist()), sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Field:
