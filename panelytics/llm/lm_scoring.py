@@ -198,7 +198,8 @@ def trained(training: DataFrame, vocab: Vocabulary, shape: gru.Shape, weights: n
     sample = stage(sample.mapInArrow(code, "key long, symbols array<int>"), "lm-sample")
     tokens = sample.agg(F.sum(F.size("symbols"))).first()[0] or 0
     replicas = max(1, round(tokens / settings.replica_tokens))
-    dealt = sample.repartition(replicas, "key")
+    # Rows were chosen by a hash, so any even deal will do; replicas, and what they send, stay in proportion to the sample.
+    dealt = sample.repartition(replicas)
     for _ in range(settings.rounds):
         now = spark.sparkContext.broadcast(weights)
 
@@ -234,7 +235,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         index = built("scored-words", sent, lambda v: v[0].index())
         log_count = np.log10(vocab.counts + 1.0)
         known = vocab.counts > 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             out: dict[str, list] = {k: [] for k in ("tokens", "known", "base", "rare", "words", "times")}
             coded = []
             for text in batch.column(2).to_pylist():
