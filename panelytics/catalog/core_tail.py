@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelytics.catalog.registry import curve_sql, query
 from panelytics.operators import hinge, ranks
+from panelytics.plans.joins import few
 from panelytics.plans.views import Tables
 
 CURVE = curve_sql("v_panel")
@@ -20,11 +21,9 @@ R = 6  # decimals of reported shares
     FROM vol GROUP BY project, date, hinge_perc, hinge_rank""",
 )
 def core_sizes(t: Tables):
-    return hinge.label_volumes(t.view("v_panel")).groupBy("project", "date").agg(
-        F.count("*").alias("nb_pages"),
-        F.count_if(F.col("volume") == "core").alias("nb_core"),
-        F.round(F.any_value("hinge_perc"), R).alias("hinge_perc"),
-        F.round(F.any_value("hinge_rank"), R).alias("hinge_rank"),
+    return hinge.core_bounds(t.view("v_panel")).select(
+        "project", "date", "nb_pages", "nb_core",
+        F.round("hinge_perc", R).alias("hinge_perc"), F.round("hinge_rank", R).alias("hinge_rank"),
     )
 
 
@@ -111,7 +110,7 @@ DAILY = curve_sql("v_daily")
     f"WITH {DAILY} SELECT project, date, page_id, volume FROM vol",
 )
 def h6(t: Tables):
-    return hinge.label_volumes(t.view("v_daily")).select("project", "date", "page_id", "volume")
+    return hinge.volume_labels(t.view("v_daily")).select("project", "date", "page_id", "volume")
 
 
 @query(
@@ -124,9 +123,8 @@ def h6(t: Tables):
     FROM hg JOIN s USING (project, date) GROUP BY project""",
 )
 def h7(t: Tables):
-    panel = t.view("v_panel")
-    points = hinge.hinge_points(panel)
-    sizes = hinge.volume_sizes(points, panel.groupBy("project", "date").agg(F.count("*").alias("nb_pages")))
+    points = few(hinge.core_bounds(t.view("v_panel")))
+    sizes = hinge.volume_sizes(points)
     summary = hinge.hinge_summary(points, ["project"]).join(
         sizes.groupBy("project").agg(
             F.avg("core_pages").alias("avg_core_pages"), F.avg("tail_pages").alias("avg_tail_pages")
@@ -230,4 +228,4 @@ def h11(t: Tables):
       CAST(COUNT_IF(volume = 'tail') AS BIGINT) AS nb_tail_pages FROM vol GROUP BY 1, 2""",
 )
 def h12(t: Tables):
-    return hinge.boundary_views(hinge.label_volumes(t.view("v_panel")))
+    return hinge.boundary_views(hinge.core_bounds(t.view("v_panel")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelytics.catalog.dynamics import CURVE, rounded
-from panelytics.catalog.registry import curve_sql, query
+from panelytics.catalog.registry import curve_sql, key_slot_sql, query
 from panelytics.operators import filters, hinge, models, pairs, ranks, transitions
 from panelytics.plans.views import Tables
 from panelytics.session import stage
@@ -52,7 +52,7 @@ def edition_pairs(t: Tables) -> DataFrame:
 @query("m1_edition_totals", f"WITH {ITEM_PANEL}, {TOTALS} SELECT * FROM et")
 def m1(t: Tables):
     panel = t.view("v_panel").where("date = date'1998-11-01'")
-    known = items(t).select("project", "page_id").distinct()
+    known = items(t).select("project", "page", "page_id").distinct()
     return pairs.edition_totals(panel, known)
 
 
@@ -120,7 +120,7 @@ MEMBERS = f"""{LABELLED_ITEMS}, co AS (SELECT project, date, item_id, MIN(date)
 
 
 def labelled_items(t: Tables) -> DataFrame:
-    return t.shared("volumes of items", lambda: hinge.label_volumes(items(t)).select(
+    return t.shared("volumes of items", lambda: hinge.volume_labels(items(t)).select(
         "project", "date", "page_id", "item_id", "tot_count_views", "volume"
     ))
 
@@ -325,7 +325,16 @@ def x1(t: Tables):
     return features(t)
 
 
-@query("x2_weighted_split")
+FEATURES = f"""{CURVE}, ft AS (SELECT page_id, CASE volume WHEN 'core' THEN 1 ELSE 0 END AS is_core,
+      CASE WHEN {key_slot_sql('page_id', models.SEED)} < {int(models.TRAIN_SHARE * filters.SLOTS)} THEN 'train' ELSE 'test' END AS part
+    FROM vol JOIN v_meta USING (page_id) WHERE date = DATE '1998-11-01'),
+    sh AS (SELECT avg(is_core) AS s FROM ft), wt AS (SELECT ft.*, CASE is_core WHEN 1 THEN 0.5 / s ELSE 0.5 / (1 - s) END AS weight FROM ft, sh)"""
+
+
+@query(
+    "x2_weighted_split",
+    f"WITH {FEATURES} SELECT part, is_core, COUNT(*) AS nb, round(MAX(weight), 6) AS weight FROM wt GROUP BY 1, 2",
+)
 def x2(t: Tables):
     train, test = sets(t)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -346,11 +355,11 @@ def _fit(t: Tables, kind: str, fit) -> tuple:
 
 
 def forest(t: Tables) -> tuple:
-    return _fit(t, "forest", lambda train: models.fit_forest(train, depths=(5,), trees=(5, 20), folds=3))
+    return _fit(t, "forest", lambda train: models.fit_forest(train, folds=3))
 
 
 def logistic(t: Tables) -> tuple:
-    return _fit(t, "logistic", lambda train: models.fit_logistic(train, penalties=(0.0, 0.1), mixing=(0.0,), folds=3))
+    return _fit(t, "logistic", lambda train: models.fit_logistic(train, folds=3))
 
 
 @query("x3_random_forest")
@@ -395,6 +404,23 @@ def x6(t: Tables):
     return rounded(models.confusion(rule(t)), 6, "tpr", "tnr", "npv")
 
 
+@query("x5_model_evaluation")
+def x5_models(t: Tables):
+    """The fitted forest and regression on their test rows."""
+    rows = [models.evaluate(_fitted_rows(t, k)).withColumn("model", F.lit(k)) for k in ("forest", "logistic")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("x6_model_confusion")
+def x6_models(t: Tables):
+    rows = [models.confusion(_fitted_rows(t, k)).withColumn("model", F.lit(k)) for k in ("forest", "logistic")]
+    return rows[0].unionByName(rows[1])
+
+
+def _fitted_rows(t: Tables, kind: str) -> DataFrame:
+    return (forest if kind == "forest" else logistic)(t)[1]
+
+
 @query("x7_feature_importance")
 def x7(t: Tables):
     by_forest, _, train = forest(t)
@@ -404,6 +430,21 @@ def x7(t: Tables):
     )
 
 
+def deviance(t: Tables) -> DataFrame:
+    return models.deviance_test(sets(t)[0])[1]
+
+
 @query("x8_deviance_test")
 def x8(t: Tables):
-    return models.deviance_test(models.assembled(features(t)))[1]
+    return deviance(t)
+
+
+@query(
+    "x8_null_deviance",
+    f"""WITH {FEATURES}, p AS (SELECT SUM(weight * is_core) / SUM(weight) AS p FROM wt WHERE part = 'train')
+    SELECT round(-2 * SUM(weight * (is_core * ln(p) + (1 - is_core) * ln(1 - p))), 4) AS null_deviance, CAST(6 AS BIGINT) AS degrees
+    FROM wt, p WHERE part = 'train'""",
+)
+def x8_null(t: Tables):
+    """The part of the test that has a closed form."""
+    return deviance(t).select(F.round("null_deviance", 4).alias("null_deviance"), "degrees")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelytics.catalog.registry import query
+from panelytics.catalog.registry import key_slot_sql, query
 from panelytics.operators import filters, identity, ranks
 from panelytics.plans.views import Tables
 from panelytics.session import stage_folder
@@ -226,7 +226,10 @@ def p7(t: Tables):
     return filters.rank_steps(ranks.rank_rows(t.view("v_panel")), 7).select("project", "date", "page_id", "rank")
 
 
-@query("p8_key_sample")
+@query(
+    "p8_key_sample",
+    f"SELECT * FROM v_panel WHERE {key_slot_sql('page_id', 2023)} < {int(0.1 * filters.SLOTS)}",
+)
 def p8(t: Tables):
     return filters.key_sample(t.view("v_panel"), "page_id", 0.1, seed=2023)
 

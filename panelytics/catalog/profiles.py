@@ -113,7 +113,7 @@ def a7(t: Tables):
     return _newborn(t, 1)
 
 
-def mann_whitney_sql(rows: str, by: str) -> str:
+def mann_whitney_sql(rows: str, by: str, digits: int = 6) -> str:
     """Fragment ``tt`` with U and z over rows (by, side 1 or 2, v)."""
     return f"""mk AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY v) + (COUNT(*) OVER (PARTITION BY {by}, v) - 1) / 2 AS ar,
         CAST(COUNT(*) OVER (PARTITION BY {by}, v) AS DOUBLE) AS c FROM {rows}),
@@ -122,9 +122,9 @@ def mann_whitney_sql(rows: str, by: str) -> str:
     mu AS (SELECT *, r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u1, CAST(n1 AS DOUBLE) * n2 - (r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2) AS u2,
         sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * ((n1 + n2 + 1) - ties / NULLIF(CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1), 0))) AS sd
         FROM mr WHERE n1 > 0 AND n2 > 0),
-    tt AS (SELECT {by}, n1, n2, u1, u2, round((u1 - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / NULLIF(sd, 0), 6) AS z_greater,
-        round((u2 - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / NULLIF(sd, 0), 6) AS z_less,
-        round((greatest(u1, u2) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / NULLIF(sd, 0), 6) AS z_two_sided FROM mu)"""
+    tt AS (SELECT {by}, n1, n2, u1, u2, round((u1 - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / NULLIF(sd, 0), {digits}) AS z_greater,
+        round((u2 - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / NULLIF(sd, 0), {digits}) AS z_less,
+        round((greatest(u1, u2) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / NULLIF(sd, 0), {digits}) AS z_two_sided FROM mu)"""
 
 
 Z = ("z_greater", "z_less", "z_two_sided")
@@ -391,7 +391,7 @@ def e12(t: Tables):
 
 @query(
     "e13_high_quality_topics",
-    f"""WITH {CURVE} SELECT volume, topic, COUNT(*) AS count, round(avg(pred_qual), 6) AS mean, round(stddev_samp(pred_qual), 6) AS std,
+    f"""WITH {CURVE} SELECT volume, topic, COUNT(*) AS count, ((2 * SUM(CAST(round(pred_qual * 1000000) AS BIGINT)) + COUNT(*)) // (2 * COUNT(*))) / CAST(1000000 AS DOUBLE) AS mean, round(stddev_samp(pred_qual), 6) AS std,
       MIN(pred_qual) AS min, MAX(pred_qual) AS max, round(quantile_cont(pred_qual, 0.25), 6) AS p25, round(quantile_cont(pred_qual, 0.5), 6) AS p50,
       round(quantile_cont(pred_qual, 0.75), 6) AS p75
     FROM vol JOIN v_meta USING (page_id) JOIN (SELECT DISTINCT page_id, topic FROM v_topics) USING (page_id) WHERE pred_qual > 0.7 GROUP BY 1, 2""",
@@ -401,7 +401,7 @@ def e13(t: Tables):
         t.view("v_topics").select("page_id", "topic").distinct(), "page_id"
     )
     table = statistics.describe_values(best, "pred_qual", ["volume", "topic"], (0.25, 0.5, 0.75))
-    return rounded(table, 6, "mean", "std", "p25", "p50", "p75")
+    return rounded(table, 6, "std", "p25", "p50", "p75")
 
 
 @query(
@@ -483,7 +483,7 @@ def e17_topics(t: Tables):
 
 @query(
     "e18_quality_profile",
-    f"""WITH {LABELLED} SELECT project, volume, COUNT(*) AS count, round(avg(pred_qual), 6) AS mean, round(stddev_samp(pred_qual), 6) AS std,
+    f"""WITH {LABELLED} SELECT project, volume, COUNT(*) AS count, ((2 * SUM(CAST(round(pred_qual * 1000000) AS BIGINT)) + COUNT(*)) // (2 * COUNT(*))) / CAST(1000000 AS DOUBLE) AS mean, round(stddev_samp(pred_qual), 6) AS std,
       MIN(pred_qual) AS min, MAX(pred_qual) AS max, round(quantile_cont(pred_qual, 0.5), 6) AS p50, round(quantile_cont(pred_qual, 0.8), 6) AS p80,
       round(quantile_cont(pred_qual, 0.85), 6) AS p85, round(quantile_cont(pred_qual, 0.9), 6) AS p90
     FROM lb JOIN v_meta USING (page_id) GROUP BY 1, 2""",
@@ -491,7 +491,7 @@ def e17_topics(t: Tables):
 def e18(t: Tables):
     rows = labelled(t).join(t.view("v_meta").select("page_id", "pred_qual"), "page_id")
     table = statistics.describe_values(rows, "pred_qual", ["project", "volume"], (0.5, 0.8, 0.85, 0.9))
-    return rounded(table, 6, "mean", "std", "p50", "p80", "p85", "p90")
+    return rounded(table, 6, "std", "p50", "p80", "p85", "p90")
 
 
 # -------------------------------------------------------------- statistics
@@ -586,11 +586,25 @@ def t7(t: Tables):
     return rounded(tests, 6, *Z)
 
 
-@query("t7_mann_whitney_p")
+def normal_tail_sql(z: str) -> str:
+    """P(Z > z) from the series of the error function; beyond six deviations it is 0 or 1 at six decimals."""
+    terms = f"list_transform(range(0, 90), lambda k: pow(-1, k) * pow({z} / sqrt(2), 2 * k + 1) / ((2 * k + 1) * gamma(k + 1)))"
+    return f"CASE WHEN {z} > 6 THEN 0 WHEN {z} < -6 THEN 1 ELSE 0.5 - list_sum({terms}) / sqrt(pi()) END"
+
+
+@query(
+    "t7_mann_whitney_p",
+    f"""WITH {CURVE}, q AS (SELECT vol.project, CASE volume WHEN 'core' THEN 1 ELSE 2 END AS side, in_main AS v FROM vol JOIN v_meta USING (page_id)),
+    {mann_whitney_sql('q', 'project', digits=12)}
+    SELECT project, n1, n2, u1, u2, round(z_greater, 6) AS z_greater, round(z_less, 6) AS z_less, round(z_two_sided, 6) AS z_two_sided,
+      round({normal_tail_sql('z_greater')}, 6) AS p_greater, round({normal_tail_sql('z_less')}, 6) AS p_less,
+      round(least(2 * {normal_tail_sql('z_two_sided')}, 1), 6) AS p_two_sided FROM tt""",
+)
 def t7_p(t: Tables):
     rows = t.volumes().join(t.view("v_meta").select("page_id", "in_main"), "page_id")
-    return statistics.mann_whitney(
+    tests = statistics.mann_whitney(
         rows, "in_main", F.col("volume") == "core", F.col("volume") == "tail", ["project"]
     )
+    return rounded(tests, 6, *Z, "p_greater", "p_less", "p_two_sided")
 
 

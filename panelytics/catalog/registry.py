@@ -44,6 +44,11 @@ def with_views(sql: str) -> str:
     return f"WITH {recursive}" + ", ".join(heads) + body
 
 
+def key_slot_sql(key: str, seed: int) -> str:
+    """The slot of ``filters.key_slot``."""
+    return f"CAST('0x' || substr(md5({key} || ':{seed}'), 1, 5) AS BIGINT)"
+
+
 def used_tables(sql: str) -> list[str]:
     return [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
 

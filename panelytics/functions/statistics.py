@@ -16,16 +16,6 @@ def error95(value: Column | str, n: Column | None = None) -> Column:
     return F.stddev_samp(value) * 1.96 / F.sqrt(n)
 
 
-def mean_and_error(value: Column | str, prefix: str) -> list[Column]:
-    """Mean, deviation, 95 % error and count of a value."""
-    return [
-        F.avg(value).alias(f"avg_{prefix}"),
-        F.stddev_samp(value).alias(f"std_{prefix}"),
-        error95(value).alias(f"error_{prefix}"),
-        F.count(value).alias(f"nb_{prefix}"),
-    ]
-
-
 def log2_ratio(share: Column, base: Column) -> Column:
     """Enrichment; NULL where the base is zero or the share is."""
     return F.log2(F.try_divide(share, base))

@@ -77,7 +77,7 @@ def align_pairs(
     ).where("n1 > 0 and n2 > 0")
     dates = pair_dates(ranked if source is None else source, keys)
     source_keys = pair_keys(ranked if source is None else source, keys)
-    full = attach(wide, sizes.join(dates, pair), pair, source=source_keys)
+    full = attach(wide, sizes.join(dates, pair), pair)
     return full.withColumn(
         "rank_1", F.coalesce("prev_rank_1", F.col("n1") + 0.5 * (F.col("n2") - F.col("n_both")))
     ).withColumn("rank_2", F.coalesce("prev_rank_2", F.col("n2") + 0.5 * (F.col("n1") - F.col("n_both"))))
@@ -137,7 +137,7 @@ def divergences(
         sums.append((F.sum(one) + F.sum(two)).alias(f"_n{i}"))
     norms = aligned.groupBy(*pair).agg(*sums)
     bound = aligned.select(*pair) if source is None else pair_keys(source, keys)
-    full = attach(aligned, norms, pair, source=bound)
+    full = attach(aligned, norms, pair)
     each = F.array(
         *[
             F.struct(F.lit(float(a)).alias("alpha"), _divergence(a, F.col(f"_n{i}")).alias("div"))

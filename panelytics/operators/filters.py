@@ -63,11 +63,6 @@ def with_ids(df: DataFrame, column: str = "page_id") -> DataFrame:
     return df.where(has)
 
 
-def special_pages(project: str) -> list[str]:
-    """Service pages of one edition."""
-    return SPECIAL_PAGES if project == "en" else ["-"]
-
-
 def drop_specials(df: DataFrame, min_count: int = 1, names: Sequence[str] = SPECIAL_PAGES) -> DataFrame:
     """Without service pages and rows below ``min_count``."""
     return df.where(~F.col("page").isin(list(names)) & (F.col("counts") >= min_count))
@@ -139,11 +134,18 @@ def rank_steps(ranked: DataFrame, step: int) -> DataFrame:
     return ranked.where((F.col("rank") % step == 0) | (F.col("rank") == 1))
 
 
+# Slots of a key: the first five hexadecimal digits of its hash.
+SLOTS = 16**5
+
+
+def key_slot(key: Column, seed: int) -> Column:
+    """Slot of a key, from an MD5 that every database has."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 5), 16, 10).cast("bigint")
+
+
 def key_sample(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     """The same keys on every run: a hash of the key decides, not the row order."""
-    slots = 1_000_000
-    spot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(slots))
-    return df.where(spot < int(fraction * slots))
+    return df.where(key_slot(F.col(key), seed) < int(fraction * SLOTS))
 
 
 def fill_views(df: DataFrame, columns: Sequence[str], value: int = 0) -> DataFrame:

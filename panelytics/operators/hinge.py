@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelytics import PANEL_KEYS, WEIGHT
 from panelytics.plans import histogram
 from panelytics.plans.calendar import period_table
-from panelytics.plans.joins import attach
+from panelytics.plans.joins import attach, few
 
 HINGE_COLUMNS = ("hinge_perc", "hinge_rank")
 
@@ -88,9 +88,14 @@ def hinge_points(
     return flat_points(histogram.panel_blocks(panel, by, WEIGHT, tie), by, [eps]).drop("eps")
 
 
-def flat_points(blocks: DataFrame, by: Sequence[str], eps: Sequence[float], step: Column | None = None) -> DataFrame:
+def flat_points(
+    blocks: DataFrame, by: Sequence[str], eps: Sequence[float], step: Column | None = None, bounds: bool = False
+) -> DataFrame:
     """The hinge of every group and slope, from tie blocks alone.
 
+    ``bounds`` adds where the core ends: the weight of the hinge's block (``core_weight``), how many of its ties
+    (``block_ties``) are core (``core_ties``), the weight of the block after it (``next_weight``) and the sizes of core and group.
+
     Inside a block the slope is constant up to float noise and lower only at
     its last position. If the constant is clear of the threshold, the first
     and the last positions decide; a block within the noise is written out in
@@ -123,8 +128,14 @@ def flat_points(blocks: DataFrame, by: Sequence[str], eps: Sequence[float], step
     fall = ((cum + following) / total * 100 - (cum - w) / total * 100) / 2
     rank = F.when((step == 1) | (spot == 1), spot).otherwise((spot - 1) * step)
     flat = spread.where((spot > 1) & (spot < nb) & (fall <= threshold))
+    # Ties of weight zero add nothing to the cumulated views, so they are on one side together.
+    core_ties = F.when(w == 0, ties).otherwise(j)
+    ends_at = [
+        w.alias("core_weight"), core_ties.alias("core_ties"), ties.alias("block_ties"),
+        F.col("_next_block").alias("next_weight"), (F.col("_above") + core_ties).alias("nb_core"), nb.alias("nb_pages"),
+    ]
     point = F.struct(
-        (cum / total * 100).alias("hinge_perc"), (rank / (nb * step) * 100).alias("hinge_rank")
+        (cum / total * 100).alias("hinge_perc"), (rank / (nb * step) * 100).alias("hinge_rank"), *(ends_at if bounds else [])
     )
     return flat.groupBy(*by, "eps").agg(F.min_by(point, spot).alias("_first")).select(*by, "eps", "_first.*")
 
@@ -136,6 +147,29 @@ def hinge_of_curve(curve: DataFrame, eps: float = 1, by: Sequence[str] = PANEL_K
     return flat.groupBy(*by).agg(F.min_by(point, "rank").alias("_first")).select(*by, "_first.*")
 
 
+def core_bounds(panel: DataFrame, eps: float = 1, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
+    """One row for each group that has a hinge: the hinge and where its core ends (see ``flat_points``)."""
+    return flat_points(histogram.panel_blocks(panel, by, WEIGHT), by, [eps], bounds=True).drop("eps")
+
+
+def volume_labels(
+    panel: DataFrame, eps: float = 1, by: Sequence[str] = PANEL_KEYS, tie: Sequence[str] = ("page_id",)
+) -> DataFrame:
+    """Every row of a group that has a hinge, with ``volume`` core or tail and no ranks.
+
+    A row's weight tells its side, so rows are labelled where they are read; only the ties of the one block
+    that the hinge splits are ranked.
+    """
+    bounds = few(core_bounds(panel, eps, by)).select(*by, "core_weight", "core_ties", "block_ties")
+    rows = panel.where(F.col(WEIGHT).isNotNull()).join(bounds, list(by))
+    w, end = F.col(WEIGHT), F.col("core_weight")
+    split = (w == end) & (F.col("core_ties") < F.col("block_ties"))
+    clear = rows.where(~split).withColumn("volume", F.when(w >= end, "core").otherwise("tail"))
+    ties = histogram.curve(rows.where(split), by, WEIGHT, tie)
+    ties = ties.withColumn("volume", F.when(F.col("rank") <= F.col("core_ties"), "core").otherwise("tail"))
+    return clear.select(*panel.columns, "volume").unionByName(ties.select(*panel.columns, "volume"))
+
+
 def label_volumes(
     panel: DataFrame,
     eps: float = 1,
@@ -143,10 +177,13 @@ def label_volumes(
     tie: Sequence[str] = ("page_id",),
     keep_rank: str | None = None,
 ) -> DataFrame:
-    """Every row of a group that has a hinge, with ``volume`` core or tail."""
+    """Every row of a group that has a hinge, with its rank, its place on the curve and ``volume`` core or tail.
+
+    Where ranks are not needed ``volume_labels`` gives the same labels without ranking the rows.
+    """
     curve = cumulative_curve(panel, by, tie, keep_rank)
     points = hinge_points(panel, eps, by, tie) if keep_rank is None else hinge_of_curve(curve, eps, by)
-    labelled = attach(curve, points, by, source=panel)
+    labelled = attach(curve, points, by)
     core = F.col("perc_views") <= F.col("hinge_perc")
     return labelled.withColumn("volume", F.when(core, "core").otherwise("tail"))
 
@@ -241,10 +278,11 @@ def hinge_summary(hinges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def volume_sizes(hinges: DataFrame, sizes: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
-    """Core and tail sizes from the hinge coordinate and ``nb_pages``."""
+def volume_sizes(hinges: DataFrame, sizes: DataFrame | None = None, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
+    """Core and tail sizes from the hinge coordinate and ``nb_pages`` (of ``sizes``, or as ``core_bounds`` has it)."""
     share = F.col("hinge_rank")
-    return hinges.join(sizes, list(by)).select(
+    sized = hinges if "nb_pages" in hinges.columns else hinges.join(sizes, list(by))
+    return sized.select(
         *by,
         "nb_pages",
         *HINGE_COLUMNS,
@@ -267,13 +305,14 @@ def mean_curve(curve: DataFrame, every: int = 50, by: Sequence[str] = (), digits
     )
 
 
-def boundary_views(labelled: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
-    """Smallest core weight, largest tail weight and tail size per group."""
-    core_side = F.col("volume") == "core"
-    return labelled.groupBy(*by).agg(
-        F.min(F.when(core_side, F.col(WEIGHT))).alias("min_core_views"),
-        F.max(F.when(~core_side, F.col(WEIGHT))).alias("max_tail_views"),
-        F.count(F.when(~core_side, 1)).alias("nb_tail_pages"),
+def boundary_views(bounds: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
+    """Smallest core weight, largest tail weight and tail size per group, from ``core_bounds``."""
+    cut = F.col("core_ties") < F.col("block_ties")
+    return bounds.select(
+        *by,
+        F.col("core_weight").alias("min_core_views"),
+        F.when(cut, F.col("core_weight")).otherwise(F.col("next_weight")).alias("max_tail_views"),
+        (F.col("nb_pages") - F.col("nb_core")).alias("nb_tail_pages"),
     )
 
 

@@ -108,10 +108,11 @@ def unmatched_ids(panel: DataFrame, known: DataFrame, key: str = "page_id") -> D
 def remap_ids(panel: DataFrame, redirects: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
     """Send redirect ids to their targets and sum again.
 
-    ``redirects`` has (redirect, target). The title of the new id is that of
-    its largest row; ranks follow from ``ranked_panel``.
+    ``redirects`` has (redirect, target). A redirect listed under several targets goes to the smallest, so
+    no view is counted twice. The title of the new id is that of its largest row; ranks follow from ``ranked_panel``.
     """
-    moved = panel.join(redirects.withColumnRenamed("redirect", "page_id"), "page_id", "left").withColumn(
+    one = redirects.groupBy(F.col("redirect").alias("page_id")).agg(F.min("target").alias("target"))
+    moved = panel.join(one, "page_id", "left").withColumn(
         "page_id", F.coalesce("target", "page_id")
     )
     return moved.groupBy(*by, "page_id").agg(

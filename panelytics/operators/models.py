@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelytics.operators.filters import SLOTS, key_slot
+
 # Grids and shares of the published models.
 FEATURES = ["age_in_months", "is_orphan", "is_bot_created", "pred_qual", "in_main", "out_main"]
 SEED = 2023
@@ -45,9 +47,7 @@ def split(table: DataFrame, train: float = TRAIN_SHARE, seed: int = SEED) -> tup
     Rows of an entity stay together and lost executors cannot change the
     split, which a random draw over unordered partitions does not promise.
     """
-    slots = 1_000_000
-    spot = F.pmod(F.xxhash64("page_id", F.lit(seed)), F.lit(slots))
-    cut = int(train * slots)
+    spot, cut = key_slot(F.col("page_id"), seed), int(train * SLOTS)
     return table.where(spot < cut), table.where(spot >= cut)
 
 
@@ -88,7 +88,7 @@ def fit_logistic(
 def _validated(model, grid, folds: int) -> CrossValidator:
     f1 = MulticlassClassificationEvaluator(labelCol="is_core", predictionCol="prediction", metricName="f1")
     return CrossValidator(
-        estimator=model, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, seed=SEED, parallelism=2
+        estimator=model, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, seed=SEED, parallelism=8
     )
 
 
@@ -139,13 +139,12 @@ def importances(model, table: DataFrame, features: Sequence[str] = FEATURES) ->
     return table.sparkSession.createDataFrame(rows, "feature string, value double")
 
 
-def deviance_test(table: DataFrame) -> tuple[object, DataFrame]:
-    """Binomial GLM with the drop in deviance against the null model."""
-    glm = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="is_core", featuresCol="features"
-    ).fit(table)
+def deviance_test(train: DataFrame, weight: str | None = "weight") -> tuple[object, DataFrame]:
+    """Binomial GLM of the training rows, weighted by class, with the drop in deviance against the null model."""
+    glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="is_core", featuresCol="features")
+    glm = (glm.setWeightCol(weight) if weight else glm).fit(train)
     s = glm.summary
     row = [(float(s.nullDeviance), float(s.deviance), float(s.nullDeviance - s.deviance), int(s.residualDegreeOfFreedomNull - s.residualDegreeOfFreedom))]
-    return glm, table.sparkSession.createDataFrame(
+    return glm, train.sparkSession.createDataFrame(
         row, "null_deviance double, deviance double, chi2 double, degrees bigint"
     )

@@ -149,7 +149,7 @@ def outgoing(
     )
     bound = period_table(source, keys).select(*keys, "period_idx")
     return (
-        attach(gone, following, [*keys, "period_idx"], source=bound)
+        attach(gone, following, [*keys, "period_idx"])
         .withColumnRenamed("date", "last_date")
         .withColumnRenamed("_next", "date")
     )
@@ -280,7 +280,7 @@ def always_present(
     source = labelled if source is None else source
     nb = period_table(source, periods_by).select(*periods_by, "nb_periods").distinct()
     counts = labelled.groupBy(*keys, entity).agg(F.count("*").alias("nb_occurrences"))
-    return attach(counts, nb, periods_by, source=source).where("nb_occurrences = nb_periods")
+    return attach(counts, nb, periods_by).where("nb_occurrences = nb_periods")
 
 
 def always_present_share(

@@ -15,8 +15,12 @@ from panelytics.plans.joins import few
 
 
 def edition_totals(counts: DataFrame, known: DataFrame | None = None, views: str = WEIGHT) -> DataFrame:
-    """Articles and views per edition, of entities that metadata know."""
-    rows = counts if known is None else counts.join(known.select("project", "page_id"), ["project", "page_id"], "left_semi")
+    """Articles and views per edition, of entities that metadata know.
+
+    ``known`` has (project, page, page_id): a row of another title of a known id, such as a redirect, is no article.
+    """
+    keys = ["project", "page", "page_id"]
+    rows = counts if known is None else counts.join(known.select(*keys), keys, "left_semi")
     return rows.groupBy("project").agg(F.count("*").alias("nb_articles"), F.sum(views).alias("nb_views"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelytics import PANEL_KEYS, WEIGHT
@@ -12,10 +12,6 @@ from panelytics.plans import histogram
 from panelytics.plans.calendar import period_table
 from panelytics.plans.joins import attach
 
-# Up to this many rows per group, every map task can cut its share to the top
-# rows before the shuffle; larger limits take the histogram way.
-SMALL_TOP = 1_000
-
 
 def rank_rows(
     panel: DataFrame,
@@ -24,16 +20,11 @@ def rank_rows(
     tie: Sequence[str] = ("page_id",),
     lim: int | None = None,
 ) -> DataFrame:
-    """Ordinal rank in each group; with ``lim`` only the first ranks."""
-    if lim is not None and lim <= SMALL_TOP:
-        order = Window.partitionBy(*by).orderBy(
-            F.col(weight).desc(),
-            histogram.tie_cell(panel, tie[0]).asc(),
-            *[F.col(c).asc_nulls_last() for c in tie],
-        )
-        return panel.withColumn("rank", F.row_number().over(order).cast("bigint")).where(
-            F.col("rank") <= lim
-        )
+    """Ordinal rank in each group; with ``lim`` only the first ranks.
+
+    One way for every limit: rows without a group or a weight have no rank and are left out, and no
+    group, however hot, is sorted in one task (see ``histogram.curve``).
+    """
     return histogram.curve(panel, by, weight, tie, lim).select(*panel.columns, "rank")
 
 
@@ -108,7 +99,7 @@ def period_bins(
         "date",
         F.least(F.floor((F.col("period_idx") - 1) / step), last).cast("bigint").alias("date_range"),
     )
-    return attach(panel, bins, [*keys, "date"], source=source)
+    return attach(panel, bins, [*keys, "date"])
 
 
 def period_rank_bins(

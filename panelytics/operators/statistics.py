@@ -74,11 +74,16 @@ def describe_report(report: DataFrame, columns: Sequence[str], by: Sequence[str]
 def describe_values(
     df: DataFrame, value: str, by: Sequence[str], quantiles: Sequence[float] = QUARTILES
 ) -> DataFrame:
-    """Summary of a measured column in groups of any size, with exact quantiles."""
+    """Summary of a measured column in groups of any size, with exact quantiles.
+
+    The mean is that of the values in millionths, summed as whole numbers and rounded half up to millionths, so it
+    depends neither on the order of rows nor on the edge of a float.
+    """
     names = {quantile_name(q): q for q in quantiles}
-    basics = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+    rows = df.where(F.col(value).isNotNull()).withColumn("_micro", F.round(F.col(value) * 1_000_000).cast("bigint"))
+    basics = rows.groupBy(*by).agg(
         F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
+        (F.expr("(2 * sum(_micro) + count(_micro)) div (2 * count(_micro))") / 1_000_000).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),

@@ -34,7 +34,7 @@ def with_period_idx(
     are cheaper to read elsewhere.
     """
     source = panel if source is None else source
-    return attach(panel, period_table(source, keys), [*keys, "date"], source=source)
+    return attach(panel, period_table(source, keys), [*keys, "date"])
 
 
 def month_number(date: Column | str = "date") -> Column:

@@ -1,56 +1,24 @@
-"""Join helpers whose broadcast side has a checked size."""
+"""Join helpers for a side that is short by nature."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# One row per edition and period is far below this; 1e5 short rows are a few MB.
-MAX_BROADCAST_KEYS = 100_000
+from panelytics.session import stage
 
-_key_counts: dict[tuple, int] = {}
 
+def attach(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one row per key to many rows without moving the many rows, if the one side is short.
 
-def count_keys(source: DataFrame, keys: Sequence[str], limit: int = MAX_BROADCAST_KEYS) -> int:
-    """Number of distinct keys, counted no further than ``limit + 1``.
-
-    The count reads the key columns only and is kept per plan, so a session
-    pays for it once per panel. On a panel stored by edition and period it is
-    answered from the partition columns.
-    """
-    distinct = source.select(*keys).distinct()
-    slot = (source.sparkSession.sparkContext.applicationId, distinct.semanticHash(), limit)
-    if slot not in _key_counts:
-        _key_counts[slot] = distinct.limit(limit + 1).count()
-    return _key_counts[slot]
-
-
-def attach(
-    rows: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    source: DataFrame | None = None,
-    limit: int = MAX_BROADCAST_KEYS,
-) -> DataFrame:
-    """Join one row per key to many rows without moving the many rows.
-
-    ``small`` holds at most one row per key of ``source`` (default ``rows``).
-    If the keys are counted to be few, ``small`` is broadcast and a hot key
-    costs nothing; beyond that it is a shuffle join, in which adaptive
-    execution splits hot partitions.
+    ``small`` is written to the shared folder, so the planner knows its size from the files. Up to
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and a hot key costs nothing; beyond that it is a shuffle join,
+    in which adaptive execution splits hot partitions. No hint, count or memo stands in for the size.
     """
-    keys = list(on)
-    if count_keys(source if source is not None else rows, keys, limit) <= limit:
-        small = F.broadcast(small)
-    return rows.join(small, keys, how)
+    return rows.join(stage(small, "short"), list(on), how)
 
 
-def few(small: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """A short list with a broadcast hint if its rows are counted to be few.
-
-    Without the hint the join shuffles, and adaptive execution splits hot keys.
-    """
-    return F.broadcast(small) if count_keys(small, small.columns, limit) <= limit else small
+def few(small: DataFrame) -> DataFrame:
+    """A short list, written once so that its size is known where it is joined."""
+    return stage(small, "short")

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from panelytics.operators.hinge import label_volumes
+from panelytics import PANEL_KEYS
+from panelytics.operators.hinge import volume_labels
+from panelytics.session import stage_folder
+from panelytics.sources.tables import write_panel
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -120,7 +122,7 @@ def with_needs(names: list[str] | tuple[str, ...]) -> list[str]:
     return ordered
 
 
-# Views that stand for stored tables; a session computes each once.
+# Views that stand for stored tables; a session writes each once.
 SHARED = (
     "v_counts", "v_panel", "v_panel_all", "v_daily", "v_supply", "v_succession", "v_topics", "v_meta", "v_links",
 )
@@ -139,14 +141,20 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A stage output that many queries read, kept for the session.
+        """A stage output that many queries read, written once to the shared folder.
 
-        It stands for the panel file that a pipeline would write and re-read;
-        lost blocks are rebuilt from their lineage.
+        It is the panel a pipeline would store: by edition and period where it has both, so that filters on them
+        prune files, and read again with only the columns that a query needs.
         """
         slot = (self.spark.sparkContext.applicationId, self.folder, name)
         if slot not in _shared:
-            _shared[slot] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            df = build()
+            path = stage_folder(self.spark, name.replace(" ", "-"))
+            if set(PANEL_KEYS) <= set(df.columns):
+                write_panel(df, path)
+            else:
+                df.write.parquet(path)
+            _shared[slot] = self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
         return _shared[slot]
 
     def _build(self, name: str) -> DataFrame:
@@ -165,8 +173,8 @@ class Tables:
 
     def volumes(self, name: str = "v_panel") -> DataFrame:
         """The panel labelled core / tail, shared by most analyses."""
-        keep = ["project", "date", "page_id", "page", "tot_count_views", "rank", "volume"]
-        return self.shared(f"volumes of {name}", lambda: label_volumes(self.view(name)).select(*keep))
+        keep = ["project", "date", "page_id", "page", "tot_count_views", "volume"]
+        return self.shared(f"volumes of {name}", lambda: volume_labels(self.view(name)).select(*keep))
 
     def core(self, name: str = "v_panel") -> DataFrame:
         return self.volumes(name).where("volume = 'core'")

@@ -25,13 +25,13 @@ def norm(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return repr(round(value + 0.0, 5) + 0.0)
+        return repr(round(value + 0.0, 6) + 0.0)
     if isinstance(value, int):
         return repr(float(value))
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(norm(v) for v in value) + "]"
     try:
-        return repr(round(float(value), 5)) if not isinstance(value, str) else value
+        return repr(round(float(value), 6)) if not isinstance(value, str) else value
     except (TypeError, ValueError):
         return str(value)
 
@@ -78,7 +78,7 @@ def main():
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     args = ap.parse_args()
     entry = importlib.import_module("__spark_entry__")
-    spark = local_session(8)
+    spark = local_session(8, spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(args.sf)
     queries, sql = entry.queries(), entry.oracle_sql()

@@ -10,10 +10,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from panelytics.session import local_session
 
-    session = local_session(4, app="tests", spark__sql__shuffle__partitions="4")
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(4, app="tests", spark__sql__shuffle__partitions="4", spark__checkpoint__dir=shared)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

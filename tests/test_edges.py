@@ -390,9 +390,44 @@ def test_class_weights_and_split(spark):
 def test_attach_gives_the_same_rows_with_and_without_broadcast(spark):
     rows = spark.range(1000).withColumn("k", F.col("id") % 50)
     small = rows.groupBy("k").count()
-    wide = attach(rows, small, ["k"], limit=10)
-    near = attach(rows, small, ["k"])
-    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, near.collect()))
+    near = sorted(map(tuple, attach(rows, small, ["k"]).collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, attach(rows, small, ["k"]).collect())) == near
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_ranks_leave_out_nulls_at_any_limit(spark):
+    rows = [("a", month(0), 1, "p", 5), ("a", month(0), 2, "q", 3), ("a", month(0), 3, "r", None), ("a", None, 4, "s", 9), (None, month(0), 5, "t", 9)]
+    df = spark.createDataFrame(rows, "project string, date date, page_id bigint, page string, tot_count_views bigint")
+    for lim in (2, 1_000, 1_001, None):
+        assert sorted((r.page_id, r["rank"]) for r in ranks.rank_rows(df, lim=lim).collect()) == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_labels_by_weight_equal_labels_by_rank(spark, seed):
+    df = panel(spark, [*random_panel(spark, seed), *[(7, p, p % 3) for p in range(60)], *[(8, p, int(p < 4)) for p in range(30)], *[(9, p, 2) for p in range(50)]])
+    want = {(r.date, r.page_id): r.volume for r in hinge.label_volumes(df).collect()}
+    assert {(r.date, r.page_id): r.volume for r in hinge.volume_labels(df).collect()} == want
+    bounds = {r.date: r for r in hinge.core_bounds(df).collect()}
+    for date in {d for d, _ in want}:
+        own = [v for (d, _), v in want.items() if d == date]
+        assert (bounds[date].nb_core, bounds[date].nb_pages) == (own.count("core"), len(own))
+    assert set(bounds) == {d for d, _ in want}
+
+
+def test_articles_are_counted_by_title_and_id(spark):
+    counts = spark.createDataFrame([("a", "T1", 1, 10), ("a", "T1 redirect", 1, 2), ("a", "T2", 2, 5)], "project string, page string, page_id bigint, tot_count_views bigint")
+    known = spark.createDataFrame([("a", "T1", 1), ("a", "T2", 2)], "project string, page string, page_id bigint")
+    assert [tuple(r) for r in pairs.edition_totals(counts, known).collect()] == [("a", 2, 15)]
+
+
+def test_a_redirect_listed_twice_is_counted_once(spark):
+    df = panel(spark, [(0, 7, 11)])
+    redirects = spark.createDataFrame([(7, 9), (7, 8)], "redirect bigint, target bigint")
+    assert [(r.page_id, r.tot_count_views) for r in identity.remap_ids(df, redirects).collect()] == [(8, 11)]
 
 
 def test_panel_store_prunes_partitions(spark, tmp_path):

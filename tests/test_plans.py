@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from panelytics.operators import filters, hinge, identity, overlap, ranks
-from panelytics.plans.joins import MAX_BROADCAST_KEYS, few
+from panelytics.plans.joins import attach
 from panelytics.sources import dumps
 from panelytics.streaming.arrivals import append_arrivals, arriving_counts
 
@@ -65,8 +65,21 @@ def test_edition_filter_reaches_the_scan(spark, tmp_path):
     assert df.count() == 1
 
 
-def test_small_tops_are_cut_before_the_shuffle(stored):
-    assert "WindowGroupLimit" in plan(ranks.rank_rows(stored, lim=5))
+def test_labels_move_no_row_but_ties(stored):
+    text = plan(hinge.volume_labels(stored))
+    rows = [line for line in text.splitlines() if "Arguments: hashpartitioning" in line and "page_id" in line]
+    assert not rows and "BroadcastHashJoin" in text
+
+
+def test_core_sizes_read_the_histogram_only(stored):
+    scan = [line for line in plan(hinge.core_bounds(stored)).splitlines() if "ReadSchema" in line]
+    assert scan and all("page_id" not in line for line in scan)
+
+
+@pytest.mark.parametrize("name", ["p6_period_predicates", "m11_edition_coverage", "x1_feature_table"])
+def test_filters_prune_the_stored_panel(spark, name):
+    text = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert any("PartitionFilters" in line and ("date" in line or "project" in line) for line in text.splitlines())
 
 
 def test_flux_needs_one_shuffle_by_entity(stored):
@@ -82,12 +95,20 @@ def test_redirect_collapse_has_no_join_and_no_window(stored):
     assert "Join" not in text and "Window" not in text
 
 
-def test_short_lists_are_broadcast_only_when_counted(spark):
-    short = spark.range(10).select(F.col("id").alias("k"))
+def test_the_size_on_disk_decides_what_is_broadcast(spark, tmp_path):
     rows = spark.range(100).select((F.col("id") % 10).alias("k"))
-    assert "ResolvedHint" not in plan(rows.join(few(short, limit=5), "k"))
-    assert few(short, limit=5) is short and few(short) is not short
-    assert MAX_BROADCAST_KEYS <= 100_000
+    short = str(tmp_path / "short")
+    spark.range(10).select(F.col("id").alias("k")).write.parquet(short)
+    assert "BroadcastHashJoin" in plan(attach(rows, spark.read.parquet(short), ["k"]))
+    # More rows under the same path are seen: nothing is remembered.
+    spark.range(10, 200_000).select(F.col("id").alias("k")).write.mode("append").parquet(short)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        many = spark.range(9_000_000).select(F.col("id").alias("k"))
+        assert "BroadcastHashJoin" not in plan(attach(many, spark.read.parquet(short), ["k"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_arrivals_are_taken_up_once(spark, tmp_path):
