@@ -120,18 +120,17 @@ MEMBERS = f"""{LABELLED_ITEMS}, co AS (SELECT project, date, item_id, MIN(date)
 
 
 def labelled_items(t: Tables) -> DataFrame:
-    return t.shared("volumes of items", lambda: hinge.volume_labels(items(t)).select(
+    return t.shared("volumes of items", lambda: hinge.volume_labels(items(t), everyone=True).select(
         "project", "date", "page_id", "item_id", "tot_count_views", "volume"
     ))
 
 
 def members(t: Tables) -> DataFrame:
-    labelled = labelled_items(t)
-    return pairs.with_tail_before(pairs.pair_members(pairs.pair_entries(labelled, edition_pairs(t))), labelled)
+    return pairs.pair_members(pairs.pair_entries(labelled_items(t), edition_pairs(t)))
 
 
 def treated(t: Tables) -> DataFrame:
-    return pairs.pre_post_views(pairs.treated_pairs(members(t)), items(t))
+    return pairs.pre_post_views(pairs.treated_pairs(members(t)))
 
 
 @query(

@@ -153,18 +153,24 @@ def core_bounds(panel: DataFrame, eps: float = 1, by: Sequence[str] = PANEL_KEYS
 
 
 def volume_labels(
-    panel: DataFrame, eps: float = 1, by: Sequence[str] = PANEL_KEYS, tie: Sequence[str] = ("page_id",)
+    panel: DataFrame,
+    eps: float = 1,
+    by: Sequence[str] = PANEL_KEYS,
+    tie: Sequence[str] = ("page_id",),
+    everyone: bool = False,
 ) -> DataFrame:
     """Every row of a group that has a hinge, with ``volume`` core or tail and no ranks.
 
+    With ``everyone`` rows of groups without a hinge stay too, with a null volume.
+
     A row's weight tells its side, so rows are labelled where they are read; only the ties of the one block
     that the hinge splits are ranked.
     """
     bounds = few(core_bounds(panel, eps, by)).select(*by, "core_weight", "core_ties", "block_ties")
-    rows = panel.where(F.col(WEIGHT).isNotNull()).join(bounds, list(by))
+    rows = panel.where(F.col(WEIGHT).isNotNull()).join(bounds, list(by), "left" if everyone else "inner")
     w, end = F.col(WEIGHT), F.col("core_weight")
-    split = (w == end) & (F.col("core_ties") < F.col("block_ties"))
-    clear = rows.where(~split).withColumn("volume", F.when(w >= end, "core").otherwise("tail"))
+    split = end.isNotNull() & (w == end) & (F.col("core_ties") < F.col("block_ties"))
+    clear = rows.where(~split).withColumn("volume", F.when(w >= end, "core").when(w < end, "tail"))
     ties = histogram.curve(rows.where(split), by, WEIGHT, tie)
     ties = ties.withColumn("volume", F.when(F.col("rank") <= F.col("core_ties"), "core").otherwise("tail"))
     return clear.select(*panel.columns, "volume").unionByName(ties.select(*panel.columns, "volume"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelytics import WEIGHT
-from panelytics.operators.hinge import label_volumes
+from panelytics.operators.hinge import volume_labels
 from panelytics.plans.joins import few
 
 
@@ -75,70 +75,70 @@ def item_panel(counts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def first_entries(labelled: DataFrame, volume: str = "core") -> DataFrame:
-    """The row in which each item of an edition is in a volume for the first time."""
+    """The row in which each item of an edition is in a volume for the first time, and the month before it.
+
+    Adds ``was_in_tail`` (the item was in that edition's tail one month earlier), ``views_post_treat`` (views of the month) and
+    ``views_pre_treat`` (of the month before, zero if not seen). One shuffle by item serves all of them; ``labelled`` has one row
+    per edition, item and period, with a null volume where the edition has no hinge.
+    """
     life = Window.partitionBy("project", "item_id")
-    inside = labelled.where(F.col("volume") == volume)
-    return inside.withColumn("_first", F.min("date").over(life)).where("date = _first").drop("_first")
+    before = F.lag(F.struct("date", "volume", WEIGHT)).over(life.orderBy("date"))
+    first = F.min(F.when(F.col("volume") == volume, F.col("date"))).over(life)
+    rows = labelled.withColumns({"_first": first, "_before": before}).where((F.col("date") == F.col("_first")) & (F.col("volume") == volume))
+    last_month = F.col("_before.date") == F.add_months("date", -1)
+    return rows.select(
+        *labelled.columns,
+        F.when(last_month & (F.col("_before.volume") == "tail"), 1).otherwise(0).alias("was_in_tail"),
+        F.col(WEIGHT).alias("views_post_treat"),
+        F.when(last_month, F.col(f"_before.{WEIGHT}")).otherwise(F.lit(0)).alias("views_pre_treat"),
+    )
 
 
 def pair_items(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(date, item, lang1, lang2) for items that both editions of a pair have.
+    """(date, item, lang1, lang2) for items that both editions of a pair have, with ``own1`` and ``own2`` if rows have ``own``.
 
     Rows meet the short list of pairs first, so an item that many editions
     share makes no more rows than there are pairs.
     """
-    spots = rows.select("date", "item_id", "project").distinct()
-    firsts = spots.withColumnRenamed("project", "lang1").join(few(pairs.select("lang1", "lang2")), "lang1")
-    return firsts.join(spots.withColumnRenamed("project", "lang2"), ["date", "item_id", "lang2"])
+    own = "own" in rows.columns
+    spots = rows.select("date", "item_id", "project", *(["own"] if own else []))
+    spots = spots if own else spots.distinct()
+    named = [spots.withColumnRenamed("project", f"lang{i}").withColumnRenamed("own", f"own{i}") for i in (1, 2)]
+    return named[0].join(few(pairs.select("lang1", "lang2")), "lang1").join(named[1], ["date", "item_id", "lang2"])
+
+
+MEMBER = ("was_in_tail", "views_post_treat", "views_pre_treat")
 
 
 def pair_entries(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Items that enter the core of both editions of a pair in the same period."""
-    return pair_items(first_entries(labelled), pairs)
+    """Items that enter the core of both editions of a pair in the same period; ``own1`` and ``own2`` tell of each edition."""
+    entries = first_entries(labelled).withColumn("own", F.struct(*MEMBER))
+    return pair_items(entries, pairs)
 
 
 def pair_members(entries: DataFrame) -> DataFrame:
-    """One row per member of each entry, with its pair."""
-    return entries.select(
-        "date", "item_id", "lang1", "lang2", F.explode(F.array("lang1", "lang2")).alias("project")
+    """One row per member of each entry, with its pair; ``intail`` counts the members that came from the tail."""
+    members = F.array(*[F.struct(F.col(f"lang{i}").alias("project"), F.col(f"own{i}").alias("own")) for i in (1, 2)])
+    intail = (F.col("own1.was_in_tail") + F.col("own2.was_in_tail")).cast("bigint").alias("intail")
+    return entries.select("date", "item_id", "lang1", "lang2", intail, F.explode(members).alias("_m")).select(
+        "date", "item_id", "lang1", "lang2", "_m.project", *[f"_m.own.{c}" for c in MEMBER], "intail"
     )
 
 
-def with_tail_before(members: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds ``was_in_tail``: the item was in that edition's tail one month earlier."""
-    tail = labelled.where("volume = 'tail'").select(
-        "project", "item_id", F.add_months("date", 1).alias("date"), F.lit(1).alias("_t")
-    ).distinct()
-    return members.join(tail, ["project", "item_id", "date"], "left").withColumn(
-        "was_in_tail", F.coalesce("_t", F.lit(0))
-    ).drop("_t")
-
-
 def treated_pairs(members: DataFrame) -> DataFrame:
     """Members of entries in which exactly one of the two came from the tail."""
-    entry = Window.partitionBy("lang1", "lang2", "item_id", "date")
-    return members.withColumn("intail", F.sum("was_in_tail").over(entry)).where("intail = 1")
+    return members.where("intail = 1")
 
 
 def matched_pairs(panel: DataFrame, pairs: DataFrame, tie: Sequence[str] = ("page_id",)) -> DataFrame:
     """All steps from an item panel to the natural experiment."""
-    labelled = label_volumes(panel, tie=tie)
-    return treated_pairs(with_tail_before(pair_members(pair_entries(labelled, pairs)), labelled))
+    labelled = volume_labels(panel, tie=tie, everyone=True)
+    return treated_pairs(pair_members(pair_entries(labelled, pairs)))
 
 
-def pre_post_views(members: DataFrame, panel: DataFrame) -> DataFrame:
-    """Views in the month of entry and in the month before (zero if not seen)."""
-    views = panel.select("project", "item_id", "date", WEIGHT)
-    post = members.join(views.withColumnRenamed(WEIGHT, "views_post_treat"), ["project", "item_id", "date"])
-    pre = views.select(
-        "project", "item_id", F.add_months("date", 1).alias("date"), F.col(WEIGHT).alias("views_pre_treat")
-    )
-    return (
-        post.join(pre, ["project", "item_id", "date"], "left")
-        .withColumn("views_pre_treat", F.coalesce("views_pre_treat", F.lit(0)))
-        .withColumnRenamed("date", "treatment_date")
-        .withColumn("previous_date", F.add_months("treatment_date", -1))
-    )
+def pre_post_views(members: DataFrame) -> DataFrame:
+    """Members by treatment date, with their views in that month and in the month before."""
+    return members.withColumnRenamed("date", "treatment_date").withColumn("previous_date", F.add_months("treatment_date", -1))
 
 
 def difference_in_differences(

@@ -359,12 +359,14 @@ def test_pair_entries_by_tail_before(spark):
             ("b", "Q4", month(0), "core"), ("a", "Q4", month(1), "core"), ("b", "Q4", month(1), "core"),
         ],
         "project string, item_id string, date date, volume string",
-    )
+    ).withColumn("tot_count_views", F.month("date").cast("bigint") * 10)
     matched = spark.createDataFrame([("a", "b")], "lang1 string, lang2 string")
-    members = pairs.with_tail_before(pairs.pair_members(pairs.pair_entries(labelled, matched)), labelled)
+    members = pairs.pair_members(pairs.pair_entries(labelled, matched))
     assert {r.item_id for r in members.collect()} == {"Q1", "Q2", "Q3"}
     treated = pairs.treated_pairs(members).collect()
     assert {(r.item_id, r.project, r.was_in_tail) for r in treated} == {("Q1", "a", 1), ("Q1", "b", 0)}
+    views = {(r.item_id, r.project, r.views_pre_treat, r.views_post_treat) for r in pairs.pre_post_views(members).collect()}
+    assert {v for v in views if v[0] == "Q1"} == {("Q1", "a", 10, 20), ("Q1", "b", 0, 20)}
 
 
 def test_difference_in_differences_by_hand(spark):
