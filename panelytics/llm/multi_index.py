@@ -35,7 +35,7 @@ class Settings:
     centroids: int = 16
     sample: int = 20_000
     iterations: int = 12
-    probe: float = 0.5
+    probe: float = 0.65
     k: int = 5
     every: int = 50
     tile: int = 1_024
