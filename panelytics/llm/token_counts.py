@@ -2,7 +2,8 @@
 
 A text's words are the initial symbols of its bytes minus the merges made: the adjacent pair of lowest rank is popped
 from a heap, its two symbols of a linked list become one, and the pairs on both sides of it are pushed, until no pair
-has a rank. Counts of words are kept in each worker, at most ``keep`` of them, so a frequent word is merged once.
+has a rank. Counts of words, and of words with the blanks before them,
+are kept in each worker, at most ``keep`` of either, so a frequent word is merged once.
 
 Texts are cut where a character that is no white space meets white space: no token of the pattern below crosses from the
 first to the second. The string of an added special token counts as one token and cuts the text, as the library does
@@ -52,8 +53,14 @@ class MergeCounter(dict):
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that change their surroundings are not known here")
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
-        self.bytes = byte_characters()
+        # Symbols are numbers; a pair is one number, and its rank says which symbol it becomes.
+        ids = spec["model"]["vocab"]
+        self.shift = len(ids).bit_length()
+        self.ranks = {ids[a] << self.shift | ids[b]: i for i, (a, b) in enumerate(merges)}
+        self.becomes = [ids[a + b] for a, b in merges]
+        chars = byte_characters()
+        self.bytes = [ids[chars[b]] for b in range(256)]
+        self.words: dict[str, int] = {}
         self.pattern = regex.compile(PATTERN)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -61,31 +68,45 @@ class MergeCounter(dict):
 
     def merged(self, word: str) -> int:
         """Symbols left of one word after all merges."""
-        symbols = [self.bytes[b] for b in word.encode()]
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        alive, merges, ranks = [True] * n, 0, self.ranks
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        code, shift, rank_of, becomes = self.bytes, self.shift, self.ranks.get, self.becomes
+        symbols = [code[b] for b in word.encode()]
+        n = left = len(symbols)
+        heap = [r * n + i for i in range(n - 1) if (r := rank_of(symbols[i] << shift | symbols[i + 1])) is not None]
+        if not heap:
+            return n
         heapq.heapify(heap)
+        # after[i] is the next symbol's place, before[i] the last one's; a merged-away symbol is -1.
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i = divmod(heapq.heappop(heap), n)
             j = after[i]
             # An entry is stale if either symbol has merged with another since it was pushed.
-            if not alive[i] or j >= n or symbols[i] != left or symbols[j] != right:
+            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << shift | symbols[j]) != rank:
                 continue
-            symbols[i] = left + right
-            alive[j] = False
-            merges += 1
+            symbols[i], symbols[j] = becomes[rank], -1
+            left -= 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b < n and (r := ranks.get((symbols[a], symbols[b]))) is not None:
-                    heapq.heappush(heap, (r, a, symbols[a], symbols[b]))
-        return n - merges
+                if (r := rank_of(symbols[i] << shift | symbols[k])) is not None:
+                    heapq.heappush(heap, r * n + i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(symbols[h] << shift | symbols[i])) is not None:
+                heapq.heappush(heap, r * n + h)
+        return left
+
+    def of_word(self, word: str) -> int:
+        n = self.words.get(word)
+        if n is None:
+            n = self.merged(word)
+            if len(word) <= self.longest:
+                if len(self.words) >= self.keep:
+                    self.words.clear()
+                self.words[word] = n
+        return n
 
     def __missing__(self, chunk: str) -> int:
-        n = sum(map(self.merged, self.pattern.findall(chunk)))
+        n = sum(map(self.of_word, self.pattern.findall(chunk)))
         if len(chunk) <= self.longest:
             if len(self) >= self.keep:
                 self.clear()
@@ -99,8 +120,9 @@ class MergeCounter(dict):
 
     def plain(self, text: str) -> int:
         """Chunks of blanks and a word where all white space is ASCII, else words of the pattern."""
-        cut = self.pattern if OTHER_SPACE.search(text) else CHUNK
-        return sum(map(self.__getitem__, cut.findall(text)))
+        if OTHER_SPACE.search(text):
+            return sum(map(self.of_word, self.pattern.findall(text)))
+        return sum(map(self.__getitem__, CHUNK.findall(text)))
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
