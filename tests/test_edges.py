@@ -317,7 +317,7 @@ def test_namespaces(spark):
 
 def links(spark, rows):
     df = spark.createDataFrame(rows, "prev string, curr string, type string, count bigint")
-    return transitions.transition_counts(df.withColumn("date", F.lit(JAN)))
+    return transitions.transition_counts(df.withColumn("date", F.lit(JAN)), ["date"])
 
 
 def test_transition_matrix_without_sources_or_transitions(spark):
@@ -327,10 +327,10 @@ def test_transition_matrix_without_sources_or_transitions(spark):
         ("other-empty", "b", "external", 50), ("zz", "a", "link", 9), ("b", "zz", "link", 1), ("a", "b", "other", 2),
     ]
     counts = links(spark, rows)
-    got = {r.curr: r for r in transitions.source_fractions(transitions.transition_matrix(counts, labels)).collect()}
+    got = {r.curr: r for r in transitions.source_fractions(transitions.transition_matrix(counts, labels, ["date"])).collect()}
     assert got["a"].total == 0 and got["a"].frac_core is None
     assert got["b"].total == 8 and got["b"]["other-search"] == 0 and got["b"].tail == 3
-    loss = transitions.label_loss(counts, labels).first()
+    loss = transitions.label_loss(counts, labels, ["date"]).first()
     assert (loss.initial_links, loss.final_links) == (5, 3)
 
 
