@@ -11,7 +11,7 @@ queries into blocks of as many, so a cell with a third of all rows is a number o
 Vectors here have no strong clusters, so a good recall needs a large ``probe``; the default is measured (README).
 
 Defined results: vectors that are null, zero, of another length than most vectors, or hold null or non-finite components take no part,
-neither do rows without an id. Rows that repeat a vec_id are one candidate, at their best score, and one query. Ties go to the
+neither do rows without an id. Rows that repeat a vec_id are one candidate, at their best score, and one query, with the smallest of their vectors. Ties go to the
 smaller id. Fewer than ``k`` candidates in all: all of them. Other columns do not matter.
 """
 
@@ -135,7 +135,7 @@ def search(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 cells = [walk(f, s, sizes, wanted) for f, s in zip(first, second, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "v", "cells"])
 
-    queries = index.where(F.pmod("vec_id", F.lit(settings.every)) == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
+    queries = index.where(F.pmod("vec_id", F.lit(settings.every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     routed = stage(queries.mapInArrow(route, "query_id long, v array<double>, cells array<int>"), "routed")
     visits = routed.select("query_id", "v", F.explode("cells").alias("cell"))
     asked = np.zeros(len(sizes), dtype=np.int64)
