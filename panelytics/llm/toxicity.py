@@ -134,25 +134,29 @@ class Sample:
     def document_features(self, toxic: bool) -> tuple[np.ndarray, np.ndarray, float]:
         """Features of a class, the number of its documents that hold each, and their number in all; near copies count as one."""
         ends = np.cumsum(self.sizes)
-        sets = [np.zeros(0, dtype=np.uint32)]
+        sets, pairs = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint64)]
         for doc, label in zip(self.docs, self.toxic, strict=True):
             if label == toxic:
                 own = np.unique(doc)
                 sets.append(np.unique(self.hashes[_spans(ends[own] - self.sizes[own], self.sizes[own])]))
-        weights = copy_weights(sets)
+                pairs.append(doc[:-1].astype(np.uint64) << np.uint64(32) | doc[1:].astype(np.uint64))
+        weights = copy_weights(pairs)
         found, at = np.unique(np.concatenate(sets), return_inverse=True)
         return found, np.bincount(at, weights=np.repeat(weights, [len(x) for x in sets]), minlength=len(found)), float(weights[1:].sum())
 
 
-def copy_weights(sets: list[np.ndarray], sketch: int = 32, shared: int = 20) -> np.ndarray:
-    """One over the number of documents, itself included, whose sketch of smallest feature hashes has ``shared`` in common."""
-    small = [np.sort(x)[:sketch] for x in sets]
-    known, at = np.unique(np.concatenate(small), return_inverse=True)
-    held = np.zeros((len(sets), len(known)), dtype=np.float32)
-    held[np.repeat(np.arange(len(sets)), [len(x) for x in small]), at] = 1
-    need = np.minimum(shared, np.array([len(x) for x in small]) * shared / sketch)
-    alike = np.empty(len(sets))
-    for i in range(0, len(sets), 256):
+def copy_weights(pairs: list[np.ndarray], sketch: int = 32, shared: int = 20) -> np.ndarray:
+    """One over the number of documents, itself included, that have ``shared`` of its smallest ``sketch`` hashes of token pairs."""
+    small = [np.unique(x * np.uint64(0x9E3779B97F4A7C15))[:sketch] for x in pairs]
+    _, at, times = np.unique(np.concatenate(small), return_inverse=True, return_counts=True)
+    # A hash of one document alone is shared with none, so it needs no column.
+    column = np.cumsum(times > 1) - 1
+    several, owner = times[at] > 1, np.repeat(np.arange(len(pairs)), [len(x) for x in small])
+    held = np.zeros((len(pairs), int((times > 1).sum())), dtype=np.float32)
+    held[owner[several], column[at[several]]] = 1
+    need = np.maximum(np.array([len(x) for x in small]) * shared / sketch, 0.5)
+    alike = np.empty(len(pairs))
+    for i in range(0, len(pairs), 256):
         alike[i : i + 256] = (held[i : i + 256] @ held.T >= need[i : i + 256, None]).sum(axis=1)
     return 1 / np.maximum(alike, 1)
 
