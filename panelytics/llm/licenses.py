@@ -156,7 +156,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest and license (null: none) for every row of ``docs``."""
     digests = known.select("name", digest(canonical(F.col("text"))).alias("digest")).where("digest IS NOT NULL")
     digests = digests.groupBy("digest").agg(F.min("name").alias("license"))
-    own = docs.select("doc_id", digest(canonical(F.col("text"))).alias("digest"))
+    # The form is a column of its own, so that it is made once for a text.
+    own = docs.select("doc_id", canonical(F.col("text")).alias("form")).select("doc_id", digest(F.col("form")).alias("digest"))
     return own.join(digests, "digest", "left").select("doc_id", "digest", "license")
 
 
