@@ -25,3 +25,12 @@ def test_stages_take_effect(spark):
         at = step(spark, at, SF)
         assert at.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_every_operator_is_registered_once():
+    import __spark_entry__ as entry
+
+    names = [n for n in entry.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert "pipeline" in entry.queries() and "op6_license_scan" in entry.oracle_sql()
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "sentencepiece"]
