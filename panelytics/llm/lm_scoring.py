@@ -8,9 +8,9 @@ How the work is spread:
   of equal mass, and every other word by a class for its shape (letters outside ASCII, last character). Inside
   a shape, p(word) = (c + 1) / (N_s + V_s + 1) from the counts of all training rows, c = 0 being the one slot of
   unseen words, so all probabilities add up to one.
-* Weights are trained on ``train_share`` of the training documents (at least ``train_least`` of them where there
-  are so many), a share that grows with the input, by replicas that see a slice each; after each round the replicas'
-  weights are averaged by a grouped aggregation over weight positions.
+* Weights are trained in one pass over all training documents, at every size of the input. A hash deals them to the
+  rounds, and each replica of a round sees a slice of its own; after each round the replicas' weights are averaged by a
+  grouped aggregation over weight positions.
 * Scoring is one pass over the documents. A document's words outside the frequent end are joined to the stored
   counts by word; no word there is frequent enough to make a hot key.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelytics.llm import gru
-from panelytics.llm.common import built, hash_share, id_remainder, slices, texts, words
+from panelytics.llm.common import built, id_remainder, slices, texts, words
 from panelytics.session import stage
 
 END = b""  # no word is empty
@@ -50,8 +50,6 @@ class Settings:
     embedding: int = 16
     hidden: int = 32
     window: int = 32
-    train_share: float = 1 / 32
-    train_least: int = 2_000
     rounds: int = 3
     replica_tokens: int = 400_000
     rate: float = 0.01
@@ -178,15 +176,9 @@ def _coded(text: bytes, index: dict, vocab: Vocabulary) -> tuple[np.ndarray, np.
     return at, symbols, tail
 
 
-def trained(training: DataFrame, vocab: Vocabulary, shape: gru.Shape, weights: np.ndarray, settings: Settings) -> np.ndarray:
-    """Rounds of training by replicas whose weights are averaged in Spark."""
-    spark = training.sparkSession
-    n = training.count()
-    if not n:
-        return weights
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    share = max(settings.train_share, min(1.0, settings.train_least / n))
-    sent = spark.sparkContext.broadcast(vocab)
+def dealt_rounds(training: DataFrame, vocab: Vocabulary, settings: Settings) -> list[DataFrame]:
+    """The training rows as (key, symbols), each in one of the rounds; a partition is the slice of one replica."""
+    sent = training.sparkSession.sparkContext.broadcast(vocab)
 
     def code(batches):
         index = built("words", sent, lambda v: v.index())
@@ -194,13 +186,18 @@ def trained(training: DataFrame, vocab: Vocabulary, shape: gru.Shape, weights: n
             coded = [_coded(t, index, sent.value)[1] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.list_(pa.int32()))], ["key", "symbols"])
 
-    sample = training.where(hash_share(share, F.col("doc_id"), F.col("text"))).select(key.alias("key"), texts(training).alias("text"))
-    sample = stage(sample.mapInArrow(code, "key long, symbols array<int>"), "lm-sample")
-    tokens = sample.agg(F.sum(F.size("symbols"))).first()[0] or 0
-    replicas = max(1, round(tokens / settings.replica_tokens))
-    # Rows were chosen by a hash, so any even deal will do; replicas, and what they send, stay in proportion to the sample.
-    dealt = sample.repartition(replicas)
-    for _ in range(settings.rounds):
+    rows = training.select(F.xxhash64("doc_id", "text").alias("key"), texts(training).alias("text"))
+    coded = stage(rows.mapInArrow(code, "key long, symbols array<int>"), "lm-coded")
+    part = F.pmod("key", F.lit(settings.rounds))
+    tokens = dict(coded.groupBy(part).agg(F.sum(F.size("symbols"))).collect())
+    # Rounds were chosen by a hash, so any even deal will do; replicas, and what they send, stay in proportion to the rows.
+    return [coded.where(part == k).repartition(max(1, round(tokens[k] / settings.replica_tokens))) for k in sorted(tokens)]
+
+
+def trained(training: DataFrame, vocab: Vocabulary, shape: gru.Shape, weights: np.ndarray, settings: Settings) -> np.ndarray:
+    """One pass over all training rows, in rounds of replicas whose weights are averaged in Spark."""
+    spark = training.sparkSession
+    for dealt in dealt_rounds(training, vocab, settings):
         now = spark.sparkContext.broadcast(weights)
 
         def replica(batches, now=now):

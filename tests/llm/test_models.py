@@ -102,6 +102,17 @@ def test_lm_base_scores_equal_brute_force(spark):
     assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 for r in lm_scoring.score_documents(only_held).collect())
 
 
+def test_lm_trains_on_every_row_once(spark):
+    docs = spark.range(6_000).selectExpr("id AS doc_id", "concat('w', id % 50, ' u', id) AS text")
+    settings = lm_scoring.Settings(replica_tokens=2_000)
+    vocab, _, _ = lm_scoring.vocabulary(lm_scoring.count_words(docs), settings)
+    rounds = lm_scoring.dealt_rounds(docs, vocab, settings)
+    assert len(rounds) == settings.rounds and all(r.rdd.getNumPartitions() > 1 for r in rounds)
+    keys = [r["key"] for part in rounds for r in part.collect()]
+    want = [r["key"] for r in docs.selectExpr("xxhash64(doc_id, text) AS key").collect()]
+    assert sorted(keys) == sorted(want)
+
+
 # --- toxicity ---
 
 
