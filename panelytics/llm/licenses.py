@@ -1,6 +1,6 @@
 """Recognises texts that are a known licence as a whole, by the digest of a canonical form.
 
-Canonical form, by column functions alone: lower case; lines that open with a copyright notice are dropped; British and other
+Canonical form, by column functions alone: lower case; lines that open with a copyright notice (its sign, a year or a placeholder) are dropped; British and other
 equivalent spellings become one; quotes, comment marks, bullets and all other punctuation become blanks; runs of blanks
 become one. The SHA-256 of that form is looked up among the digests of the known licences by a hash join.
 
@@ -115,8 +115,12 @@ KNOWN = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
-# Lines of a copyright notice, with what may stand before it in a comment; then what the form does not keep.
-_COPYRIGHT = r"(?m)^[ \t*/#;.<>-]*(copyright|\(c\)|©)[^\n]*$"
+# Lines of a copyright notice, with what may stand before it in a comment: a sign, a year or a placeholder follows the word, so
+# that lines of wrapped text which open with "copyright holders" or "(c)" stay.
+_DATED = r"(19|20)[0-9][0-9]|[\[<{]|yyyy"
+_COPYRIGHT = rf"(?m)^[ \t*/#;.<>-]*(copyright[ \t:,]*(\(c\)|©|{_DATED})|\(c\)[ \t]*(copyright|{_DATED})|©)[^\n]*$"
+# The SQL twin drops every line that opens with the word. Then what the form does not keep.
+_COPYRIGHT_SQL = r"(?m)^[ \t*/#;.<>-]*(copyright|\(c\)|©)[^\n]*$"
 # Typographic quotes, dashes and blanks (U+0080-00BF, U+2000-303F) count as punctuation.
 _KEPT = "[^a-z0-9\\x{C0}-\\x{1FFF}\\x{3040}-\\x{10FFFF}]+"
 
@@ -133,10 +137,10 @@ def canonical(text: Column) -> Column:
 
 
 def canonical_sql(text: str) -> str:
-    """The same form in DuckDB's SQL."""
+    """The form in DuckDB's SQL; it differs where a line opens with "copyright" and is no notice."""
     form = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     form = f"regexp_replace({form}, '\\r\\n?', chr(10), 'g')"
-    form = f"regexp_replace({form}, '{_COPYRIGHT}', ' ', 'g')"
+    form = f"regexp_replace({form}, '{_COPYRIGHT_SQL}', ' ', 'g')"
     form = f"' ' || regexp_replace({form}, '{_KEPT}', ' ', 'g') || ' '"
     for other, one in SPELLINGS:
         form = f"replace({form}, ' {other}', ' {one}')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -219,6 +220,21 @@ def test_license_forms(spark, nothing):
     assert forms == len(licenses.KNOWN)
 
 
+def test_wrapped_licenses(spark):
+    rows = []
+    for name, text in licenses.KNOWN.items():
+        for width in range(30, 101, 3):
+            lines = [line for part in text.split("\n") for line in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False) or [""]]
+            for head in ("", "# ", " * ", "// "):
+                notice = [["Copyright (c) 2020 A. Person"], ["Copyright 1999-2001 B"], ["Copyright [yyyy] [name of copyright owner]"], ["© C"], ["(c) 2011 D"]][width % 5]
+                rows.append((name, "\n".join(head + line for line in notice + lines)))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = licenses.scan(docs, licenses.known_licenses(spark)).where("license IS NULL OR license <> doc_id")
+    assert got.count() == 0
+    kept = spark.createDataFrame([("(c) You must retain\ncopyright holders be",)], "t string").select(licenses.canonical("t")).first()[0]
+    assert kept == "c you must retain copyright holders be"
+
+
 def test_sharding_law(spark, odd, nothing):
     settings = sharding.Settings(weights=(1.0, 2.0, 1.0), cell_rows=7)
     rows = plain(odd)
