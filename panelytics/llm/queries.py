@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelytics.llm import decontaminate, licenses, lm_scoring, multi_index, pieces, sharding, simhash, token_counts, toxicity, url_filter
+from panelytics.llm import decontaminate, licenses, lm_scoring, merkle, multi_index, pieces, sharding, simhash, token_counts, toxicity, url_filter, vector_codes, word_bpe
 from panelytics.llm.common import table
 
 RULES = [
@@ -64,6 +64,18 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"))
 
 
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(table(spark, folder, "documents"))
+
+
+def byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return word_bpe.digests(word_bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm,
     "op2_url_filter": urls,
@@ -75,9 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxic_spans,
     "op9_nearest_neighbours": neighbours,
     "op10_sharding": shards,
+    "op11_merkle_manifest": manifest,
+    "op12_bpe": byte_pairs,
+    "op13_vector_codes": codes,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op6_license_scan": licenses.scan_sql()}
+SQL: dict[str, str] = {"op6_license_scan": licenses.scan_sql(), "op11_merkle_manifest": merkle.audit_sql(), "op13_vector_codes": vector_codes.compress_sql()}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
