@@ -69,7 +69,8 @@ def walsh(rows: np.ndarray) -> np.ndarray:
 
 def padded(rows: np.ndarray) -> np.ndarray:
     width = 1 << max(0, rows.shape[1] - 1).bit_length()
-    return np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+    # Zeros of the same kind: np.pad would put 64-bit numbers among Python's.
+    return np.concatenate([rows, np.zeros((len(rows), width - rows.shape[1]), dtype=rows.dtype)], axis=1)
 
 
 def exact(rows: np.ndarray, *others: np.ndarray) -> np.dtype:
