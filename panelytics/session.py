@@ -65,3 +65,28 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     folder = stage_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Scratch:
+    """Stages that are needed only until a later one is written; ``with`` removes them at its end.
+
+    What is read after the block must be staged outside of it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def stage(self, df: DataFrame, name: str = "scratch") -> DataFrame:
+        folder = stage_folder(self.spark, name)
+        self.folders.append(folder)
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for folder in self.folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
