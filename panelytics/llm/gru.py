@@ -7,11 +7,22 @@ length and carries the state, but not the gradient, from one window to the next.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 
 
+def one_thread() -> None:
+    """Matrix products of this process on one thread: Spark runs a task on every core, and threads that wait still spin."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 @dataclass(frozen=True)
 class Shape:
     symbols: int
@@ -70,23 +81,29 @@ def _log_total(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
+def by_class(shape: Shape, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Rows in the order of their class, and (first row, end, first symbol, end) of the classes of two symbols or more."""
+    order = np.argsort(kinds.astype(np.uint8) if len(shape.edges) < 256 else kinds, kind="stable")
+    bounds = np.searchsorted(kinds[order], np.arange(len(shape.edges)))
+    spans = zip(bounds[:-1].tolist(), bounds[1:].tolist(), shape.edges[:-1], shape.edges[1:], strict=True)
+    return order, [(a, b, low, high) for a, b, low, high in spans if b > a and high - low > 1]
+
+
 def log_probability(shape: Shape, p: dict, classes: np.ndarray, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of p(class | state) p(symbol | class, state) for each row."""
     kinds = classes[targets]
     logits = states @ p["class_w"] + p["class_b"]
     out = (logits[np.arange(len(kinds)), kinds] - _log_total(logits)).astype(np.float64)
-    order = np.argsort(kinds, kind="stable")
-    bounds = np.searchsorted(kinds[order], np.arange(len(shape.edges)))
-    for k in range(len(shape.edges) - 1):
-        low, high = shape.edges[k], shape.edges[k + 1]
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows) and high - low > 1:
-            inner = states[rows] @ p["word_w"][:, low:high] + p["word_b"][low:high]
-            out[rows] += inner[np.arange(len(rows)), targets[rows] - low] - _log_total(inner)
+    order, spans = by_class(shape, kinds)
+    states, targets, inside = states[order], targets[order], np.zeros(len(order))
+    for a, b, low, high in spans:
+        inner = states[a:b] @ p["word_w"][:, low:high] + p["word_b"][low:high]
+        inside[a:b] = inner[np.arange(b - a), targets[a:b] - low] - _log_total(inner)
+    out[order] += inside
     return out
 
 
-def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 1024, rows: int = 65_536) -> np.ndarray:
+def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 1024, rows: int = 8_192) -> np.ndarray:
     """Natural log probability of each sequence of symbols, in the order given.
 
     Sequences of like length run side by side; a state is kept for every sequence until it ends.
@@ -132,8 +149,8 @@ def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int =
 def gradient(shape: Shape, p: dict, classes: np.ndarray, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Gradient of the mean negative log probability over one window.
 
-    ``x`` and ``y`` are steps by lanes; a lane whose input is the start symbol begins anew. Returns
-    the gradient, the state after the window and the mean loss.
+    ``x`` and ``y`` are steps by lanes; a lane whose input is the start symbol begins anew. A target of -1 is no token: it
+    fills up the lanes and counts nowhere. Returns the gradient, the state after the window and the mean loss.
     """
     steps, lanes = x.shape
     h = shape.hidden
@@ -141,7 +158,9 @@ def gradient(shape: Shape, p: dict, classes: np.ndarray, x: np.ndarray, y: np.nd
     inputs = embed @ p["w"] + p["b"]
     before, after, gates, news, recs = [], [], [], [], []
     for t in range(steps):
-        state = np.where((x[t] == shape.start)[:, None], np.float32(0), state)
+        begins = x[t] == shape.start
+        if begins.any():
+            state = np.where(begins[:, None], np.float32(0), state)
         g = state @ p["u"]
         gate = _sigmoid(inputs[t][:, : 2 * h] + g[:, : 2 * h])
         new = np.tanh(inputs[t][:, 2 * h :] + gate[:, :h] * g[:, 2 * h :])
@@ -153,6 +172,9 @@ def gradient(shape: Shape, p: dict, classes: np.ndarray, x: np.ndarray, y: np.nd
         recs.append(g[:, 2 * h :])
     out = {name: np.zeros_like(v) for name, v in p.items()}
     states, targets = np.concatenate(after), y.reshape(-1)
+    there = np.flatnonzero(targets >= 0)
+    if len(there) < len(targets):
+        states, targets = states[there], targets[there]
     n = len(targets)
     kinds = classes[targets]
     logits = states @ p["class_w"] + p["class_b"]
@@ -163,44 +185,58 @@ def gradient(shape: Shape, p: dict, classes: np.ndarray, x: np.ndarray, y: np.nd
     out["class_w"] += states.T @ soft / n
     out["class_b"] += soft.sum(axis=0) / n
     d_states = soft @ p["class_w"].T
-    order = np.argsort(kinds, kind="stable")
-    bounds = np.searchsorted(kinds[order], np.arange(len(shape.edges)))
-    for k in range(len(shape.edges) - 1):
-        low, high = shape.edges[k], shape.edges[k + 1]
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows) and high - low > 1:
-            s = states[rows]
-            inner = s @ p["word_w"][:, low:high] + p["word_b"][low:high]
-            logs = _log_total(inner)
-            here = targets[rows] - low
-            loss += float((logs - inner[np.arange(len(rows)), here]).sum())
-            soft = np.exp(inner - logs[:, None])
-            soft[np.arange(len(rows)), here] -= 1
-            out["word_w"][:, low:high] += s.T @ soft / n
-            out["word_b"][low:high] += soft.sum(axis=0) / n
-            d_states[rows] += soft @ p["word_w"][:, low:high].T
-    d_states = (d_states / n).reshape(steps, lanes, h)
-    d_inputs = np.empty_like(inputs)
+    order, spans = by_class(shape, kinds)
+    sorted_states, wanted, d_sorted = states[order], targets[order], np.zeros_like(states)
+    for a, b, low, high in spans:
+        s, here, at = sorted_states[a:b], wanted[a:b] - low, np.arange(b - a)
+        inner = s @ p["word_w"][:, low:high] + p["word_b"][low:high]
+        inner -= inner.max(axis=1)[:, None]
+        soft = np.exp(inner)
+        mass = soft.sum(axis=1)
+        loss += float((np.log(mass) - inner[at, here]).sum())
+        soft /= mass[:, None]
+        soft[at, here] -= 1
+        out["word_w"][:, low:high] = s.T @ soft / n
+        out["word_b"][low:high] = soft.sum(axis=0) / n
+        d_sorted[a:b] = soft @ p["word_w"][:, low:high].T
+    d_states[order] += d_sorted
+    d_all = np.zeros((steps * lanes, h), dtype=states.dtype)
+    d_all[there] = d_states / n
+    d_states = d_all.reshape(steps, lanes, h)
+    d_inputs, d_g = np.empty_like(inputs), np.empty_like(inputs)
     back = np.zeros((lanes, h), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
         d = d_states[t] + back
         r, z = gates[t][:, :h], gates[t][:, h:]
         d_new = d * (1 - z) * (1 - news[t] ** 2)
-        d_gate = np.concatenate([d_new * recs[t] * r * (1 - r), d * (before[t] - news[t]) * z * (1 - z)], axis=1)
-        d_inputs[t] = np.concatenate([d_gate, d_new], axis=1)
-        d_g = np.concatenate([d_gate, d_new * r], axis=1)
-        out["u"] += before[t].T @ d_g
-        back = d * z + d_g @ p["u"].T
-        back[x[t] == shape.start] = 0
+        own = d_inputs[t]
+        np.multiply(d_new * recs[t], r * (1 - r), out=own[:, :h])
+        np.multiply(d * (before[t] - news[t]), z * (1 - z), out=own[:, h : 2 * h])
+        own[:, 2 * h :] = d_new
+        d_g[t] = own
+        d_g[t, :, 2 * h :] *= r
+        back = d * z + d_g[t] @ p["u"].T
+        begins = x[t] == shape.start
+        if begins.any():
+            back[begins] = 0
+    out["u"] += np.concatenate(before).T @ d_g.reshape(-1, 3 * h)
     flat_inputs = d_inputs.reshape(-1, 3 * h)
     out["w"] += embed.reshape(-1, shape.embedding).T @ flat_inputs
     out["b"] += flat_inputs.sum(axis=0)
-    np.add.at(out["embed"], x.reshape(-1), flat_inputs @ p["w"].T)
+    # Rows of one symbol are added in runs of the sorted symbols.
+    flat_x = x.reshape(-1)
+    order = np.argsort(flat_x, kind="stable")
+    starts = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
+    out["embed"][flat_x[order[starts]]] = np.add.reduceat((flat_inputs @ p["w"].T)[order], starts, axis=0)
     return out, state, loss / n
 
 
-def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 64, window: int = 32, rate: float = 0.01) -> np.ndarray:
-    """One pass over the sequences by truncated back-propagation with Adam; returns new weights."""
+def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 256, window: int = 32, rate: float = 0.01, updates: int = 128) -> np.ndarray:
+    """One pass over the sequences by truncated back-propagation with Adam; returns new weights.
+
+    The sequences are laid end to end over parallel lanes, at most ``lanes`` and so many that about ``updates`` windows
+    follow one another. Every token takes part; the last lane is filled up with no tokens.
+    """
     texts = [t for t in texts if len(t)]
     if not texts:
         return flat.copy()
@@ -209,17 +245,19 @@ def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int =
     classes = np.repeat(np.arange(len(shape.edges) - 1), np.diff(shape.edges))
     y = np.concatenate(texts)
     x = np.concatenate([np.concatenate([[shape.start], t[:-1]]) for t in texts])
-    lanes = max(1, min(lanes, len(y) // window))
-    length = len(y) // lanes  # what is left over is shorter than a lane's step
-    x = x[: lanes * length].reshape(lanes, length).T
-    y = y[: lanes * length].reshape(lanes, length).T
+    lanes = max(1, min(lanes, len(y) // (window * updates)))
+    length = -(-len(y) // lanes)
+    spare = lanes * length - len(y)
+    x = np.concatenate([x, np.full(spare, shape.start)]).reshape(lanes, length).T
+    y = np.concatenate([y, np.full(spare, -1)]).reshape(lanes, length).T
     state = np.zeros((lanes, shape.hidden), dtype=np.float32)
     first, second = np.zeros_like(flat), np.zeros_like(flat)
     for step, at in enumerate(range(0, length, window), 1):
         g, state, _ = gradient(shape, p, classes, x[at : at + window], y[at : at + window], state)
         g = np.concatenate([v.reshape(-1) for v in g.values()])
-        g *= min(1.0, 1.0 / (float(np.sqrt((g * g).sum())) + 1e-12))
-        first += 0.1 * (g - first)
-        second += 0.005 * (g * g - second)
-        flat -= np.float32(rate) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.995**step)) + 1e-8)
+        g *= np.float32(min(1.0, 1.0 / (float(np.sqrt(np.dot(g, g))) + 1e-12)))
+        first += np.float32(0.1) * (g - first)
+        second += np.float32(0.005) * (g * g - second)
+        size = np.sqrt(second * np.float32(1 / (1 - 0.995**step))) + np.float32(1e-8)
+        flat -= np.float32(rate / (1 - 0.9**step)) * first / size
     return flat

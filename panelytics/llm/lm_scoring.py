@@ -51,7 +51,7 @@ class Settings:
     hidden: int = 32
     window: int = 32
     rounds: int = 3
-    replica_tokens: int = 400_000
+    replica_tokens: int = 1_000_000
     rate: float = 0.01
     seed: int = 11
 
@@ -201,6 +201,7 @@ def trained(training: DataFrame, vocab: Vocabulary, shape: gru.Shape, weights: n
         now = spark.sparkContext.broadcast(weights)
 
         def replica(batches, now=now):
+            gru.one_thread()
             rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             own = [np.asarray(s.values, dtype=np.int64) for _, s in sorted(rows, key=lambda r: r[0])]
             if own:
@@ -228,6 +229,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     sent = spark.sparkContext.broadcast((vocab, shape, weights))
 
     def run(batches):
+        gru.one_thread()
         vocab, shape, weights = sent.value
         index = built("scored-words", sent, lambda v: v[0].index())
         log_count = np.log10(vocab.counts + 1.0)

@@ -46,6 +46,26 @@ def test_gru_gradient_equals_differences():
         assert grad[i] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-6)
 
 
+def test_gru_fills_up_lanes_without_tokens():
+    """A target of -1 leaves the gradient as it is without that place, and no token of the sequences is left out."""
+    shape, flat = tiny()
+    flat = flat.astype(np.float64)
+    classes = np.repeat(np.arange(4), np.diff(shape.edges))
+    x, y = np.array([[7, 7], [1, 2], [3, 4]]), np.array([[1, 2], [3, 4], [0, 5]])
+    fill = np.full((2, 2), -1)
+    short = gru.gradient(shape, gru.unpack(shape, flat), classes, x, y, np.zeros((2, 4)))
+    long = gru.gradient(shape, gru.unpack(shape, flat), classes, np.vstack([x, [[7, 7], [7, 7]]]), np.vstack([y, fill]), np.zeros((2, 4)))
+    assert short[2] == pytest.approx(long[2]) and all(np.allclose(a, long[0][k]) for k, a in short[0].items())
+    seen = []
+    plain = gru.gradient
+    try:
+        gru.gradient = lambda s, p, c, x, y, state: (seen.append(y), plain(s, p, c, x, y, state))[1]
+        gru.train(shape, flat.astype(np.float32), [np.full(n, n % 7) for n in (5, 701, 63, 0, 90)], lanes=5, updates=3)
+    finally:
+        gru.gradient = plain
+    assert sorted(t for y in seen for t in y.reshape(-1) if t >= 0) == sorted(n % 7 for n in (5, 701, 63, 90) for _ in range(n))
+
+
 def test_gru_scores_carry_the_state_and_sum_to_one():
     shape, flat = tiny()
     texts = [np.array(s, dtype=int) for s in ([1, 2, 6, 0, 5] * 9, [3], [], [4, 4])]
