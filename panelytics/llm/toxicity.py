@@ -4,8 +4,7 @@ Tokens lie between white space; their features are the words inside them, with p
 and four letters, hashed. The chain has two states (other, toxic) and runs over windows of ``window`` tokens that cover a
 text end to end. With two states, forward and backward messages are odds, and the odds that a token is toxic are their product.
 
-Training takes a bounded sample of labelled documents: ``toxic_docs`` and ``clean_docs`` expected documents, at most ``doc_windows``
-windows of each, spread evenly. A feature found in enough toxic documents and hardly in clean ones marks the tokens that carry it in
+Training takes the whole texts of a bounded sample of labelled documents, ``toxic_docs`` and ``clean_docs`` expected rows. A feature found in enough toxic documents and hardly in clean ones marks the tokens that carry it in
 toxic documents; those are the labelled tokens the field learns from. The largest log odds in a document is then mapped to the
 probability of its label by a logistic curve fitted on the sample, weighted to the classes' true sizes.
 
@@ -45,7 +44,6 @@ class Settings:
     threshold: float = 0.7
     toxic_docs: int = 700
     clean_docs: int = 1_500
-    doc_windows: int = 4
     window: int = 256
     bits: int = 20
     steps: int = 40
@@ -58,7 +56,6 @@ def features(token: str) -> list[int]:
     """Hashes of the words in a token, their prefixes and suffixes."""
     out: dict[int, None] = {}
     for w in WORD.findall(token.lower()):
-        w = w[:64]
         for f in (w, *("^" + w[:n] for n in range(3, min(6, len(w)) + 1)), *(w[-n:] + "$" for n in range(3, min(4, len(w)) + 1))):
             out[zlib.crc32(f.encode())] = None
     return list(out)
@@ -200,36 +197,38 @@ def fit(sample: Sample, class_sizes: tuple[int, int], settings: Settings) -> Fie
     flat = np.concatenate([weights, [-4.0, 0.0, 0.0, 0.0, 0.0]])
     first, second = np.zeros_like(flat), np.zeros_like(flat)
     n = mask.sum()
-    pair = mask[:, 1:] & mask[:, :-1]
-    told = np.array([(~y[:, :-1] & y[:, 1:] & pair).sum(), (y[:, :-1] & ~y[:, 1:] & pair).sum(), (y[:, :-1] & y[:, 1:] & pair).sum()])
+    del cut
 
-    def run(flat):
+    def blocks(flat):
+        """Links, and for a block of windows at a time its rows and messages; only one block's messages are held."""
         links = np.array([[0.0, flat[-3]], [flat[-2], flat[-1]]])
         emission = flat[-5] + np.bincount(token_at, weights=flat[feature_at], minlength=n_tokens)
-        f, b, e = messages(emission[tokens], mask, links, flat[-4])
-        return links, f, b, e
+        for low in range(0, len(tokens), 512):
+            rows = slice(low, low + 512)
+            yield links, rows, *messages(emission[tokens[rows]], mask[rows], links, flat[-4])
 
     for step in range(1, settings.steps + 1):
-        links, f, b, e = run(flat)
-        odds = f * b
-        p = np.where(mask, odds / (1 + odds), 0.0)
-        g = e[:, 1:] * b[:, 1:]
-        a = np.exp(links)
-        joint = np.stack([a[0, 1] * g, a[1, 0] * f[:, :-1], a[1, 1] * f[:, :-1] * g])
-        joint /= a[0, 0] + joint.sum(axis=0)
-        off = p - y
-        by_token = np.bincount(tokens.reshape(-1), weights=off.reshape(-1), minlength=n_tokens)
-        gradient = np.concatenate([
-            np.bincount(feature_at, weights=by_token[token_at], minlength=size) + settings.decay * n * flat[:size],
-            [off.sum(), off[:, 0].sum()],
-            np.where(pair, joint, 0.0).sum(axis=(1, 2)) - told,
-        ]) / len(docs)
+        by_token, ends, joints = np.zeros(n_tokens), np.zeros(2), np.zeros(3)
+        for links, rows, f, b, e in blocks(flat):
+            odds = f * b
+            off = np.where(mask[rows], odds / (1 + odds), 0.0) - y[rows]
+            g = e[:, 1:] * b[:, 1:]
+            a = np.exp(links)
+            joint = np.stack([a[0, 1] * g, a[1, 0] * f[:, :-1], a[1, 1] * f[:, :-1] * g])
+            joint /= a[0, 0] + joint.sum(axis=0)
+            before, after, pair = y[rows, :-1], y[rows, 1:], mask[rows, 1:] & mask[rows, :-1]
+            told = np.array([(~before & after & pair).sum(), (before & ~after & pair).sum(), (before & after & pair).sum()])
+            by_token += np.bincount(tokens[rows].reshape(-1), weights=off.reshape(-1), minlength=n_tokens)
+            ends += off.sum(), off[:, 0].sum()
+            joints += np.where(pair, joint, 0.0).sum(axis=(1, 2)) - told
+        slopes = np.bincount(feature_at, weights=by_token[token_at], minlength=size) + settings.decay * n * flat[:size]
+        gradient = np.concatenate([slopes, ends, joints]) / len(docs)
         first += 0.1 * (gradient - first)
         second += 0.02 * (gradient * gradient - second)
         flat -= settings.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-6)
-    links, f, b, _ = run(flat)
     top = np.full(len(docs), -15.0)
-    np.maximum.at(top, owner, np.where(mask, np.log(f * b), -15.0).max(axis=1))
+    for links, rows, f, b, _ in blocks(flat):
+        np.maximum.at(top, owner[rows], np.where(mask[rows], np.log(f * b), -15.0).max(axis=1))
     slope, offset = curve(np.clip(top, -15, 15), toxic, class_sizes)
     return Field(flat[:size], float(flat[-5]), links, float(flat[-4]), slope, offset)
 
@@ -290,32 +289,17 @@ class Tagger(dict):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Sample, tuple[int, int]]:
-    """The sampled training documents, and the numbers of clean and toxic training labels."""
+    """The sampled training documents as whole texts, and the numbers of clean and toxic training labels."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     rows = rows.where(id_remainder("doc_id", settings.modulus) != settings.held_out)
     sizes = dict(rows.groupBy("toxic").count().collect())
     sizes = (sizes.get(0, 0), sizes.get(1, 0))
     share = F.when(F.col("toxic") == 1, hash_share(settings.toxic_docs / max(sizes[1], 1), F.col("doc_id")))
     chosen = rows.where(share.otherwise(hash_share(settings.clean_docs / max(sizes[0], 1), F.col("doc_id"))))
-    size, most = settings.window, settings.doc_windows
-
-    def cut(batches):
-        for batch in slices(batches, "text"):
-            kept = []
-            for text in batch.column(2).cast(pa.string()).to_pylist():
-                tokens = text.split()
-                n = -(-len(tokens) // size)
-                if n > most:
-                    tokens = [t for k in range(most) for t in tokens[n * k // most * size :][:size]]
-                kept.append(" ".join(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["doc_id", "toxic", "tokens"])
-
     # The sample has a documented bound, so it may be broadcast and gathered.
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", texts(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    got = joined.mapInArrow(cut, f"doc_id {kind}, toxic int, tokens string").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("tokens", "ascending")])
-    return Sample.of((bool(r["toxic"]), r["tokens"]) for b in got.to_batches(max_chunksize=100) for r in b.to_pylist()), sizes
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    got = joined.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+    return Sample.of((bool(r["toxic"]), r["text"]) for b in got.to_batches(max_chunksize=100) for r in b.to_pylist()), sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Field:
