@@ -1,18 +1,25 @@
 """Finds passages of benchmark items in whole texts, allowing for edits.
 
 Texts and items are compared in lower case with every run of characters that are neither letters nor digits as one
-blank. An item is cut into passages of at most ``passage`` characters, each overlapping the next by half (the last one is
-moved back to the item's end). A passage of n characters may differ by ``n // rate`` edits. It is split into one piece more than
-that: if a text holds it within the budget, at least one piece is there unchanged. An Aho-Corasick automaton of
-all pieces finds these hits in one pass over the text; hits of a passage along one diagonal are verified together by
-Myers' bit-parallel distance between the passage and the best-fitting part of the text.
+blank. What counts as found, by the number of characters of an item:
+
+* up to ``passage``: the whole item, with at most one edit in ``rate`` characters. It is split into one piece more than that;
+  a text that holds it within the budget has at least one piece unchanged.
+* more: any part of ``passage`` characters, wherever it begins, with at most ``passage // rate`` edits. The item is laid out in
+  pieces so short that every such part holds one piece more than its budget.
+* less than ``least``: the item itself, at word borders.
+
+An Aho-Corasick automaton of all pieces finds the hits in one pass over the text. A hit of an item that is compared as a whole
+is verified with its diagonal by Myers' bit-parallel distance to the best-fitting part of the text. A hit of a longer item
+is first extended to both sides, as far as each number of edits allows, so that hits anywhere in a part find it; the part
+is then verified by the same distance. Hits inside a stretch that has been extended already are passed over.
 
 The items are read in blocks of at most ``block`` characters, so a benchmark of any size is a number of passes over the
 documents, each with an automaton of bounded size. Documents are never shuffled.
 
-Defined results: null texts and items are empty; an item shorter than ``least`` normalised characters matches nothing, as
-it would match by chance. Repeated rows are judged alike, items of the same text match alike, a null item_id stays
-null. The best match of an item is the smallest distance, then the first position. Other columns do not matter.
+Defined results: null texts and items are empty, and an empty item matches nothing. Repeated rows are judged alike, items of the
+same text match alike, a null item_id stays null. The best match of an item is the smallest distance, then the first position.
+Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -69,54 +76,75 @@ def positions(text: str) -> list[int]:
     return out
 
 
-def cut(item: str, settings: Settings) -> list[str]:
-    """The passages of a normalised item."""
-    n, size = len(item), settings.passage
-    if n < settings.least:
-        return []
-    if n <= size:
-        return [item]
-    starts = [*range(0, n - size, size // 2), n - size]
-    return [item[s : s + size] for s in dict.fromkeys(starts)]
-
-
 def pieces(passage: str, budget: int) -> list[tuple[int, str]]:
     n = len(passage)
     edges = [n * i // (budget + 1) for i in range(budget + 2)]
     return [(a, passage[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def grid(item: str, passage: int, budget: int) -> list[tuple[int, str]]:
+    """Pieces one after another, of which every part of ``passage`` characters holds ``budget + 1`` whole ones."""
+    size = (passage + 1) // (budget + 2)
+    starts = [*range(0, len(item) - size, size), len(item) - size]
+    return [(s, item[s : s + size]) for s in starts]
+
+
+def reach(own: str, text: str, budget: int) -> list[tuple[int, int]]:
+    """For 0 to ``budget`` edits: how much of the beginning of ``own`` can be matched, and the length of its match in ``text``."""
+    n, m = len(own), len(text)
+    out: list[tuple[int, int]] = []
+    row: dict[int, int] = {}
+    for e in range(budget + 1):
+        now: dict[int, int] = {}
+        best = (0, 0)
+        for k in range(-e, e + 1):
+            # On diagonal k the text is k characters ahead: a change, a character of the text only, one of the item only.
+            i = max(row.get(k, -2) + 1, row.get(k - 1, -1), row.get(k + 1, -2) + 1) if e else 0
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            while i < n and i + k < m and own[i] == text[i + k]:
+                i += 1
+            now[k] = i
+            best = max(best, (i, i + k))
+        row = now
+        out.append(max(best, out[-1]) if out else best)
+    return out
+
+
+def bits_of(pattern: str) -> dict[str, int]:
+    masks: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(pattern):
+        masks[c] |= 1 << i
+    return dict(masks)
+
+
 class Matcher:
-    """The passages of one block of items and the automaton of their pieces."""
+    """The items of one block and the automaton of their pieces."""
 
     def __init__(self, value: tuple[list[tuple[object, str]], Settings]) -> None:
-        items, settings = value
+        items, self.settings = value
+        passage, rate, least = self.settings.passage, self.settings.rate, self.settings.least
         by_text: dict[str, list[int]] = defaultdict(list)
         self.ids = [i for i, _ in items]
         for at, (_, text) in enumerate(items):
-            for p in cut(normalised(text), settings):
-                if at not in by_text[p][-1:]:
-                    by_text[p].append(at)
-        self.passages = list(by_text)
+            if own := normalised(text):
+                by_text[own].append(at)
+        self.texts = list(by_text)
         self.items = list(by_text.values())
-        self.budgets = [len(p) // settings.rate for p in self.passages]
-        self.masks = []
+        self.budgets = [0 if len(t) < least else min(len(t), passage) // rate for t in self.texts]
+        self.masks = [bits_of(t) if least <= len(t) <= passage else {} for t in self.texts]
         wanted: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, (p, budget) in enumerate(zip(self.passages, self.budgets, strict=True)):
-            masks: dict[str, int] = defaultdict(int)
-            for i, c in enumerate(p):
-                masks[c] |= 1 << i
-            self.masks.append(dict(masks))
-            for start, piece in pieces(p, budget):
+        for k, (t, budget) in enumerate(zip(self.texts, self.budgets, strict=True)):
+            for start, piece in grid(t, passage, budget) if len(t) > passage else pieces(t, budget):
                 wanted[piece].append((k, start))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in wanted.items():
             self.automaton.add_word(piece, (len(piece), uses))
         self.automaton.make_automaton()
 
-    def distance(self, k: int, text: str) -> tuple[int, int]:
-        """Smallest edit distance between passage k and a part of ``text``, and the end of the first such part."""
-        m, masks = len(self.passages[k]), self.masks[k]
+    def distance(self, m: int, masks: dict[str, int], text: str) -> tuple[int, int]:
+        """Smallest edit distance between a pattern of m characters and a part of ``text``, and the end of the first such part."""
         full, high = (1 << m) - 1, 1 << (m - 1)
         plus, minus, score, best, end = full, 0, m, m, 0
         for at, c in enumerate(text, 1):
@@ -136,25 +164,52 @@ class Matcher:
                 best, end = score, at
         return best, end
 
+    def extended(self, k: int, start: int, size: int, text: str, at: int) -> tuple[tuple[int, int, int] | None, int]:
+        """The best part of a long item around the piece at ``start`` that is found at ``at``, and the end of its exact stretch."""
+        own, passage, budget = self.texts[k], self.settings.passage, self.budgets[k]
+        right = reach(own[start + size : start + size + passage], text[at + size : at + size + passage + budget], budget)
+        exact = at + size + right[0][0]
+        room = min(start, passage)
+        if room + size + right[budget][0] < passage:
+            return None, exact
+        left = reach(own[start - room : start][::-1], text[max(0, at - passage - budget) : at][::-1], budget)
+        for d in range(budget + 1):
+            for e in range(d + 1):
+                (i, x), (j, y) = left[e], right[d - e]
+                if i + size + j >= passage:
+                    part, low, high = own[start - i : start + size + j], at - x, at + size + y
+                    return (self.distance(len(part), bits_of(part), text[low:high])[0], low, high), exact
+        return None, exact
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) of the best match of every item found in a normalised text."""
         seen: set[tuple[int, int]] = set()
+        stretches: dict[tuple[int, int], int] = {}
         best: dict[int, tuple[int, int, int]] = {}
         if not len(self.automaton):
             return []
+        passage, least = self.settings.passage, self.settings.least
         for end, (size, uses) in self.automaton.iter(text):
+            at = end + 1 - size
             for k, start in uses:
-                budget = self.budgets[k]
-                # Windows of two neighbouring diagonals overlap by twice the budget, so none is missed.
-                low = (end + 1 - size - start) // (budget + 1) * (budget + 1)
-                if (k, low) in seen:
-                    continue
-                seen.add((k, low))
-                n = len(self.passages[k])
-                a = max(0, low - budget)
-                d, to = self.distance(k, text[a : low + n + 2 * budget + 1])
-                if d <= budget:
-                    found = (d, max(0, a + to - n), a + to)
+                budget, n = self.budgets[k], len(self.texts[k])
+                if n > passage:
+                    if stretches.get((k, at - start), 0) > at:
+                        continue
+                    found, stretches[k, at - start] = self.extended(k, start, size, text, at)
+                elif n < least:
+                    bordered = (at == 0 or text[at - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " ")
+                    found = (0, at, end + 1) if bordered else None
+                else:
+                    # Windows of two neighbouring diagonals overlap by twice the budget, so none is missed.
+                    low = (at - start) // (budget + 1) * (budget + 1)
+                    if (k, low) in seen:
+                        continue
+                    seen.add((k, low))
+                    a = max(0, low - budget)
+                    d, to = self.distance(n, self.masks[k], text[a : low + n + 2 * budget + 1])
+                    found = (d, max(0, a + to - n), a + to) if d <= budget else None
+                if found:
                     for item in self.items[k]:
                         best[item] = min(best.get(item, found), found)
         return [(item, *found) for item, found in sorted(best.items())]

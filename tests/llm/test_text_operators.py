@@ -156,11 +156,51 @@ def slow_distance(passage: str, text: str) -> int:
     return min(row)
 
 
+def least_distance(item: str, text: str, s: decontaminate.Settings) -> int | None:
+    """Of what counts as found: every part of a long item is compared with the whole text."""
+    n = len(item)
+    if not n:
+        return None
+    if n < s.least:
+        return 0 if f" {item} " in f" {text} " else None
+    myers = decontaminate.Matcher(([], s)).distance
+    parts = [item[a : a + s.passage] for a in range(max(1, n - s.passage + 1))]
+    best = min(myers(len(p), decontaminate.bits_of(p), text)[0] for p in parts)
+    return best if best <= min(n, s.passage) // s.rate else None
+
+
+def test_myers_distance_equals_the_table():
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 40))) for _ in range(2))
+        assert decontaminate.Matcher(([], decontaminate.Settings())).distance(len(a), decontaminate.bits_of(a), b)[0] == slow_distance(a, b)
+
+
+def test_short_items_and_parts_at_any_offset(spark):
+    """An exact copy of a short item, and parts of 140 characters with up to ten edits, wherever they begin."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    item = prose(120)
+    docs = [(0, "Well: what is the CAPITAL of France?"), (1, "what is the capital of francesca"), (2, prose(60))]
+    for at in range(0, len(item) - 140, 13):
+        letters = list(item[at : at + 140])
+        for _ in range(rng.randint(0, 10)):
+            letters[rng.randrange(len(letters))] = rng.choice(["", "q"])
+        docs.append((100 + at, f"{prose(15)} {''.join(letters)} {prose(15)}"))
+    bench = spark.createDataFrame([(0, "What is the capital of France?"), (1, item)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(frame, bench).collect()}
+    assert set(got) == {(0, 0)} | {(i, 1) for i, _ in docs if i >= 100}
+    assert docs[0][1][got[0, 0]["start"] : got[0, 0]["end"]] == "what is the CAPITAL of France"
+    for i, t in docs[3:]:
+        assert got[i, 1]["distance"] == least_distance(decontaminate.normalised(item), decontaminate.normalised(t), decontaminate.Settings())
+
+
 def test_decontamination_equals_brute_force(spark, nothing):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(rng.choice([12, 30, 60]))) for i in range(6)] + [(6, "too short"), (7, None), (8, ""), (None, prose(30))]
+    items = [(i, prose(rng.choice([12, 30, 60]))) for i in range(6)] + [(6, "Much too short."), (7, None), (8, ""), (None, prose(30))]
     docs = []
     for n in range(60):
         item = rng.choice(items[:6] + items[-1:])[1]
@@ -170,16 +210,16 @@ def test_decontamination_equals_brute_force(spark, nothing):
             letters[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e", "Ö", ", "])
         cut = "".join(letters)[: rng.choice([len(item), len(item) * 2 // 3, 30])]
         docs.append((n, f"{prose(20)}. {cut.upper() if n % 3 else cut}! {prose(20)}" if n % 4 else prose(80)))
-    docs += [(60, None), (61, ""), (62, items[0][1] + " " + items[1][1]), (62, items[0][1] + " " + items[1][1]), (None, items[2][1]), (63, "  İ.. " + items[0][1] + "..")]
+    docs += [(64, "this is much, too short!"), (65, "as much too shortly"), (60, None), (61, ""), (62, items[0][1] + " " + items[1][1]), (62, items[0][1] + " " + items[1][1]), (None, items[2][1]), (63, "  İ.. " + items[0][1] + "..")]
     frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, item_id string, distance int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     s = decontaminate.Settings(passage=64)
     want = []
     for i, t in docs:
         for k, item in items:
-            ok = [d for p in decontaminate.cut(decontaminate.normalised(item or ""), s) if (d := slow_distance(p, decontaminate.normalised(t or ""))) <= len(p) // s.rate]
-            if ok:
-                want.append((i, k, min(ok)))
+            least = least_distance(decontaminate.normalised(item or ""), decontaminate.normalised(t or ""), s)
+            if least is not None:
+                want.append((i, k, least))
     got = decontaminate.matches(frame, bench, s)
     assert sorted([(r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()], key=str) == sorted(want, key=str)
     small = decontaminate.Settings(passage=64, block=200)  # several blocks
@@ -192,7 +232,7 @@ def test_decontamination_equals_brute_force(spark, nothing):
         assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
     for r in got.where("distance = 0 AND doc_id IN (62, 63)").collect():
         t = next(t for i, t in docs if i == r["doc_id"])
-        assert decontaminate.normalised(t[r["start"] : r["end"]]) in decontaminate.normalised(dict(items)[r["item_id"]])
+        assert decontaminate.normalised(t[r["start"] : r["end"]]).strip() in decontaminate.normalised(dict(items)[r["item_id"]])
     assert decontaminate.matches(nothing, bench, s).count() == 0
     assert decontaminate.drop_contaminated(frame, bench.limit(0), s).count() == len(docs)
 
