@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelytics import WEIGHT
+from panelytics.functions.statistics import steady_sum
 from panelytics.plans import histogram
 from panelytics.plans.calendar import period_table, with_period_idx
 from panelytics.plans.joins import attach
@@ -153,7 +154,7 @@ def divergences(
     sums = []
     for i, alpha in enumerate(alphas):
         one, two = _present_terms(alpha)
-        sums.append((F.sum(one) + F.sum(two)).alias(f"_n{i}"))
+        sums.append((steady_sum(one) + steady_sum(two)).alias(f"_n{i}"))
     norms = aligned.groupBy(*pair).agg(*sums)
     full = attach(aligned, norms, pair)
     each = F.array(
@@ -170,7 +171,7 @@ def divergences(
 
 def total_divergence(divs: DataFrame, keys: Sequence[str] = EDITION) -> DataFrame:
     """Sum over entities: how unstable the ranks were in each period."""
-    return divs.groupBy(*keys, "date", "alpha").agg(F.sum("div").alias("total_div"))
+    return divs.groupBy(*keys, "date", "alpha").agg(steady_sum("div").alias("total_div"))
 
 
 def rank_cells(aligned: DataFrame, keys: Sequence[str] = EDITION) -> DataFrame:
@@ -275,7 +276,7 @@ def pair_statistics(
     )
     fell = F.col("rank_1") > F.col("rank_2")
     shares = divs.groupBy(*pair, "alpha").agg(
-        F.sum(F.when(fell, F.col("div"))).alias("d1"), F.sum(F.when(~fell, F.col("div"))).alias("d2")
+        steady_sum(F.when(fell, F.col("div"))).alias("d1"), steady_sum(F.when(~fell, F.col("div"))).alias("d2")
     )
     views = panel.groupBy(*keys, "date").agg(F.sum(WEIGHT).cast("double").alias("v"))
     both = (

@@ -8,7 +8,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelytics.functions.statistics import error95, log2_ratio
+from panelytics.functions.statistics import log2_ratio, steady_avg, steady_error95, steady_std
 from panelytics.functions.topics import most_specific, parse_topics
 from panelytics.operators.overlap import with_share
 
@@ -59,8 +59,8 @@ def topic_shares(counts: DataFrame, by: Sequence[str] = VOLUME) -> DataFrame:
     """Share of each topic per period, then its mean over periods."""
     shares = with_share(counts, [*by, "date"], name="perc_pages")
     return shares.groupBy(*by, "topic").agg(
-        F.avg("perc_pages").alias("mean"), F.stddev_samp("perc_pages").alias("std"),
-        error95("perc_pages").alias("error"), F.count("*").alias("nb_periods"),
+        steady_avg("perc_pages").alias("mean"), steady_std("perc_pages").alias("std"),
+        steady_error95("perc_pages").alias("error"), F.count("*").alias("nb_periods"),
     )
 
 

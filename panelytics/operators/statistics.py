@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelytics import WEIGHT
-from panelytics.functions.statistics import error95, upper_tail
+from panelytics.functions.statistics import steady_avg, steady_error95, steady_std, upper_tail
 from panelytics.operators.lifetime import quantile_name
 from panelytics.plans.histogram import exact_quantiles, running_counts
 
@@ -115,8 +115,8 @@ def coverage_ratio(own: DataFrame, published: DataFrame, by: Sequence[str] = ())
 def mean_with_error(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Mean and 95 % error per group."""
     return df.groupBy(*by).agg(
-        F.avg(value).alias("avg"), F.stddev_samp(value).alias("std"), F.count(value).alias("nb"),
-        error95(value).alias("error"),
+        steady_avg(value).alias("avg"), steady_std(value).alias("std"), F.count(value).alias("nb"),
+        steady_error95(value).alias("error"),
     )
 
 

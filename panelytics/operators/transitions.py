@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelytics import PANEL_KEYS
-from panelytics.functions.statistics import error95
+from panelytics.functions.statistics import steady_avg, steady_error95
 from panelytics.sources.tables import PSEUDO_PAGES
 
 # Sources that are left out, and the columns of the matrix.
@@ -93,7 +93,7 @@ def source_fractions(matrix: DataFrame) -> DataFrame:
 def fraction_means(fractions: DataFrame, value: str, by: Sequence[str] = (*PANEL_KEYS, "volume_curr")) -> DataFrame:
     """Mean fraction with 95 % error and rows per period and volume."""
     return fractions.groupBy(*by).agg(
-        F.avg(value).alias("avg"), error95(value, F.count("*")).alias("error"), F.count("*").alias("nb")
+        steady_avg(value).alias("avg"), steady_error95(value, F.count("*")).alias("error"), F.count("*").alias("nb")
     )
 
 
