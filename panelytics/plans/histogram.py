@@ -10,12 +10,15 @@ are small. Ties are then ranked inside cells of bounded size.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelytics import PANEL_KEYS, WEIGHT
+from panelytics.plans.joins import few
 from panelytics.session import stage
 
 # Integer ids are unique in a group, so a cell of this many consecutive ids
@@ -23,8 +26,9 @@ from panelytics.session import stage
 ID_CELL_BITS = 20
 # Other ids go to 16**3 cells by hash.
 HASH_CELL_DIGITS = 3
-# Cells for values of any type (see running_counts).
-VALUE_CELLS = 256
+# Most distinct values that a cell of ``running_counts`` may hold, and bits that one refinement looks at.
+VALUE_CELL_ROWS = 1 << 20
+RADIX_BITS = 12
 
 
 def tie_cell(df: DataFrame, column: str) -> Column:
@@ -156,38 +160,83 @@ def fractional_ranks(
     return panel.join(blocks, [*by, weight])
 
 
+def order_bits(df: DataFrame, value: str) -> Column:
+    """A long in the order of the values, equal only for equal ones.
+
+    For floats these are the bits of the number itself (sign apart), made by exact arithmetic: the exponent is corrected
+    against the powers around it, and a number over a power of two is exact. NaN comes last and the two zeros are one.
+    """
+    kind, v = df.schema[value].dataType, F.col(value)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(v).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(v.cast("timestamp"))
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (v * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("bigint")
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return v.cast("bigint")
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        raise ValueError(f"no order of bits for {kind.simpleString()}")
+    x = v.cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    power = F.pow(F.lit(2.0), guess)
+    exponent = F.when(power > size, guess - 1).when(size >= 2 * power, guess + 1).otherwise(guess)
+    normal = (exponent + 1022) * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), exponent)) * float(1 << 52)).cast("bigint")
+    # Below the least normal number the bits count multiples of the least number.
+    tiny = (size * float(1 << 52) * 2.0**1000 * 2.0**22).cast("bigint")
+    bits = F.when(size == 0, F.lit(0)).when(size < 2.0**-1022, tiny).when(size == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).when(x < 0, -bits).otherwise(bits).cast("bigint")
+
+
+def _refined(low: Column, high: Column) -> Column:
+    """How far to shift so that, of the bits in which the ends differ, the leading ones are left."""
+    length = F.length(F.bin(low.bitwiseXOR(high)))
+    return F.greatest(length - RADIX_BITS, F.lit(0)).cast("int")
+
+
+def value_cells(hist: DataFrame, keys: Sequence[str], value: str, most: int | None = None) -> DataFrame:
+    """Rows of ``hist`` (one for each key and value) with ``_cell``, numbered in the order of values inside a key.
+
+    A key is one cell if it has at most ``most`` values. A cell over that is split by the leading bits of its own span, and
+    again where that is not enough; each round reads the stored rows once and looks only up cells that are still too large.
+    """
+    most, keys = VALUE_CELL_ROWS if most is None else most, list(keys)
+    rows = hist.withColumn("_k", order_bits(hist, value)).withColumn("_cell", F.lit(-(1 << 63)).cast("bigint"))
+    while True:
+        ends = (F.min("_k").alias("_low"), F.max("_k").alias("_high"))
+        sizes = rows.groupBy(*keys, "_cell").agg(F.count("*").alias("_size"), *ends).where(F.col("_size") > most)
+        heavy = few(sizes.select(*keys, "_cell", _refined(F.col("_low"), F.col("_high")).alias("_shift")))
+        if heavy.isEmpty():
+            return rows.drop("_k")
+        start = F.call_function("shiftleft", F.call_function("shiftright", F.col("_k"), F.col("_shift")), F.col("_shift"))
+        rows = rows.join(heavy, [*keys, "_cell"], "left").withColumn("_cell", F.coalesce(start, F.col("_cell"))).drop("_shift")
+
+
 def running_counts(
-    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]
+    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], wanted: Column | None = None
 ) -> DataFrame:
     """For every value: sums of ``measures`` over all smaller values of its key.
 
-    ``hist`` has one row per (keys, value), of any size. Values are put in
-    ``VALUE_CELLS`` cells between approximate quantiles of the distinct
-    values, so that a cell holds a small share of them whatever their
-    distribution; totals run over cells first and inside cells second. Adds
-    ``{m}_below`` and ``{m}_total``.
+    ``hist`` has one row per (keys, value), of any size. Values are put in cells of at most ``VALUE_CELL_ROWS``
+    (``value_cells``); totals run over cells first and inside cells second. Adds ``{m}_below`` and ``{m}_total``. ``wanted``
+    tells of a cell, by ``_{m}_skip``, ``_{m}`` and ``{m}_total``, whether its rows are asked for; others are left out unsorted.
     """
     keys = list(keys)
-    # Read three times below (bounds, cells, rows), so written out once.
+    # Read again for every round of cells, their totals and the rows, so written out once.
     hist = stage(_complete(hist, keys), "values")
-    steps = [i / VALUE_CELLS for i in range(1, VALUE_CELLS)]
-    bounds = hist.groupBy(*keys).agg(
-        F.percentile_approx(value, F.array(*[F.lit(s) for s in steps]), F.lit(10_000)).alias("_bounds")
-    )
-    # One short row per key: adaptive execution broadcasts it once it knows the
-    # size, and splits hot keys if it should not be small.
-    rows = hist.join(bounds, keys).withColumn(
-        "_cell", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
+    rows = value_cells(hist, keys, value)
     cells = rows.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
     group = Window.partitionBy(*keys)
     before = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(
         *keys,
         "_cell",
+        *[f"_{m}" for m in measures],
         *[F.coalesce(F.sum(f"_{m}").over(before), F.lit(0)).alias(f"_{m}_skip") for m in measures],
         *[F.sum(f"_{m}").over(group).alias(f"{m}_total") for m in measures],
     )
+    offsets = (offsets if wanted is None else offsets.where(wanted)).drop(*[f"_{m}" for m in measures])
     in_cell = (
         Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -208,7 +257,10 @@ def exact_quantiles(
     """Interpolated quantiles of groups of any size, one row per key."""
     known = df.where(F.col(value).isNotNull())
     hist = known.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    spread = running_counts(hist, keys, value, ["n"])
+    spots = [F.lit(float(q)) * (F.col("n_total") - 1) for q in quantiles.values()]
+    ends = [(F.col("_n_skip") <= i) & (i < F.col("_n_skip") + F.col("_n")) for s in spots for i in (F.floor(s), F.ceil(s))]
+    # Only cells that hold one of the places are sorted.
+    spread = running_counts(hist, keys, value, ["n"], wanted=reduce(or_, ends))
 
     def at(index: Column) -> Column:
         hit = (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n"))
