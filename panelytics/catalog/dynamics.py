@@ -105,9 +105,10 @@ def r4(t: Tables):
 
 SUCCESSION = """RECURSIVE pv AS (SELECT 'all' AS project, * FROM v_succession),
     sp AS (SELECT page_id, arg_min(page, (date, page)) AS first_name, arg_max(page, (date, page)) AS last_name,
-      MIN(date) AS first_date, CAST(MAX(date) + INTERVAL 1 MONTH AS DATE) AS last_date FROM v_succession GROUP BY page_id),
+      MIN(date) AS first_date, CAST(MAX(date) + INTERVAL 1 MONTH AS DATE) AS last_date, SUM(tot_count_views) AS v FROM v_succession GROUP BY page_id),
+    he AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY first_name, first_date ORDER BY v DESC, page_id) AS k FROM sp) WHERE k = 1),
     ch AS (SELECT page_id, first_date, last_name, last_date FROM sp
-      UNION SELECT ch.page_id, ch.first_date, b.last_name, b.last_date FROM ch JOIN sp b
+      UNION SELECT ch.page_id, ch.first_date, b.last_name, b.last_date FROM ch JOIN he b
         ON ch.last_name = b.first_name AND ch.last_date = b.first_date),
     en AS (SELECT * FROM ch WHERE NOT EXISTS (SELECT 1 FROM sp b WHERE ch.last_name = b.first_name AND ch.last_date = b.first_date)),
     ma AS (SELECT last_name, last_date, arg_max(page_id, (first_date, page_id)) AS last_page_id FROM en GROUP BY 1, 2),

@@ -134,8 +134,10 @@ def redirect_map(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame
 
 
 def life_spans(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """First and last title of each id, its first period and the one after its last."""
+    """First and last title of each id, its first period and the one after its last, and its views (rows, if there are none)."""
+    views = F.sum(WEIGHT) if WEIGHT in panel.columns else F.count("*")
     return panel.groupBy(*keys, "page_id").agg(
+        views.alias("_views"),
         F.min_by("page", F.struct("date", "page")).alias("first_name"),
         F.max_by("page", F.struct("date", "page")).alias("last_name"),
         F.min("date").alias("first_date"),
@@ -143,19 +145,28 @@ def life_spans(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def succession_map(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def heirs(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Spans with ``_heir``: of the ids that begin with the same title in the same period, the one of most views, then least id."""
+    start = [*keys, "first_name", "first_date"]
+    first = F.min_by("page_id", F.struct((-F.col("_views")).alias("_v"), "page_id"))
+    return spans.join(spans.groupBy(*start).agg(first.alias("_first")), start, "left").withColumn("_heir", F.col("page_id") == F.col("_first")).drop("_first")
+
+
+def succession_map(panel: DataFrame, keys: Sequence[str] = (), fork: bool = False) -> DataFrame:
     """Follow entities whose id changes while the title goes on.
 
     Id b succeeds a when a's last title is b's first title and b begins in the
-    period after a ends. Pointers are doubled: every round each id jumps to
+    period after a ends. If several ids begin there, one of them is the heir (``heirs``) and the others begin entities of
+    their own, so that every id has one end and views are counted once; with ``fork`` each of them succeeds. Pointers are doubled: every round each id jumps to
     the end its successor already knows, so a chain of n ids takes log2(n)
     rounds. Ends only move forward in time, so the loop stops by itself. Each
     round is checkpointed to the shared folder.
     """
     end = [*keys, "last_name", "last_date"]
-    ids = cut_lineage(life_spans(panel, keys))
+    ids = life_spans(panel, keys)
+    ids = cut_lineage((ids.withColumn("_heir", F.lit(True)) if fork else heirs(ids, keys)).drop("_views"))
     while True:
-        nxt = ids.select(
+        nxt = ids.where("_heir").select(
             *keys,
             F.col("first_name").alias("last_name"),
             F.col("first_date").alias("last_date"),
@@ -169,6 +180,7 @@ def succession_map(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                 "page_id",
                 "first_name",
                 "first_date",
+                "_heir",
                 F.coalesce("_name", "last_name").alias("last_name"),
                 F.coalesce("_date", "last_date").alias("last_date"),
                 F.col("_name").isNotNull().alias("_moved"),

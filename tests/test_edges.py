@@ -437,3 +437,25 @@ def test_panel_store_prunes_partitions(spark, tmp_path):
     tables.write_panel(df, str(tmp_path / "p"))
     read = tables.read_panel(spark, str(tmp_path / "p")).where(F.col("date") == month(1))
     assert read.count() == 10
+
+
+def test_forked_ids_count_views_once(spark):
+    """Ids 2 and 3 both begin with the title that id 1 ends with, and end apart: the one of more views goes on."""
+    rows = [(0, 1, "t", 6), (1, 2, "t", 4), (1, 3, "t", 5), (2, 2, "u", 1), (2, 3, "w", 2), (3, 4, "w", 1), (3, 5, "w", 1), (4, 5, "z", 0)]
+    df = spark.createDataFrame([(month(m), p, t, w) for m, p, t, w in rows], "date date, page_id bigint, page string, tot_count_views bigint")
+    found = {r.page_ids: r.last_page_id for r in identity.succession_map(df).collect()}
+    assert found == {1: 4, 2: 2, 3: 4, 4: 4, 5: 5}
+    once = identity.apply_identity(df, identity.succession_map(df))
+    assert once.agg(F.sum("tot_count_views")).first()[0] == sum(w for *_, w in rows)
+    forked = identity.succession_map(df, fork=True)
+    assert {(r.page_ids, r.last_page_id) for r in forked.collect()} == {(1, 2), (1, 4), (1, 5), (2, 2), (3, 4), (3, 5), (4, 4), (5, 5)}
+
+
+def test_views_survive_any_identity_map(spark):
+    for seed in range(4):
+        rnd = random.Random(seed)
+        rows = {(rnd.randrange(8), rnd.randrange(40)): (f"t{rnd.randrange(6)}", rnd.randrange(1, 9)) for _ in range(120)}
+        df = spark.createDataFrame([(month(m), p, t, w) for (m, p), (t, w) in rows.items()], "date date, page_id bigint, page string, tot_count_views bigint")
+        moved = identity.apply_identity(df, identity.succession_map(df))
+        assert moved.count() == len(rows)
+        assert moved.agg(F.sum("tot_count_views")).first()[0] == sum(w for _, w in rows.values())
