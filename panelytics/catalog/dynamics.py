@@ -459,7 +459,7 @@ def runs(t: Tables) -> DataFrame:
 
 
 def longest(t: Tables) -> DataFrame:
-    return lifetime.longest_runs(runs(t))
+    return lifetime.run_profile(labelled(t))
 
 
 @query("l3_run_lengths", f"WITH {RUNS} SELECT * FROM ru")
@@ -474,12 +474,12 @@ def _dist_sql(value: str) -> str:
 
 @query("l4_max_lifetime", _dist_sql("max_lifetime"))
 def l4(t: Tables):
-    return rounded(lifetime.distribution(longest(t), "max_lifetime"), 6, "frac_pages")
+    return rounded(lifetime.distribution(longest(t), "max_lifetime", n="n"), 6, "frac_pages")
 
 
 @query("l5_run_counts", _dist_sql("consecutive_occurrences"))
 def l5(t: Tables):
-    return rounded(lifetime.distribution(longest(t), "consecutive_occurrences"), 6, "frac_pages")
+    return rounded(lifetime.distribution(longest(t), "consecutive_occurrences", n="n"), 6, "frac_pages")
 
 
 @query(
@@ -492,9 +492,9 @@ def l5(t: Tables):
 )
 def l6(t: Tables):
     long = longest(t).unpivot(
-        ["project", "volume"], ["max_lifetime", "consecutive_occurrences"], "measure", "v"
+        ["project", "volume", "n"], ["max_lifetime", "consecutive_occurrences"], "measure", "v"
     )
-    table = lifetime.describe(long, "v", ["project", "volume", "measure"])
+    table = lifetime.describe(long, "v", ["project", "volume", "measure"], weight="n")
     return rounded(table, 6, "mean", "stddev", "p25", "p50", "p75", "p90")
 
 

@@ -9,23 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelytics import WEIGHT
-from panelytics.functions.statistics import error95
-from panelytics.plans.calendar import month_number, period_table, with_period_idx
+from panelytics.functions.statistics import error95, steady_avg, steady_error95, steady_std
+from panelytics.plans import bitmaps
+from panelytics.plans.calendar import month_number, period_table, stored_periods, with_period_idx
 from panelytics.plans.joins import attach
 from panelytics.session import stage
 
 EDITION = ("project",)
 
 
-def presence(df: DataFrame, keys: Sequence[str], entity: str, at: str = "period_idx") -> DataFrame:
-    """(keys, entity, periods): the periods of each entity, at most all periods long."""
-    return df.groupBy(*keys, entity).agg(F.sort_array(F.collect_set(at)).alias("periods"))
-
-
-def _at(offset: int):
-    return lambda t: F.array_contains("periods", t - F.lit(offset).cast("bigint"))
-
-
 def overlap_at_lag(
     binned: DataFrame,
     offset: int = 1,
@@ -36,20 +28,18 @@ def overlap_at_lag(
 ) -> DataFrame:
     """Share of a rank slice that was in the same slice ``offset`` periods before.
 
-    The lag counts the periods in which the slice exists; the base is the
-    fixed slice size. One shuffle by entity, then counts.
+    The lag counts the periods in which the slice exists; the base is the fixed slice size. One shuffle by entity makes
+    the sets of periods, whose overlap with themselves ``offset`` periods before is counted by bit position.
     """
     rows = binned.select(*keys, F.col(period).alias("date"), entity)
-    idx = with_period_idx(rows, keys)
-    pages = presence(idx, keys, entity)
-    hits = pages.select(
-        *keys, F.explode(F.transform("periods", lambda t: F.struct(t.alias("period_idx"), _at(offset)(t).alias("hit")))).alias("_h")
-    ).select(*keys, "_h.*")
-    counts = hits.groupBy(*keys, "period_idx").agg(F.count_if("hit").alias("nb_common"))
+    periods, last = stored_periods(rows, keys)
+    words = bitmaps.words_for(last)
+    sets = bitmaps.presence_bits(with_period_idx(rows, keys, periods=periods), [*keys, entity], F.col("period_idx"), words)
+    hits = sets.select(*keys, bitmaps.both(F.col("bits"), bitmaps.later("bits", offset, words), words).alias("bits"), F.lit(1).alias("n"))
     return (
-        counts.where(F.col("period_idx") > offset)
-        .join(period_table(rows, keys).drop("nb_periods"), [*keys, "period_idx"])
-        .select(*keys, F.col("date").alias(period), (F.col("nb_common") / slicing * 100).alias("overlap"))
+        periods.where(F.col("period_idx") > offset)
+        .join(bitmaps.counts_by_period(hits, keys), [*keys, "period_idx"], "left")
+        .select(*keys, F.col("date").alias(period), (F.coalesce("nb", F.lit(0)) / slicing * 100).alias("overlap"))
     )
 
 
@@ -63,27 +53,25 @@ def overlap_at_lags(
 ) -> DataFrame:
     """Entities in the current slice and in it at every lag, and what each set has besides."""
     rows = binned.select(*keys, F.col(period).alias("date"), entity)
-    pages = presence(with_period_idx(rows, keys), keys, entity)
-    steps = F.array(*[F.lit(o).cast("bigint") for o in (0, *offsets)])
-    touched = F.array_distinct(F.flatten(F.transform("periods", lambda t: F.transform(steps, lambda o: t + o))))
-    spots = pages.select(*keys, "periods", F.explode(touched).alias("period_idx")).where(
-        F.col("period_idx") > max(offsets)
-    )
-    now = F.array_contains("periods", F.col("period_idx"))
-    then = {o: F.array_contains("periods", F.col("period_idx") - F.lit(o).cast("bigint")) for o in offsets}
+    periods, last = stored_periods(rows, keys)
+    words = bitmaps.words_for(last)
+    sets = bitmaps.presence_bits(with_period_idx(rows, keys, periods=periods), [*keys, entity], F.col("period_idx"), words)
+    sets = sets.withColumns({f"_{o}": bitmaps.later("bits", o, words) for o in offsets})
+    now, then = F.col("bits"), {o: F.col(f"_{o}") for o in offsets}
     everywhere = now
-    for cond in then.values():
-        everywhere = everywhere & cond
-    counts = spots.groupBy(*keys, "period_idx").agg(
-        F.count_if(everywhere).alias("nb_common"),
-        F.count_if(now & ~everywhere).alias("nb_only_current"),
-        *[F.count_if(cond & ~everywhere).alias(f"nb_only_lag_{o}") for o, cond in then.items()],
-    )
+    for moved in then.values():
+        everywhere = bitmaps.both(everywhere, moved, words)
+    sets = sets.withColumn("_all", everywhere)
+    kinds = {"nb_common": F.col("_all"), "nb_only_current": bitmaps.without(now, F.col("_all"), words)}
+    kinds |= {f"nb_only_lag_{o}": bitmaps.without(moved, F.col("_all"), words) for o, moved in then.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), b.alias("bits")) for k, b in kinds.items()]))
+    counts = bitmaps.counts_by_period(sets.select(*keys, F.lit(1).alias("n"), each.alias("_e")).select(*keys, "n", "_e.*"), [*keys, "kind"])
+    wide = counts.groupBy(*keys, "period_idx").agg(*[F.max(F.when(F.col("kind") == k, F.col("nb"))).alias(k) for k in kinds])
     return (
-        counts.join(period_table(rows, keys).drop("nb_periods"), [*keys, "period_idx"])
+        periods.where(F.col("period_idx") > max(offsets))
+        .join(wide, [*keys, "period_idx"], "left")
+        .select(*keys, F.col("date").alias(period), *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
         .withColumn("overlap_size", F.col("nb_common") / slicing * 100)
-        .drop("period_idx")
-        .withColumnRenamed("date", period)
     )
 
 
@@ -178,26 +166,24 @@ def flux_by_lag(
 ) -> DataFrame:
     """For every period and lag: share that is new since, and share that is gone.
 
-    Entities are first counted by their pattern of periods, so a pattern
-    shared by many is expanded once; lags run over periods only.
+    Entities are counted by their set of periods. A set meets itself at every lag up to its own span, as one row of bits for
+    each lag, and these are summed by position; so the rows before the sum grow with the lags, not with pairs of periods.
     """
-    idx = with_period_idx(panel, keys, source)
-    patterns = stage(presence(idx, keys, entity).groupBy(*keys, "periods").agg(F.count("*").alias("n")), "patterns")
-    sizes = patterns.select(*keys, "n", F.explode("periods").alias("period_idx")).groupBy(*keys, "period_idx").agg(
-        F.sum("n").alias("size")
-    )
+    periods, last = stored_periods(panel if source is None else source, keys)
+    idx = with_period_idx(panel, keys, periods=periods)
+    words = bitmaps.words_for(last)
+    sets = bitmaps.presence_bits(idx, [*keys, entity], F.col("period_idx"), words)
+    patterns = stage(bitmaps.patterns(sets, keys), "patterns")
+    sizes = bitmaps.counts_by_period(patterns, keys).withColumnRenamed("nb", "size")
     t = F.col("period_idx")
     far = F.lit(max_lag if max_lag is not None else 2**31 - 1).cast("bigint")
-    lags = F.when(t > 1, F.sequence(F.lit(1).cast("bigint"), F.least(t - 1, far))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    earlier = F.transform(F.filter("periods", lambda s: (s < t) & (t - s <= far)), lambda s: t - s)
-    common = (
-        patterns.select(*keys, "n", "periods", F.explode("periods").alias("period_idx"))
-        .select(*keys, "n", "period_idx", F.explode(earlier).alias("lag"))
-        .groupBy(*keys, "period_idx", "lag")
-        .agg(F.sum("n").alias("common"))
-    )
+    none = F.array().cast("array<bigint>")
+    lags = F.when(t > 1, F.sequence(F.lit(1).cast("bigint"), F.least(t - 1, far))).otherwise(none)
+    span = F.least(bitmaps.span("bits", words), far)
+    own = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_span"))).alias("lag")
+    spans = patterns.withColumn("_span", span).where("_span > 0").select(*keys, "n", "bits", own)
+    shared = spans.withColumn("bits", bitmaps.both(F.col("bits"), bitmaps.later("bits", F.col("lag"), words), words))
+    common = bitmaps.counts_by_period(shared, [*keys, "lag"]).withColumnRenamed("nb", "common")
     past = sizes.select(*keys, F.col("period_idx").alias("_then"), F.col("size").alias("past_size"))
     grid = sizes.withColumn("lag", F.explode(lags)).withColumn("_then", F.col("period_idx") - F.col("lag"))
     return (
@@ -265,38 +251,44 @@ def flow_topics(
 def share_profile(shares: DataFrame, by: Sequence[str], value: str = "perc") -> DataFrame:
     """Mean share over periods with its 95 % error."""
     return shares.groupBy(*by).agg(
-        F.avg(value).alias("avg_perc"),
-        F.stddev_samp(value).alias("std_perc"),
-        error95(value).alias("error"),
+        steady_avg(value).alias("avg_perc"),
+        steady_std(value).alias("std_perc"),
+        steady_error95(value).alias("error"),
         F.count("*").alias("nb_periods"),
     )
 
 
+def volume_sets(
+    labelled: DataFrame, keys: Sequence[str], source: DataFrame | None, entity: str, periods_by: Sequence[str]
+) -> tuple[DataFrame, int]:
+    """(keys, entity, bits, nb_periods) of every entity of a volume, and the longs of a set."""
+    periods, last = stored_periods(labelled if source is None else source, periods_by)
+    idx = with_period_idx(labelled, periods_by, periods=periods)
+    words = bitmaps.words_for(last)
+    return bitmaps.presence_bits(idx, [*keys, entity, "nb_periods"], F.col("period_idx"), words), words
+
+
 def always_present(
     labelled: DataFrame, keys: Sequence[str] = (*EDITION, "volume"), source: DataFrame | None = None,
     entity: str = "page_id", periods_by: Sequence[str] = EDITION,
 ) -> DataFrame:
     """Entities of a volume that it holds in every period."""
-    source = labelled if source is None else source
-    nb = period_table(source, periods_by).select(*periods_by, "nb_periods").distinct()
-    counts = labelled.groupBy(*keys, entity).agg(F.count("*").alias("nb_occurrences"))
-    return attach(counts, nb, periods_by).where("nb_occurrences = nb_periods")
+    sets, words = volume_sets(labelled, keys, source, entity, periods_by)
+    found = sets.withColumn("nb_occurrences", bitmaps.size("bits", words))
+    return found.where("nb_occurrences = nb_periods").select(*dict.fromkeys([*periods_by, *keys]), entity, "nb_occurrences", "nb_periods")
 
 
 def always_present_share(
-    labelled: DataFrame, keys: Sequence[str] = (*EDITION, "volume"), source: DataFrame | None = None
+    labelled: DataFrame, keys: Sequence[str] = (*EDITION, "volume"), source: DataFrame | None = None,
+    entity: str = "page_id", periods_by: Sequence[str] = EDITION,
 ) -> DataFrame:
     """Always-present entities over the entities of each period: mean and deviation."""
-    common = always_present(labelled, keys, source).groupBy(*keys).agg(F.count("*").alias("nb_common"))
+    sets, words = volume_sets(labelled, keys, source, entity, periods_by)
+    patterns = stage(bitmaps.patterns(sets, [*keys, "nb_periods"]), "patterns")
+    common = patterns.groupBy(*keys).agg(F.sum(F.when(bitmaps.size("bits", words) == F.col("nb_periods"), F.col("n"))).alias("nb_common"))
     share = F.coalesce("nb_common", F.lit(0)) / F.col("nb") * 100
-    return (
-        labelled.groupBy(*keys, "date")
-        .agg(F.count("*").alias("nb"))
-        .join(common, list(keys), "left")
-        .groupBy(*keys)
-        .agg(
-            F.coalesce(F.max("nb_common"), F.lit(0)).alias("nb_common"),
-            F.avg(share).alias("avg_share"),
-            F.stddev_samp(share).alias("std_share"),
-        )
+    return bitmaps.counts_by_period(patterns, keys).join(common, list(keys), "left").groupBy(*keys).agg(
+        F.coalesce(F.max("nb_common"), F.lit(0)).alias("nb_common"),
+        F.avg(share).alias("avg_share"),
+        F.stddev_samp(share).alias("std_share"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelytics.plans.joins import attach
+from panelytics.plans.joins import attach, few
 
 
 def period_table(source: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -25,14 +25,22 @@ def period_table(source: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def stored_periods(source: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """``period_table``, stored once for all who read it in one plan, and its highest position."""
+    periods = few(period_table(source, keys))
+    return periods, periods.agg(F.max("period_idx")).first()[0] or 0
+
+
 def with_period_idx(
-    panel: DataFrame, keys: Sequence[str] = (), source: DataFrame | None = None
+    panel: DataFrame, keys: Sequence[str] = (), source: DataFrame | None = None, periods: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``period_idx`` and ``nb_periods``: position among existing periods.
 
     ``source`` gives the periods where ``panel`` may lack some, or where they
-    are cheaper to read elsewhere.
+    are cheaper to read elsewhere; ``periods`` gives them ready made and stored.
     """
+    if periods is not None:
+        return panel.join(periods, [*keys, "date"])
     source = panel if source is None else source
     return attach(panel, period_table(source, keys), [*keys, "date"])
 
