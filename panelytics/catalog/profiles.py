@@ -608,3 +608,34 @@ def t7_p(t: Tables):
     return rounded(tests, 6, *Z, "p_greater", "p_less", "p_two_sided")
 
 
+
+
+TESTED = """n1, n2, u1, u2, round(z_greater, 6) AS z_greater, round(z_less, 6) AS z_less, round(z_two_sided, 6) AS z_two_sided"""
+
+
+@query(
+    "t7_stable_views",
+    f"""WITH {curve_sql('v_supply')}, lb AS (SELECT project, date, page_id, tot_count_views, volume FROM vol
+      UNION ALL SELECT project, date, page_id, tot_count_views, 'all' FROM vol),
+    np AS (SELECT project, COUNT(DISTINCT date) AS np FROM v_supply GROUP BY 1),
+    oc AS (SELECT lb.*, CASE WHEN COUNT(*) OVER (PARTITION BY project, volume, page_id) = np THEN 1 ELSE 2 END AS side, tot_count_views AS v
+        FROM lb JOIN np USING (project)),
+    {mann_whitney_sql('oc', 'project, volume, date')} SELECT project, volume, date, {TESTED} FROM tt""",
+)
+def t7_stable(t: Tables):
+    rows = lifetime.with_baseline(t.volumes("v_supply"))
+    tests = cohorts.stable_view_tests(rows, source=t.view("v_supply"))
+    return rounded(tests, 6, *Z).drop("p_greater", "p_less", "p_two_sided")
+
+
+@query(
+    "t7_degrees",
+    f"""WITH {LABELLED}, d AS (SELECT project, volume, 'in' AS degree_type, in_main AS v FROM lb JOIN v_meta USING (page_id)
+      UNION ALL SELECT project, volume, 'out', out_main FROM lb JOIN v_meta USING (page_id)),
+    sd AS (SELECT project, degree_type, 'core-tail' AS comparison, CASE volume WHEN 'core' THEN 1 ELSE 2 END AS side, v FROM d WHERE volume <> 'all'
+      UNION ALL SELECT project, degree_type, 'tail-all', CASE volume WHEN 'tail' THEN 1 ELSE 2 END, v FROM d WHERE volume <> 'core'),
+    {mann_whitney_sql('sd', 'project, degree_type, comparison')} SELECT project, degree_type, comparison, {TESTED} FROM tt""",
+)
+def t7_degree(t: Tables):
+    tests = cohorts.degree_tests(enrich.degrees(labelled(t), t.view("v_meta")))
+    return rounded(tests, 6, *Z).drop("p_greater", "p_less", "p_two_sided")

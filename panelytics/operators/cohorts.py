@@ -185,3 +185,24 @@ def seen_before_creation(panel: DataFrame, meta: DataFrame, keys: Sequence[str]
     """Rows dated before the creation of their entity, with its number of rows."""
     seen = lifetime.with_occurrences(panel, [*keys, "page_id"], "nb_occ")
     return seen.join(meta.select("page_id", "creation_date"), "page_id").where("creation_date > date").distinct()
+
+
+def stable_view_tests(
+    labelled: DataFrame, group: Sequence[str] = lifetime.VOLUME, nb_periods: int | None = None, source: DataFrame | None = None
+) -> DataFrame:
+    """Rank tests of the views of always-present entities (first side) against the others, per group and period."""
+    rows = lifetime.with_stability(labelled, group, nb_periods, source)
+    return mann_whitney(rows, WEIGHT, F.col("stable"), ~F.col("stable"), [*group, "date"])
+
+
+def degree_tests(
+    degrees: DataFrame, pairs: Sequence[tuple[str, str]] = (("core", "tail"), ("tail", "all")), keys: Sequence[str] = ("project",)
+) -> DataFrame:
+    """Rank tests of degrees between volumes, per kind of degree; ``degrees`` has every row under its volume and under ``all``."""
+    sides = [
+        F.when(F.col("volume") == v, F.struct(F.lit(f"{one}-{two}").alias("comparison"), F.lit(i).alias("side")))
+        for one, two in pairs
+        for i, v in ((1, one), (2, two))
+    ]
+    rows = degrees.select(*keys, "degree_type", "degree", F.explode(F.array_compact(F.array(*sides))).alias("_s")).select(*keys, "degree_type", "degree", "_s.*")
+    return mann_whitney(rows, "degree", F.col("side") == 1, F.col("side") == 2, [*keys, "degree_type", "comparison"])
