@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelytics.catalog.registry import curve_sql, query
+from panelytics.catalog.registry import curve_sql, labels_sql, query
 from panelytics.operators import hinge, ranks
 from panelytics.plans.joins import few
 from panelytics.plans.views import Tables
@@ -86,9 +86,12 @@ def h3(t: Tables):
     )
 
 
+LABELS = labels_sql("v_panel", "page_id, page, tot_count_views")
+
+
 @query(
     "h4_core_extraction",
-    f"WITH {CURVE} SELECT project, date, page_id, page, tot_count_views, rank FROM vol WHERE volume = 'core'",
+    f"WITH {LABELS} SELECT project, date, page_id, page, tot_count_views, rank FROM lb WHERE volume = 'core'",
 )
 def h4(t: Tables):
     return hinge.core(t.view("v_panel")).select("project", "date", "page_id", "page", "tot_count_views", "rank")
@@ -96,7 +99,7 @@ def h4(t: Tables):
 
 @query(
     "h5_tail_extraction",
-    f"WITH {CURVE} SELECT project, date, page_id, page, tot_count_views, rank FROM vol WHERE volume = 'tail'",
+    f"WITH {LABELS} SELECT project, date, page_id, page, tot_count_views, rank FROM lb WHERE volume = 'tail'",
 )
 def h5(t: Tables):
     return hinge.tail(t.view("v_panel")).select("project", "date", "page_id", "page", "tot_count_views", "rank")

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelytics.catalog.registry import curve_sql, query
+from panelytics.catalog.registry import curve_sql, labels_sql, query
 from panelytics.operators import divergence, hinge, identity, lifetime, overlap, ranks
 from panelytics.plans.views import Tables
 
@@ -425,7 +425,8 @@ def labelled(t: Tables) -> DataFrame:
 
 @query(
     "l1_period_offsets",
-    f"""WITH {CURVE} SELECT project, volume, page_id, date_diff('month', date, DATE '2001-12-01') AS months_before FROM vol""",
+    f"""WITH {labels_sql('v_panel', 'page_id')} SELECT project, volume, page_id,
+      (2001 - year(date)) * 12 + 12 - month(date) AS months_before FROM lb""",
 )
 def l1(t: Tables):
     return lifetime.month_offsets(t.volumes(), dt.date(2001, 12, 1)).select(

@@ -67,3 +67,15 @@ hg AS (SELECT {by}, arg_min(perc_views, rank) AS hinge_perc, arg_min(perc_rank,
        FROM gr WHERE d_perc_views <= CAST(100 AS DOUBLE) / nb_pages GROUP BY {by}),
 vol AS (SELECT pc.*, hinge_perc, hinge_rank, CASE WHEN perc_views <= hinge_perc THEN 'core' ELSE 'tail' END AS volume
         FROM pc JOIN hg USING ({by}))"""
+
+
+def labels_sql(panel: str, columns: str) -> str:
+    """Fragment ``lb`` with ``columns``, rank and volume only: one window order, no column that is not asked for."""
+    return f"""
+od AS (SELECT project, date, {columns}, row_number() OVER w AS rank, COUNT(*) OVER (PARTITION BY project, date) AS n,
+    CAST(SUM(tot_count_views) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) / CAST(SUM(tot_count_views) OVER (PARTITION BY project, date) AS BIGINT) * 100 AS perc
+    FROM {panel} WINDOW w AS (PARTITION BY project, date ORDER BY tot_count_views DESC, page_id)),
+sl AS (SELECT project, date, perc, n, (lead(perc) OVER w - lag(perc) OVER w) / 2 AS d FROM od WINDOW w AS (PARTITION BY project, date ORDER BY rank)),
+hp AS (SELECT project, date, MIN(perc) AS hinge FROM sl WHERE d <= CAST(100 AS DOUBLE) / n GROUP BY project, date),
+lb AS (SELECT od.project, od.date, {columns}, rank, CASE WHEN perc <= hinge THEN 'core' ELSE 'tail' END AS volume
+    FROM od JOIN hp ON hp.project = od.project AND hp.date = od.date)"""
