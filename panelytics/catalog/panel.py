@@ -234,6 +234,16 @@ def p8(t: Tables):
     return filters.key_sample(t.view("v_panel"), "page_id", 0.1, seed=2023)
 
 
+@query(
+    "p8_exact_sample",
+    """SELECT project, date, page_id, page, tot_count_views FROM (SELECT *, row_number() OVER (PARTITION BY project, date
+      ORDER BY substr(md5(page_id || ':2023'), 1, 15), page_id) AS k FROM v_panel) WHERE k <= 40""",
+)
+def p8_exact(t: Tables):
+    sampled = filters.exact_sample(t.view("v_panel"), ["project", "date"], 40, "page_id", seed=2023)
+    return sampled.select("project", "date", "page_id", "page", "tot_count_views")
+
+
 @query(
     "p9_null_fill_drop",
     """SELECT project, date, page, page_id, COALESCE(desktop_views, 0) AS desktop_views, mobile_views FROM (

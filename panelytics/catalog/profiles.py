@@ -143,6 +143,22 @@ def a8(t: Tables):
     return rounded(rounded(tests, 6, *Z), 9, "threshold").drop("p_greater", "p_less", "p_two_sided", "significant")
 
 
+@query(
+    "a8_equal_samples",
+    f"""WITH {AGES}, ol AS (SELECT project, i, page_id, age FROM gd WHERE flow = 'incoming' AND creation_date <= DATE '1996-12-01'),
+    sd1 AS (SELECT project, i AS pair, 2 AS side, page_id, age AS v FROM ol UNION ALL SELECT project, i + 6, 1, page_id, age FROM ol),
+    ct AS (SELECT *, row_number() OVER (PARTITION BY project, pair, side ORDER BY substr(md5(page_id || ':2023'), 1, 15), page_id) AS k,
+        COUNT_IF(side = 1) OVER (PARTITION BY project, pair) AS c1, COUNT_IF(side = 2) OVER (PARTITION BY project, pair) AS c2 FROM sd1),
+    sd2 AS (SELECT project, pair, side, v FROM ct WHERE k <= least(c1, c2)),
+    {mann_whitney_sql('sd2', 'project, pair')}
+    SELECT *, round(0.05 / COUNT(*) OVER (PARTITION BY project), 9) AS threshold FROM tt""",
+)
+def a8_equal(t: Tables):
+    flux = aged(t).where("flow = 'incoming'").drop("period_idx", "nb_periods")
+    tests = cohorts.old_flux_tests(flux, dt.date(1996, 12, 1), lag=6, source=t.view("v_panel"), equal=2023)
+    return rounded(rounded(tests, 6, *Z), 9, "threshold").drop("p_greater", "p_less", "p_two_sided", "significant")
+
+
 @query(
     "a9_from_tail_histogram",
     f"""WITH {PREVIOUS}, h AS (SELECT project, date, creation_date FROM pa JOIN v_meta USING (page_id)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from panelytics import WEIGHT
 from panelytics.operators import lifetime
+from panelytics.operators.filters import exact_sample
 from panelytics.operators.overlap import with_share
 from panelytics.operators.statistics import mann_whitney
 from panelytics.plans.calendar import with_period_idx
+from panelytics.plans.joins import attach
 
 EDITION = ("project",)
 
@@ -109,11 +111,12 @@ def old_flux_tests(
     level: float = 0.05,
     keys: Sequence[str] = EDITION,
     source: DataFrame | None = None,
+    equal: int | None = None,
 ) -> DataFrame:
     """Are the ages of old incoming entities alike in two periods ``lag`` apart?
 
-    Every period is tested against the one ``lag`` positions earlier, on all
-    rows; ``significant`` compares with the level divided by the tests made.
+    Every period is tested against the one ``lag`` positions earlier, on all rows, or, with the seed ``equal``, on samples
+    that are as large as the smaller side of each pair; ``significant`` compares with the level divided by the tests made.
     Ages at the later period are compared with ages at the earlier one.
     """
     old = with_period_idx(flux.where(F.col("creation_date") <= F.lit(created_by)), keys, source)
@@ -121,7 +124,13 @@ def old_flux_tests(
         F.struct(F.col("period_idx").alias("pair"), F.lit(2).alias("side")),
         F.struct((F.col("period_idx") + lag).alias("pair"), F.lit(1).alias("side")),
     )
-    sides = old.withColumn("_p", F.explode(both)).select(*keys, "_p.pair", "_p.side", "age_in_months")
+    sides = old.withColumn("_p", F.explode(both)).select(*keys, "_p.pair", "_p.side", "page_id", "age_in_months")
+    if equal is not None:
+        pair = [*keys, "pair"]
+        sides = sides.where("age_in_months IS NOT NULL")
+        sizes = sides.groupBy(*pair).agg(F.least(F.count_if(F.col("side") == 1), F.count_if(F.col("side") == 2)).alias("_size"))
+        sized = attach(sides, sizes.where("_size > 0"), pair)
+        sides = exact_sample(sized, [*pair, "side"], F.col("_size"), "page_id", equal).drop("_size")
     tests = mann_whitney(sides, "age_in_months", F.col("side") == 1, F.col("side") == 2, [*keys, "pair"])
     # One row per test: the window over all of them is small.
     per_edition = Window.partitionBy(*keys)

@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelytics.functions.namespaces import NAMESPACE_TERMS, SPECIAL_PAGES
+from panelytics.plans.joins import attach
 
 
 def as_list(values: Sequence[str], name: str) -> list[str]:
@@ -148,5 +149,37 @@ def key_sample(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataF
     return df.where(key_slot(F.col(key), seed) < int(fraction * SLOTS))
 
 
+# Leading bits of the hash that tell the cells of an exact sample.
+SAMPLE_CELL_BITS, HASH_DIGITS = 12, 15
+
+
+def sample_order(key: Column, seed: int) -> Column:
+    """The order of an exact sample: fifteen hexadecimal digits of an MD5 that every database has."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, HASH_DIGITS), 16, 10).cast("bigint")
+
+
+def exact_sample(df: DataFrame, by: Sequence[str], size: Column | int, key: str, seed: int = 0) -> DataFrame:
+    """Exactly ``size`` rows of each group (all, if it has fewer), the same ones whatever the layout: those of smallest hash.
+
+    ``size`` may be a column that is constant in its group. Rows are counted in cells of the hash's leading bits; cells before
+    the last one are taken whole and only the last one is sorted, so neither the group nor the sample passes one task. Rows of
+    equal keys are taken in the order of the key; keys should be unique in a group. Null groups are groups, null keys come last.
+    """
+    size = F.lit(size) if isinstance(size, int) else size
+    order = F.when(F.col(key).isNull(), F.lit(1 << 60)).otherwise(sample_order(F.col(key), seed))
+    own = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_g{i}") for i, c in enumerate(by)]
+    group = [f"_g{i}" for i in range(len(by))]
+    rows = df.select("*", *own, order.alias("_h"), size.cast("bigint").alias("_k"))
+    rows = rows.withColumn("_cell", F.shiftright("_h", 4 * HASH_DIGITS - SAMPLE_CELL_BITS))
+    cells = rows.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    placed = attach(rows, cells.withColumn("_skip", before), [*group, "_cell"])
+    whole = placed.where(F.col("_skip") + F.col("_n") <= F.col("_k"))
+    last = placed.where((F.col("_skip") < F.col("_k")) & (F.col("_skip") + F.col("_n") > F.col("_k")))
+    place = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy("_h", key))
+    last = last.withColumn("_place", place).where(F.col("_place") <= F.col("_k") - F.col("_skip"))
+    return whole.select(*df.columns).unionByName(last.select(*df.columns))
+
+
 def fill_views(df: DataFrame, columns: Sequence[str], value: int = 0) -> DataFrame:
     return df.fillna(value, subset=list(columns))
