@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelytics.catalog.registry import curve_sql, labels_sql, query
-from panelytics.operators import divergence, hinge, identity, lifetime, overlap, ranks
+from panelytics.operators import divergence, hinge, identity, increments, lifetime, overlap, ranks
 from panelytics.plans.views import Tables
+from panelytics.session import stage_folder
 
 CURVE = curve_sql("v_panel")
 
@@ -314,17 +315,27 @@ def o6(t: Tables):
     return overlap.outgoing(t.core(), source=t.view("v_panel")).select("project", "date", "last_date", "page_id")
 
 
-@query(
-    "o7_flux_sizes",
-    f"""WITH {FLUX}, s AS (SELECT project, date, COUNT(*) AS n, CASE WHEN COUNT(flow) > 0 THEN CAST(COUNT_IF(flow = 'incoming') AS BIGINT) END AS ni,
+FLUX_SIZES = f"""WITH {FLUX}, s AS (SELECT project, date, COUNT(*) AS n, CASE WHEN COUNT(flow) > 0 THEN CAST(COUNT_IF(flow = 'incoming') AS BIGINT) END AS ni,
         CASE WHEN COUNT(leaves) > 0 THEN CAST(COUNT_IF(leaves) AS BIGINT) END AS no FROM fx GROUP BY 1, 2)
     SELECT project, date, n AS nb_tot_pages, ni AS nb_incoming, no AS nb_outgoing, round(ni / n * 100, 6) AS perc_incoming,
-      round(no / n * 100, 6) AS perc_outgoing FROM s""",
-)
+      round(no / n * 100, 6) AS perc_outgoing FROM s"""
+
+
+@query("o7_flux_sizes", FLUX_SIZES)
 def o7(t: Tables):
     return rounded(overlap.flux_sizes(marked(t)), 6, "perc_incoming", "perc_outgoing")
 
 
+@query("o7_incremental_flux", FLUX_SIZES)
+def o7_incremental(t: Tables):
+    """The panel in three additions: all but two months, the last month, and the one before it."""
+    panel, folder = t.view("v_panel"), stage_folder(t.spark, "store")
+    late = [r[0] for r in panel.select("date").distinct().orderBy(F.desc("date")).limit(2).collect()]
+    for part in (~F.col("date").isin(late), F.col("date") == late[0], F.col("date") == late[-1]):
+        increments.add_periods(t.spark, folder, panel.where(part))
+    return rounded(increments.flux(t.spark, folder), 6, "perc_incoming", "perc_outgoing")
+
+
 BY_LAG = f"""{CURVE}, dd AS (SELECT project, date, row_number() OVER (PARTITION BY project ORDER BY date) AS i FROM (SELECT DISTINCT project, date FROM v_panel)),
     cx AS (SELECT vol.project, page_id, i FROM vol JOIN dd USING (project, date) WHERE volume = 'core'),
     sz AS (SELECT project, i, COUNT(*) AS size FROM cx GROUP BY 1, 2),
