@@ -5,8 +5,9 @@ the row. A shard more takes rows only into itself, a shard less gives away only
 proportional to its weight. All of it is column functions; texts are read once for size and checksum and not moved.
 
 Slots: rows of a shard are put in cells by a second hash of the key, cells are numbered by a running count over the
-small table of cell sizes, and rows are numbered inside their cell. A key that holds very many rows (repeated rows) is
-spread by a third hash over the content, and after that by row; so no task sorts more than a cell.
+small table of cell sizes, and rows are numbered inside their cell. Where keys repeat so often that a cell holds four times what
+it should, its rows are spread over parts by their content and row; so no task sorts more than that. Slots of keys that do not
+repeat depend on the keys and the number of rows alone, not on files.
 
 Defined results: null text has no bytes (size 8, checksum 0). A null key hashes as the empty text. Repeated rows go
 to the same shard and get slots of their own, in no given order among rows that are equal. Other columns do not matter.
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelytics.plans.joins import attach
 from panelytics.session import stage
 
 
@@ -54,15 +56,18 @@ def assign(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = rows.select("doc_id", "size", "text_crc32", own["shard"].alias("shard"), F.when(more < own, more["shard"]).otherwise(own["shard"]).alias("grown_shard"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "dealt")
     cells = max(1, -(-rows.count() // (settings.cell_rows * len(settings.weights))))
-    # Rows that repeat one key would share a cell; the row number spreads them. It is fixed, as it is stored.
-    cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(cells)).cast("int")
-    rows = rows.withColumn("cell", cell)
-    sizes = rows.groupBy("shard", "cell").count()
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("shard", "cell", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "row"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
+    parts = F.ceil(F.col("count") / F.lit(settings.cell_rows)).cast("int")
+    heavy = rows.groupBy("shard", "cell").count().where(F.col("count") > 4 * settings.cell_rows).select("shard", "cell", parts.alias("parts"))
+    # The row number that spreads rows of one key is fixed, as it is stored.
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.col("parts")), F.lit(0)).cast("int")
+    rows = attach(rows, heavy, ["shard", "cell"], "left").withColumn("part", part).drop("parts")
+    place = ["shard", "cell", "part"]
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy(*place).count().select(*place, F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*place).orderBy("doc_id", "text_crc32", "row"))
     numbered = rows.withColumn("inside", inside)
-    return numbered.join(offsets, ["shard", "cell"]).select(
+    return numbered.join(offsets, place).select(
         "doc_id",
         "size",
         "text_crc32",

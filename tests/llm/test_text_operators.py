@@ -275,6 +275,19 @@ def test_wrapped_licenses(spark):
     assert kept == "c you must retain copyright holders be"
 
 
+def test_slots_do_not_depend_on_files(spark):
+    """Distinct keys have the same slots in every layout; a key that repeats fills parts of its cell without gaps."""
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat('t', id % 7) AS text")
+    settings = sharding.Settings(weights=(1.0, 1.0, 2.0), cell_rows=50)
+    layouts = [sorted(map(tuple, sharding.assign(docs.repartition(n, "text"), settings).collect())) for n in (1, 5)]
+    assert layouts[0] == layouts[1]
+    hot = docs.unionByName(spark.range(2_000).selectExpr("CAST(5 AS BIGINT) AS doc_id", "'same' AS text"))
+    got = sharding.assign(hot, settings).collect()
+    for s in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_sharding_law(spark, odd, nothing):
     settings = sharding.Settings(weights=(1.0, 2.0, 1.0), cell_rows=7)
     rows = plain(odd)
