@@ -12,7 +12,8 @@ blank. What counts as found, by the number of characters of an item:
 An Aho-Corasick automaton of all pieces finds the hits in one pass over the text. A hit of an item that is compared as a whole
 is verified with its diagonal by Myers' bit-parallel distance to the best-fitting part of the text. A hit of a longer item
 is first extended to both sides, as far as each number of edits allows, so that hits anywhere in a part find it; the part
-is then verified by the same distance. Hits inside a stretch that has been extended already are passed over.
+is then verified by the same distance. Before that, one side must hold so many of the item's three-character grams as a
+half of the part within the budget is sure to keep. Hits inside a stretch that has been extended already are passed over.
 
 The items are read in blocks of at most ``block`` characters, so a benchmark of any size is a number of passes over the
 documents, each with an automaton of bounded size. Documents are never shuffled.
@@ -112,6 +113,18 @@ def reach(own: str, text: str, budget: int) -> list[tuple[int, int]]:
     return out
 
 
+def same(own: str, text: str) -> int:
+    """The length of the common beginning."""
+    n = min(len(own), len(text))
+    if own[:n] == text[:n]:
+        return n
+    return next(i for i in range(n) if own[i] != text[i])
+
+
+def grams(text: str) -> list[str]:
+    return [text[i : i + 3] for i in range(len(text) - 2)]
+
+
 def bits_of(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -164,15 +177,31 @@ class Matcher:
                 best, end = score, at
         return best, end
 
+    def likely(self, k: int, own: str, text: str) -> bool:
+        """Whether ``text`` keeps enough grams of the half of a part that ``own`` begins with; each edit takes three at most."""
+        half = (self.settings.passage - (self.settings.passage + 1) // (self.budgets[k] + 2)) // 2
+        need = half - 2 - 3 * self.budgets[k]
+        if len(own) < half:
+            return False
+        there = set(grams(text[: half + self.budgets[k]]))
+        return sum([g in there for g in grams(own[:half])]) >= need
+
     def extended(self, k: int, start: int, size: int, text: str, at: int) -> tuple[tuple[int, int, int] | None, int]:
         """The best part of a long item around the piece at ``start`` that is found at ``at``, and the end of its exact stretch."""
         own, passage, budget = self.texts[k], self.settings.passage, self.budgets[k]
-        right = reach(own[start + size : start + size + passage], text[at + size : at + size + passage + budget], budget)
-        exact = at + size + right[0][0]
         room = min(start, passage)
+        ahead, behind = own[start + size : start + size + passage], own[start - room : start][::-1]
+        after, before = text[at + size : at + size + passage + budget], text[max(0, at - passage - budget) : at][::-1]
+        i, j = same(behind, before), same(ahead, after)
+        exact = at + size + j
+        if i + size + j >= passage:
+            return (0, at - i, exact), exact
+        if not (self.likely(k, ahead, after) or self.likely(k, behind, before)):
+            return None, exact
+        right = reach(ahead, after, budget)
         if room + size + right[budget][0] < passage:
             return None, exact
-        left = reach(own[start - room : start][::-1], text[max(0, at - passage - budget) : at][::-1], budget)
+        left = reach(behind, before, budget)
         for d in range(budget + 1):
             for e in range(d + 1):
                 (i, x), (j, y) = left[e], right[d - e]
