@@ -147,6 +147,7 @@ class Matcher:
         self.items = list(by_text.values())
         self.budgets = [0 if len(t) < least else min(len(t), passage) // rate for t in self.texts]
         self.masks = [bits_of(t) if least <= len(t) <= passage else {} for t in self.texts]
+        self.halves: dict[str, list[str]] = {}
         wanted: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (t, budget) in enumerate(zip(self.texts, self.budgets, strict=True)):
             for start, piece in grid(t, passage, budget) if len(t) > passage else pieces(t, budget):
@@ -183,8 +184,13 @@ class Matcher:
         need = half - 2 - 3 * self.budgets[k]
         if len(own) < half:
             return False
+        own = own[:half]
+        if own not in self.halves:
+            if len(self.halves) >= 16_384:
+                self.halves.clear()
+            self.halves[own] = grams(own)
         there = set(grams(text[: half + self.budgets[k]]))
-        return sum([g in there for g in grams(own[:half])]) >= need
+        return sum([g in there for g in self.halves[own]]) >= need
 
     def extended(self, k: int, start: int, size: int, text: str, at: int) -> tuple[tuple[int, int, int] | None, int]:
         """The best part of a long item around the piece at ``start`` that is found at ``at``, and the end of its exact stretch."""
