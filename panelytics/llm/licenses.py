@@ -115,12 +115,26 @@ KNOWN = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
-# Lines of a copyright notice, with what may stand before it in a comment: a sign, a year or a placeholder follows the word, so
-# that lines of wrapped text which open with "copyright holders" or "(c)" stay.
+# Headings under which the texts are distributed. A text is known under each of them and without one.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT-0 License"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "The BSD 3-Clause License"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+
+# What may stand before a line in a comment.
+_MARGIN = r"[ \t*/#;.<>-]*"
+# Lines of a copyright notice: a sign, a year or a placeholder follows the word, so that lines of wrapped text which open with
+# "copyright holders" or "(c)" stay; at the beginning of a text or after an empty line, where no wrapped line can be, nothing need follow.
 _DATED = r"(19|20)[0-9][0-9]|[\[<{]|yyyy"
-_COPYRIGHT = rf"(?m)^[ \t*/#;.<>-]*(copyright[ \t:,]*(\(c\)|©|{_DATED})|\(c\)[ \t]*(copyright|{_DATED})|©)[^\n]*$"
-# The SQL twin drops every line that opens with the word. Then what the form does not keep.
-_COPYRIGHT_SQL = r"(?m)^[ \t*/#;.<>-]*(copyright|\(c\)|©)[^\n]*$"
+_FIRST = rf"(\A|\n{_MARGIN}\n){_MARGIN}copyright[^\n]*"
+_COPYRIGHT = rf"(?m)^{_MARGIN}(copyright[ \t:,]*(\(c\)|©|{_DATED})|\(c\)[ \t]*(copyright|{_DATED})|©)[^\n]*$"
+_RESERVED = rf"(?m)^{_MARGIN}all rights reserved[ \t.]*$"
+NOTICES = (_FIRST, _COPYRIGHT, _RESERVED)
 # Typographic quotes, dashes and blanks (U+0080-00BF, U+2000-303F) count as punctuation.
 _KEPT = "[^a-z0-9\\x{C0}-\\x{1FFF}\\x{3040}-\\x{10FFFF}]+"
 
@@ -129,7 +143,8 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     form = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     form = F.regexp_replace(form, "\r\n?", "\n")
-    form = F.regexp_replace(form, _COPYRIGHT, " ")
+    for notice in NOTICES:
+        form = F.regexp_replace(form, notice, "\n")
     form = F.concat(F.lit(" "), F.regexp_replace(form, _KEPT, " "), F.lit(" "))
     for other, one in SPELLINGS:
         form = F.replace(form, F.lit(f" {other}"), F.lit(f" {one}"))
@@ -137,10 +152,11 @@ def canonical(text: Column) -> Column:
 
 
 def canonical_sql(text: str) -> str:
-    """The form in DuckDB's SQL; it differs where a line opens with "copyright" and is no notice."""
+    """The same form in DuckDB's SQL."""
     form = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     form = f"regexp_replace({form}, '\\r\\n?', chr(10), 'g')"
-    form = f"regexp_replace({form}, '{_COPYRIGHT_SQL}', ' ', 'g')"
+    for notice in NOTICES:
+        form = f"regexp_replace({form}, '{notice}', chr(10), 'g')"
     form = f"' ' || regexp_replace({form}, '{_KEPT}', ' ', 'g') || ' '"
     for other, one in SPELLINGS:
         form = f"replace({form}, ' {other}', ' {one}')"
@@ -152,8 +168,17 @@ def digest(form: Column) -> Column:
     return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
+def forms() -> list[tuple[str, str]]:
+    """Name and text of all that is known: texts under each of their headings and without, and one-line notices."""
+    out = []
+    for name, text in KNOWN.items():
+        body = text.split("\n\n", 1)[1] if name in HEADINGS else text
+        out += [(name, body), *((name, f"{heading}\n\n{body}") for heading in HEADINGS.get(name, ()))]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "name string, text string")
+    return spark.createDataFrame(forms(), "name string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -167,7 +192,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def scan_sql() -> str:
     """``scan`` of the documents with the texts above, for DuckDB."""
-    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN.items())
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in forms())
     return f"""WITH known(name, text) AS (VALUES {rows}),
 form AS (SELECT name, {canonical_sql('text')} AS f FROM known),
 digests AS (SELECT sha256(f) AS digest, min(name) AS license FROM form WHERE f <> '' GROUP BY 1),

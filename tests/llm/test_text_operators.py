@@ -9,6 +9,7 @@ import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -256,8 +257,39 @@ def test_license_forms(spark, nothing):
     assert all((r["license"] == "MIT") == (r["doc_id"] is None or r["doc_id"] < len(same)) for r in got)
     assert licenses.scan(nothing, licenses.known_licenses(spark)).count() == 0
     assert licenses.scan(docs, licenses.known_licenses(spark).limit(0)).where("license IS NOT NULL").count() == 0
-    forms = licenses.known_licenses(spark).select(licenses.digest(licenses.canonical("text"))).distinct().count()
-    assert forms == len(licenses.KNOWN)
+    forms = licenses.known_licenses(spark).select("name", licenses.digest(licenses.canonical("text")).alias("d")).distinct()
+    assert forms.count() == forms.select("d").distinct().count() == len(licenses.forms())
+
+
+def licence_files() -> list[tuple[str, str]]:
+    """Files as they are found: headings of other kinds or none, undated holders, rights reserved on a line of their own."""
+    body = {n: t.split("\n\n", 1)[1] for n, t in licenses.KNOWN.items() if n in licenses.HEADINGS}
+    mit, bsd, isc = body["MIT"], body["BSD-3-Clause"], body["ISC"]
+    return [
+        ("BSD-3-Clause", "Copyright (c) 2015, Foo\nAll rights reserved.\n\n" + bsd),
+        ("MIT", mit),
+        ("MIT", "MIT License\n\nCopyright Jane Doe and contributors\n\n" + mit),
+        ("BSD-3-Clause", "Copyright 2020 Foo\n\n" + bsd),
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2014 Foo\n\n" + mit),
+        ("BSD-3-Clause", "// Copyright 2020 The Foo Authors. All rights reserved.\n//\n" + "\n".join("// " + x for x in textwrap.wrap(bsd, 70))),
+        ("ISC", "ISC License\n\nCopyright Foo <a@b.c>\n\n" + isc.replace(" copyright notice and this", "\ncopyright notice and this")),
+        ("0BSD", "Copyright Foo\n" + body["0BSD"]),
+    ]
+
+
+def test_licence_files_in_spark_and_in_the_twin(spark):
+    """One rule: the twin makes the same forms, also of wrapped texts and of notices that are none."""
+    files = licence_files()
+    odd = [("", "(c) You must retain\ncopyright holders be"), ("", "a\n\ncopyright x\nb"), ("", "© 2020\n all rights reserved .\nall rights reserved to me"), ("", None), ("", "")]
+    odd += [(n, "\n".join(textwrap.wrap(t, w))) for n, t in licenses.KNOWN.items() for w in (40, 63, 90)]
+    rows = [(i, t) for i, (_, t) in enumerate(files + odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["digest"]) for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [got[i][0] for i in range(len(files))] == [n for n, _ in files]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {i: (lic, d) for i, d, lic in con.execute(licenses.scan_sql()).fetchall()} == got
 
 
 def test_wrapped_licenses(spark):
