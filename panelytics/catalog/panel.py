@@ -32,6 +32,30 @@ def s1(t: Tables):
     return dumps.read_counts(t.spark, folder).select("project", "page", "page_id", "access_type", "counts", "date")
 
 
+@query(
+    "s1_rejected_rows",
+    """WITH c AS (SELECT date, counts, CASE WHEN counts % 10 = 3 THEN 'value' WHEN counts % 10 = 7 THEN 'columns' ELSE 'kept' END AS reason FROM v_counts)
+    SELECT 'pageviews-' || strftime(date, '%Y%m') || '-user' AS dump, reason, COUNT(*) AS nb,
+      CAST(SUM(CASE WHEN reason = 'kept' THEN counts END) AS BIGINT) AS counts FROM c GROUP BY 1, 2""",
+)
+def s1_rejects(t: Tables):
+    """A dump in which counts that end with 3 are no numbers and rows of counts that end with 7 lack a column."""
+    folder = stage_folder(t.spark, "damaged")
+    last = F.col("counts") % 10
+    fields = [
+        "project", F.replace("page", F.lit(" "), F.lit("_")), F.coalesce("page_id", F.lit("null")), "access_type",
+        F.when(last == 3, F.concat("counts", F.lit("x"))).otherwise(F.col("counts").cast("string")), F.when(last != 7, "A1"),
+    ]
+    name = F.concat(F.lit("pageviews-"), F.date_format("date", "yyyyMM"), F.lit("-user"))
+    t.view("v_counts").select(F.concat_ws(" ", *fields).alias("value"), name.alias("dump")).repartition("dump").write.partitionBy(
+        "dump"
+    ).text(folder, compression="gzip")
+    rows, bad = dumps.read_counts_and_rejects(t.spark, folder)
+    kept = rows.select("dump", F.lit("kept").alias("reason"), "counts")
+    lost = bad.select(F.regexp_extract("file", "dump=([^/]*)", 1).alias("dump"), "reason", F.lit(None).cast("bigint").alias("counts"))
+    return kept.unionByName(lost).groupBy("dump", "reason").agg(F.count("*").alias("nb"), F.sum("counts").alias("counts"))
+
+
 @query("s2_transition_dump_scan", "SELECT 'aa' AS project, date, prev, curr, type, count FROM v_links")
 def s2(t: Tables):
     folder = stage_folder(t.spark, "links")
