@@ -74,10 +74,15 @@ def padded(rows: np.ndarray) -> np.ndarray:
 
 
 def exact(rows: np.ndarray, *others: np.ndarray) -> np.dtype:
-    """64-bit numbers if scaled squared distances are sure to fit, else Python's."""
+    """The narrowest numbers that scaled squared distances are sure to fit: 32 bits, 64, or Python's.
+
+    With P coefficients and components of L at most, the squares of all coefficients of a difference add up to P times its
+    squared length, which is P (2 L)^2 at most; no part of the sum and no coefficient exceeds that.
+    """
     largest = max((int(abs(int(m))) for r in (rows, *others) if r.size for m in (r.min(), r.max())), default=0)
-    width = 2 * max(1, rows.shape[1])
-    return np.dtype(np.int64) if width**3 * (2 * largest) ** 2 < 1 << 62 else np.dtype(object)
+    width = 1 << max(0, rows.shape[1] - 1).bit_length()
+    most = (2 * width * largest) ** 2
+    return np.dtype(np.int32) if most < 1 << 31 else np.dtype(np.int64) if most < 1 << 62 else np.dtype(object)
 
 
 def nearest(rows: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +92,7 @@ def nearest(rows: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarr
     rows, entries = (walsh(padded(x.astype(kind)))[:, order] for x in (rows, entries))
     width, step = len(order), max(1, len(order) // 8)
     columns = np.ascontiguousarray(entries.T)
-    index, distance = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=kind)
+    index, distance = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=object if kind == object else np.int64)
     for low in range(0, len(rows), CHUNK):
         x = rows[low : low + CHUNK]
         sums, done, bound = np.zeros((len(x), len(entries)), dtype=kind), 0, None

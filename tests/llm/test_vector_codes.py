@@ -92,7 +92,7 @@ def test_fewer_rows_than_entries_and_huge_components(spark):
 @given(st.data())
 def test_nearest_is_exact(data):
     width = data.draw(st.integers(1, 9))
-    number = st.integers(-3, 3) | st.integers(-(2**40), 2**40)
+    number = data.draw(st.sampled_from([st.integers(-3, 3), st.integers(-1_500, 1_500), st.integers(-(2**26), 2**26), st.integers(-(2**40), 2**40)]))
     rows = data.draw(st.lists(st.lists(number, min_size=width, max_size=width), min_size=1, max_size=8))
     books = data.draw(st.lists(st.lists(number, min_size=width, max_size=width), min_size=1, max_size=12))
     index, apart = vector_codes.nearest(np.array(rows), np.array(books))
@@ -100,6 +100,17 @@ def test_nearest_is_exact(data):
     assert [(int(d), int(k)) for d, k in zip(apart, index)] == want
 
 
+@pytest.mark.parametrize(("width", "largest"), [(16, 1_447), (16, 1_448), (3, 5_792), (3, 5_793), (16, 67_108_863), (16, 67_108_864)])
+def test_widest_components_of_each_kind_of_numbers(width, largest):
+    """On both sides of the bounds, with the differences that make the largest coefficients."""
+    rng = np.random.default_rng(largest)
+    signs = rng.choice([-1, 1], (40, width))
+    rows, books = np.concatenate([signs, np.ones((1, width), dtype=np.int64)]) * largest, np.concatenate([-signs[:20], -np.ones((1, width), dtype=np.int64)]) * largest
+    index, apart = vector_codes.nearest(rows, books)
+    whole = [[sum((int(a) - int(b)) ** 2 for a, b in zip(r, e)) for e in books] for r in rows]
+    assert [(int(d), int(k)) for d, k in zip(apart, index)] == [min((d, k) for k, d in enumerate(w)) for w in whole]
+
+
 def test_transform_keeps_distances_and_orders_by_sign_changes():
     for width in (1, 2, 8, 32):
         order = vector_codes.sequency(width)
