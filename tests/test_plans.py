@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from panelytics.operators import filters, hinge, identity, overlap, ranks
 from panelytics.plans.joins import attach
+from panelytics.plans.views import Tables
 from panelytics.sources import dumps
 from panelytics.streaming.arrivals import append_arrivals, arriving_counts
 
@@ -133,3 +134,13 @@ def test_arrivals_are_taken_up_once(spark, tmp_path):
     }
     batch = dumps.read_counts(spark, [f"{inbox}/pageviews-202001-user"])
     assert batch.count() == 2
+
+
+@pytest.mark.parametrize("name", ["v_panel", "v_panel_all"])
+def test_a_panel_is_summed_in_one_shuffle(spark, name):
+    """The shuffle that sums the rows also lays them by edition and period, and all editions need no second one."""
+    views = Tables(spark, FOLDER)
+    moved = [line for line in plan(views.plan(name)).splitlines() if "Arguments: hashpartitioning" in line and "partkey" not in line]
+    assert len(moved) == 1 and "_part" in moved[0]
+    ours, text = views.plan(name), views._build(name)
+    assert ours.columns == text.columns and ours.exceptAll(text).isEmpty() and text.exceptAll(ours).isEmpty()
