@@ -57,15 +57,19 @@ def align_pairs(
     each row goes once; the counts of a pair come back as one row.
     """
     rows = ranked.select(*keys, "date", "page_id", "page", "fractional_rank")
-    pair = [*keys, "pair"]
     # Counted per pair and then read again, in other columns: written out once.
     wide = stage(neighbours(rows, keys, source) if top is None else top_sides(rows, keys, source, top), "aligned")
+    return filled_ranks(wide, pair_dates(ranked if source is None else source, keys), keys)
+
+
+def filled_ranks(wide: DataFrame, dates: DataFrame, keys: Sequence[str] = EDITION) -> DataFrame:
+    """``wide`` (both ranks, null where absent; read twice) with the pair's dates and counts, and absent ranks filled."""
+    pair = [*keys, "pair"]
     sizes = wide.groupBy(*pair).agg(
         F.count("prev_rank_1").alias("n1"),
         F.count("prev_rank_2").alias("n2"),
         F.count(F.col("prev_rank_1") + F.col("prev_rank_2")).alias("n_both"),
     ).where("n1 > 0 and n2 > 0")
-    dates = pair_dates(ranked if source is None else source, keys)
     full = attach(wide, sizes.join(dates, pair), pair)
     return full.withColumn(
         "rank_1", F.coalesce("prev_rank_1", F.col("n1") + 0.5 * (F.col("n2") - F.col("n_both")))
@@ -240,17 +244,26 @@ def grouped_salient_pages(
     ``ungrouped`` takes half of ``m`` from either end of the signed divergence
     instead of the ``m`` greatest. A star marks the last ranks of the whole frame.
     """
-    # Read for the last ranks and for the top: written out once.
-    with_topic = stage(divs.join(topics, "page_id"), "topics")
+    return salient_of_top(top_with_topic(divs, topics, group, lim), group, m, ungrouped)
+
+
+def top_with_topic(divs: DataFrame, topics: DataFrame, group: Sequence[str], lim: int = 99) -> DataFrame:
+    """The first ``lim`` entities of each group that have a topic, with place and sign; a star marks the last ranks of all rows.
+
+    The frame is read for the last ranks and for the top; only the top is written out.
+    """
+    lasts = divs.join(topics.select("page_id"), "page_id", "left_semi").agg(F.max("rank_1"), F.max("rank_2")).first()
     strongest = Window.partitionBy(*group).orderBy(F.col("div").desc(), "page_id")
-    top = with_topic.withColumn("divr", F.row_number().over(strongest)).where(F.col("divr") <= lim)
+    top = divs.join(topics, "page_id").withColumn("divr", F.row_number().over(strongest)).where(F.col("divr") <= lim)
     sign = F.when(F.col("rank_2") < F.col("rank_1"), 1).otherwise(-1)
-    last_1 = with_topic.select(F.max("rank_1")).scalar()
-    last_2 = with_topic.select(F.max("rank_2")).scalar()
-    star = (F.col("rank_1") == last_1) | (F.col("rank_2") == last_2)
-    top = top.withColumn("div_sign", sign * F.col("div")).withColumn(
+    star = (F.col("rank_1") == F.lit(lasts[0])) | (F.col("rank_2") == F.lit(lasts[1]))
+    return stage(top.withColumn("div_sign", sign * F.col("div")).withColumn(
         "page", F.when(star, F.concat("page", F.lit("*"))).otherwise(F.col("page"))
-    )
+    ), "topics")
+
+
+def salient_of_top(top: DataFrame, group: Sequence[str], m: int = 20, ungrouped: bool = False) -> DataFrame:
+    """The rows that ``grouped_salient_pages`` shows, of ``top_with_topic``."""
     if not ungrouped:
         return top.where(F.col("divr") <= m)
     up = Window.partitionBy(*group).orderBy(F.col("div_sign").desc(), "page_id")
