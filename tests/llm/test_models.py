@@ -10,6 +10,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelytics.llm import gru, lm_scoring, multi_index, toxicity, url_filter
 
@@ -282,3 +283,12 @@ def test_walk_is_by_summed_distance():
     assert multi_index.walk(first, second, sizes, 10**9) == [c for _, c in order]
     part = multi_index.walk(first, second, sizes, 7)
     assert part == [c for _, c in order][: len(part)] and sizes[part].sum() >= 7 > sizes[part[:-1]].sum()
+
+
+def test_trees_learn_from_every_labelled_url(spark, monkeypatch):
+    seen, fit = [], url_filter.GBTClassifier.fit
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    host = F.when(F.col("id") % 2 == 0, "a.com/en/").otherwise("b.net/es/")
+    pages = spark.range(30_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), host, F.col("id").cast("string")).alias("url"))
+    assert url_filter.judge(pages, RULES).where("rule IS NULL").isEmpty()
+    assert seen == [30_000]
