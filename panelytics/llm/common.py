@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,14 @@ def built(kind: str, source: Broadcast, make: Callable):
     return _BUILT[kind][1]
 
 
+def drop_built() -> None:
+    """Lets go of what earlier operators built in this worker, which outlives their stages, and gives the memory back."""
+    if _BUILT:
+        _BUILT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text (null: empty), modulo ``modulus``."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelytics.llm.common import slices, texts
+from panelytics.llm.common import drop_built, slices, texts
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
@@ -82,6 +82,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (with the end id) and decoded text for every row of ``docs``; ``path`` names the model's file."""
 
     def run(batches):
+        drop_built()
         if path not in _TABLES:
             _TABLES.clear()
             _TABLES[path] = ChunkTable(path)

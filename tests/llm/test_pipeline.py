@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+import pyarrow as pa
+
 import corpus_pipeline
-from panelytics.llm import decontaminate, simhash, toxicity
+from panelytics.llm import common, decontaminate, pieces, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +64,20 @@ def test_every_operator_is_registered_once():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and {"op6_license_scan", "op11_merkle_manifest", "op13_vector_codes"} <= set(entry.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "sentencepiece"]
+
+
+def test_an_encoding_stage_keeps_nothing_of_earlier_ones(spark):
+    """Workers outlive the stages; what the toxicity and benchmark stages built must not stay beside the chunk table."""
+    docs = spark.createDataFrame([(1, "one two")], "doc_id bigint, text string").coalesce(1)
+
+    def leave(batches):
+        common._BUILT["toxicity"] = (None, bytes(1000))
+        yield from batches
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._BUILT)] * batch.num_rows, pa.int32())], ["n"])
+
+    docs.mapInArrow(leave, docs.schema).collect()
+    pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert [r.n for r in docs.mapInArrow(left, "n int").collect()] == [0]
