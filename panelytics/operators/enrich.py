@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from panelytics.functions.statistics import log2_ratio, steady_avg, steady_error95, steady_std
 from panelytics.functions.topics import most_specific, parse_topics
+from panelytics.operators.lifetime import with_baseline
 from panelytics.operators.overlap import with_share
+from panelytics.plans.joins import stream_past
 
 VOLUME = ("project", "volume")
 
@@ -50,9 +52,16 @@ def edition_metadata(meta: DataFrame, project: str) -> DataFrame:
 
 def topic_counts(panel: DataFrame, topics: DataFrame, by: Sequence[str] = (*VOLUME, "date")) -> DataFrame:
     """Rows per topic; each (entity, topic) counts once."""
-    return panel.join(topics.select("page_id", "topic").distinct(), "page_id").groupBy(*by, "topic").agg(
-        F.count("*").alias("nb_pages")
-    )
+    joined = stream_past(panel, topics.select("page_id", "topic").distinct(), ["page_id"])
+    return joined.groupBy(*by, "topic").agg(F.count("*").alias("nb_pages"))
+
+
+def topic_counts_with_baseline(
+    panel: DataFrame, topics: DataFrame, by: Sequence[str] = (*VOLUME, "date"), name: str = "all"
+) -> DataFrame:
+    """``topic_counts`` of the volumes and of the whole panel, which is their sum: rows meet their topics once."""
+    counts = with_baseline(topic_counts(panel, topics, by), name)
+    return counts.groupBy(*by, "topic").agg(F.sum("nb_pages").alias("nb_pages"))
 
 
 def topic_shares(counts: DataFrame, by: Sequence[str] = VOLUME) -> DataFrame:
@@ -111,7 +120,7 @@ def topic_enrichment(panel: DataFrame, topics: DataFrame, keys: Sequence[str] =
 
     Topics missing in either volume drop out, as there is no log of zero.
     """
-    joined = panel.join(topics.select("page_id", "topic").distinct(), "page_id")
+    joined = stream_past(panel, topics.select("page_id", "topic").distinct(), ["page_id"])
     inside = F.count_if(F.col("volume") == "core"), F.count_if(F.col("volume") == "tail")
     counts = joined.groupBy(*keys, "topic").agg(
         F.count("*").alias("nb_tot"), inside[0].alias("nb_high"), inside[1].alias("nb_low")
@@ -161,7 +170,7 @@ def one_sided_topics(sides: DataFrame, topics: DataFrame) -> DataFrame:
     )
     views = F.coalesce("desktop_views", "mobile_views")
     return (
-        alone.join(topics.select("page_id", "topic").distinct(), "page_id")
+        stream_past(alone, topics.select("page_id", "topic").distinct(), ["page_id"])
         .select("side", "topic", "page", views.alias("_v"))
         .distinct()
         .groupBy("side", "topic")
