@@ -40,6 +40,8 @@ from panelytics.llm.common import built, slices, texts
 from panelytics.session import stage
 
 OTHER = re.compile(r"[\W_]+")
+# The same runs but for single blanks, which stay as they are.
+UNLIKE_BLANK = re.compile(r"[\W_](?:[\W_]+|(?<! ))")
 
 
 @dataclass(frozen=True)
@@ -51,19 +53,16 @@ class Settings:
 
 
 def normalised(text: str) -> str:
-    return OTHER.sub(" ", text.lower()).strip()
+    return UNLIKE_BLANK.sub(" ", text.lower()).strip()
 
 
 def positions(text: str) -> list[int]:
     """For each character of ``normalised(text)`` the place in ``text`` that it comes from."""
-    lower, place = [], []
-    for i, c in enumerate(text):
-        own = c.lower()
-        lower.append(own)
-        place += [i] * len(own)
-    joined = "".join(lower)
-    if joined != text.lower():  # a letter that depends on its neighbours keeps its length
-        joined = text.lower()
+    joined = text.lower()
+    if len(joined) == len(text):  # no letter becomes shorter, so each has kept its length
+        place = list(range(len(text)))
+    else:  # a letter that depends on its neighbours keeps its length
+        place = [i for i, c in enumerate(text) for _ in c.lower()]
     out, at = [], 0
     for m in OTHER.finditer(joined):
         out += place[at : m.start()]
@@ -115,10 +114,10 @@ def reach(own: str, text: str, budget: int) -> list[tuple[int, int]]:
 
 def same(own: str, text: str) -> int:
     """The length of the common beginning."""
-    n = min(len(own), len(text))
-    if own[:n] == text[:n]:
-        return n
-    return next(i for i in range(n) if own[i] != text[i])
+    for i, (a, b) in enumerate(zip(own, text, strict=False)):
+        if a != b:
+            return i
+    return min(len(own), len(text))
 
 
 def grams(text: str) -> list[str]:
@@ -147,7 +146,7 @@ class Matcher:
         self.items = list(by_text.values())
         self.budgets = [0 if len(t) < least else min(len(t), passage) // rate for t in self.texts]
         self.masks = [bits_of(t) if least <= len(t) <= passage else {} for t in self.texts]
-        self.halves: dict[str, list[str]] = {}
+        self.halves: dict[str, tuple[list[str], list[str]]] = {}
         wanted: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (t, budget) in enumerate(zip(self.texts, self.budgets, strict=True)):
             for start, piece in grid(t, passage, budget) if len(t) > passage else pieces(t, budget):
@@ -188,9 +187,14 @@ class Matcher:
         if own not in self.halves:
             if len(self.halves) >= 16_384:
                 self.halves.clear()
-            self.halves[own] = grams(own)
-        there = set(grams(text[: half + self.budgets[k]]))
-        return sum([g in there for g in self.halves[own]]) >= need
+            all_ = grams(own)
+            cut = len(all_) * 2 // 3
+            self.halves[own] = all_[:cut], all_[cut:]
+        first, rest = self.halves[own]
+        there = text[: half + self.budgets[k]]
+        kept = sum([g in there for g in first])
+        # Mostly the first grams tell already that the others are too few.
+        return kept + len(rest) >= need and kept + sum([g in there for g in rest]) >= need
 
     def extended(self, k: int, start: int, size: int, text: str, at: int) -> tuple[tuple[int, int, int] | None, int]:
         """The best part of a long item around the piece at ``start`` that is found at ``at``, and the end of its exact stretch."""
