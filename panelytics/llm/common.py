@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: By kind: a broadcast's value and what was made of it, kept for the tasks that a Python worker runs one after another.
+#: Workers outlive stages and executors have two or more of them, so a worker keeps one kind at a time.
 _BUILT: dict[str, tuple[object, object]] = {}
 
 
@@ -20,9 +21,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def built(kind: str, source: Broadcast, make: Callable):
-    """``make(source.value)``, once for a worker; only the last of a kind is kept."""
+    """``make(source.value)``, once for a worker; what was built before of this or another kind is let go."""
     value = source.value
     if kind not in _BUILT or _BUILT[kind][0] is not value:
+        drop_built()
         _BUILT[kind] = (value, make(value))
     return _BUILT[kind][1]
 
@@ -56,10 +58,15 @@ def hash_share(share: float, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(cells)) < F.lit(int(min(1.0, share) * cells))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a slice holds one row or at most about ``limit`` bytes of ``column`` (bytes)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a slice holds one row or at most about ``limit`` bytes of ``column`` (bytes or lists of ints).
+
+    What a task makes of a slice, often several times its size, is held beside the batch, in every worker of an executor.
+    """
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        values = batch.column(column)
+        lengths = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype("int64")
         block, at = (sizes.cumsum() // limit), 0
         while at < batch.num_rows:
             end = max(at + 1, int(block.searchsorted(block[at], side="right")))
