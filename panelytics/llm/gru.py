@@ -72,13 +72,14 @@ def initial(shape: Shape, counts: np.ndarray, seed: int) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _log_total(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+def _relative(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp(x - top) in the place of x, and the sums of its rows; the tops are 0 unless values are so large that they must be taken off."""
+    top = 0.0
+    if x.size and max(x.max(), -x.min()) > 60:
+        top = x.max(axis=1)
+        x -= top[:, None]
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], dtype=x.dtype), top
 
 
 def by_class(shape: Shape, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
@@ -92,25 +93,62 @@ def by_class(shape: Shape, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[in
 def log_probability(shape: Shape, p: dict, classes: np.ndarray, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of p(class | state) p(symbol | class, state) for each row."""
     kinds = classes[targets]
-    logits = states @ p["class_w"] + p["class_b"]
-    out = (logits[np.arange(len(kinds)), kinds] - _log_total(logits)).astype(np.float64)
     order, spans = by_class(shape, kinds)
-    states, targets, inside = states[order], targets[order], np.zeros(len(order))
+    states, targets, at = states.take(order, axis=0), targets[order], np.arange(len(order))
+
+    def log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+        picked = logits[at[: len(own)], own]
+        sums, top = _relative(logits)
+        return picked - top - np.log(sums)
+
+    logits = states @ p["class_w"]
+    logits += p["class_b"]
+    logs = log_share(logits, kinds[order]).astype(np.float64)
     for a, b, low, high in spans:
-        inner = states[a:b] @ p["word_w"][:, low:high] + p["word_b"][low:high]
-        inside[a:b] = inner[np.arange(b - a), targets[a:b] - low] - _log_total(inner)
-    out[order] += inside
+        inner = states[a:b] @ p["word_w"][:, low:high]
+        inner += p["word_b"][low:high]
+        logs[a:b] += log_share(inner, targets[a:b] - low)
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
-def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 1024, rows: int = 8_192) -> np.ndarray:
+def _by_gate(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What each symbol sends to the gates and the candidate, and the weights of the state, one block for each of the three.
+
+    Both gates are halved, which is exact: a gate is half a tanh of half its sum, plus one half.
+    """
+    h = len(p["u"])
+    half = np.array([0.5, 0.5, 1.0], dtype=p["u"].dtype)[:, None, None]
+    w, b, u = (p[k].reshape(-1, 3, h).transpose(1, 0, 2) * half for k in ("w", "b", "u"))
+    inputs = np.matmul(p["embed"], w)
+    inputs += b
+    return inputs, u
+
+
+def _step(gates: np.ndarray, g: np.ndarray, state: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """One step of all lanes: ``gates`` (from the inputs) become both gates and the candidate, ``out`` the new state."""
+    both, new = gates[:2], gates[2]
+    both += g[:2]
+    np.tanh(both, out=both)
+    both *= 0.5
+    both += 0.5
+    new += both[0] * g[2]
+    np.tanh(new, out=new)
+    np.subtract(state, new, out=out)
+    out *= both[1]
+    out += new
+    return out
+
+
+def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 1024, rows: int = 16_384) -> np.ndarray:
     """Natural log probability of each sequence of symbols, in the order given.
 
     Sequences of like length run side by side; a state is kept for every sequence until it ends.
     """
     p, h = unpack(shape, flat), shape.hidden
     classes = np.repeat(np.arange(len(shape.edges) - 1), np.diff(shape.edges))
-    inputs = p["embed"] @ p["w"] + p["b"]
+    inputs, u = _by_gate(p)
     total = np.zeros(len(texts))
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -121,28 +159,24 @@ def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int =
             break
         flat_text = np.concatenate([texts[i] for i in own])
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        state = np.zeros((len(own), h), dtype=np.float32)
         live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # sequences longer than t
-        held, wanted, whose, n_held = [], [], [], 0
-        for t in range(size[0]):
-            n = live[t]
-            now = flat_text[starts[:n] + t]
-            x = inputs[flat_text[starts[:n] + t - 1]] if t else inputs[np.full(n, shape.start)]
-            s = state[:n]
-            g = s @ p["u"]
-            gates = _sigmoid(x[:, : 2 * h] + g[:, : 2 * h])
-            new = np.tanh(x[:, 2 * h :] + gates[:, :h] * g[:, 2 * h :])
-            new += gates[:, h:] * (s - new)
-            state[:n] = new
-            held.append(new)
-            wanted.append(now)
-            whose.append(n)
-            n_held += n
-            if n_held >= rows or t == size[0] - 1:
-                logs = log_probability(shape, p, classes, np.concatenate(held), np.concatenate(wanted))
-                lane = np.concatenate([np.arange(n) for n in whose])
-                total[own] += np.bincount(lane, weights=logs, minlength=len(own))
-                held, wanted, whose, n_held = [], [], [], 0
+        bounds = np.concatenate([[0], np.cumsum(live)])
+        state = np.zeros((live[0], h), dtype=flat.dtype)
+        t = 0
+        while t < size[0]:
+            end = min(int(np.searchsorted(bounds, bounds[t] + rows)), int(size[0]))
+            steps, lane = np.repeat(np.arange(t, end), live[t:end]), np.arange(bounds[t], bounds[end]) - np.repeat(bounds[t:end], live[t:end])
+            place = starts[lane] + steps
+            wanted, given = flat_text[place], flat_text[place - 1]
+            if t == 0:
+                given[: live[0]] = shape.start
+            held, low = np.empty((len(lane), h), dtype=flat.dtype), 0
+            for n in live[t:end].tolist():
+                state = _step(inputs.take(given[low : low + n], axis=1), np.matmul(state[:n], u), state[:n], held[low : low + n])
+                low += n
+            logs = log_probability(shape, p, classes, held, wanted)
+            total[own] += np.bincount(lane, weights=logs, minlength=len(own))
+            t = end
     return total
 
 
@@ -153,82 +187,85 @@ def gradient(shape: Shape, p: dict, classes: np.ndarray, x: np.ndarray, y: np.nd
     fills up the lanes and counts nowhere. Returns the gradient, the state after the window and the mean loss.
     """
     steps, lanes = x.shape
-    h = shape.hidden
-    embed = p["embed"][x]
-    inputs = embed @ p["w"] + p["b"]
-    before, after, gates, news, recs = [], [], [], [], []
+    h, kind = shape.hidden, p["u"].dtype
+    x, y = np.ascontiguousarray(x), np.ascontiguousarray(y)  # windows of lanes are far apart in memory
+    inputs, u = _by_gate(p)
+    gates = np.empty((steps, 3, lanes, h), dtype=kind)
+    before, after, recs = (np.empty((steps, lanes, h), dtype=kind) for _ in range(3))
+    begins = x == shape.start
+    anew = begins.any(axis=1)
     for t in range(steps):
-        begins = x[t] == shape.start
-        if begins.any():
-            state = np.where(begins[:, None], np.float32(0), state)
-        g = state @ p["u"]
-        gate = _sigmoid(inputs[t][:, : 2 * h] + g[:, : 2 * h])
-        new = np.tanh(inputs[t][:, 2 * h :] + gate[:, :h] * g[:, 2 * h :])
-        before.append(state)
-        state = new + gate[:, h:] * (state - new)
-        after.append(state)
-        gates.append(gate)
-        news.append(new)
-        recs.append(g[:, 2 * h :])
+        before[t] = state
+        if anew[t]:
+            before[t, begins[t]] = 0
+        g = np.matmul(before[t], u)
+        recs[t] = g[2]
+        state = _step(inputs.take(x[t], axis=1, out=gates[t], mode="clip"), g, before[t], after[t])
     out = {name: np.zeros_like(v) for name, v in p.items()}
-    states, targets = np.concatenate(after), y.reshape(-1)
-    there = np.flatnonzero(targets >= 0)
-    if len(there) < len(targets):
-        states, targets = states[there], targets[there]
-    n = len(targets)
-    kinds = classes[targets]
-    logits = states @ p["class_w"] + p["class_b"]
-    logs = _log_total(logits)
-    loss = float((logs - logits[np.arange(n), kinds]).sum())
-    soft = np.exp(logits - logs[:, None])
-    soft[np.arange(n), kinds] -= 1
-    out["class_w"] += states.T @ soft / n
-    out["class_b"] += soft.sum(axis=0) / n
-    d_states = soft @ p["class_w"].T
-    order, spans = by_class(shape, kinds)
-    sorted_states, wanted, d_sorted = states[order], targets[order], np.zeros_like(states)
+    # The tokens in the order of their classes.
+    there = np.flatnonzero(y.reshape(-1) >= 0)
+    targets = y.reshape(-1)[there]
+    order, spans = by_class(shape, classes[targets])
+    targets, order = targets[order], there[order]
+    states = after.reshape(steps * lanes, h).take(order, axis=0)
+    n = len(order)
+    at, ones, loss = np.arange(n), np.ones(n, dtype=kind), 0.0
+
+    def slopes(logits: np.ndarray, own: np.ndarray) -> float:
+        """The loss of rows whose wanted columns are ``own``; its slopes take the place of the logits."""
+        rows = at[: len(own)]
+        picked = logits[rows, own]
+        sums, top = _relative(logits)
+        logits *= (1 / (sums * n))[:, None]
+        logits[rows, own] -= 1 / n
+        return float((np.log(sums) + top - picked).sum())
+
+    soft = states @ p["class_w"]
+    soft += p["class_b"]
+    loss += slopes(soft, classes[targets])
+    out["class_w"][:] = (soft.T @ states).T
+    out["class_b"][:] = ones @ soft
+    d_rows = soft @ p["class_w"].T
     for a, b, low, high in spans:
-        s, here, at = sorted_states[a:b], wanted[a:b] - low, np.arange(b - a)
-        inner = s @ p["word_w"][:, low:high] + p["word_b"][low:high]
-        inner -= inner.max(axis=1)[:, None]
-        soft = np.exp(inner)
-        mass = soft.sum(axis=1)
-        loss += float((np.log(mass) - inner[at, here]).sum())
-        soft /= mass[:, None]
-        soft[at, here] -= 1
-        out["word_w"][:, low:high] = s.T @ soft / n
-        out["word_b"][low:high] = soft.sum(axis=0) / n
-        d_sorted[a:b] = soft @ p["word_w"][:, low:high].T
-    d_states[order] += d_sorted
-    d_all = np.zeros((steps * lanes, h), dtype=states.dtype)
-    d_all[there] = d_states / n
+        own, weights = states[a:b], p["word_w"][:, low:high]
+        soft = own @ weights
+        soft += p["word_b"][low:high]
+        loss += slopes(soft, targets[a:b] - low)
+        out["word_w"][:, low:high] = own.T @ soft
+        out["word_b"][low:high] = ones[: b - a] @ soft
+        d_rows[a:b] += soft @ weights.T
+    d_all = np.zeros((steps * lanes, h), dtype=kind)
+    d_all[order] = d_rows
     d_states = d_all.reshape(steps, lanes, h)
-    d_inputs, d_g = np.empty_like(inputs), np.empty_like(inputs)
-    back = np.zeros((lanes, h), dtype=np.float32)
+    d_gates, d_news = np.empty((steps, lanes, 3 * h), dtype=kind), np.empty_like(recs)
+    back = np.zeros((lanes, h), dtype=kind)
+    by_gate = np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
-        d = d_states[t] + back
-        r, z = gates[t][:, :h], gates[t][:, h:]
-        d_new = d * (1 - z) * (1 - news[t] ** 2)
-        own = d_inputs[t]
-        np.multiply(d_new * recs[t], r * (1 - r), out=own[:, :h])
-        np.multiply(d * (before[t] - news[t]), z * (1 - z), out=own[:, h : 2 * h])
-        own[:, 2 * h :] = d_new
-        d_g[t] = own
-        d_g[t, :, 2 * h :] *= r
-        back = d * z + d_g[t] @ p["u"].T
-        begins = x[t] == shape.start
-        if begins.any():
-            back[begins] = 0
-    out["u"] += np.concatenate(before).T @ d_g.reshape(-1, 3 * h)
-    flat_inputs = d_inputs.reshape(-1, 3 * h)
-    out["w"] += embed.reshape(-1, shape.embedding).T @ flat_inputs
-    out["b"] += flat_inputs.sum(axis=0)
-    # Rows of one symbol are added in runs of the sorted symbols.
+        r, z, new = gates[t]
+        own, d, d_new = d_gates[t], d_states[t], d_news[t]
+        d += back
+        back = d * z
+        np.subtract(d, back, out=d_new)
+        d_new *= 1 - new * new
+        d_rec = d_new * r
+        own[:, 2 * h :] = d_rec
+        d_rec *= recs[t]
+        np.multiply(d_rec, 1 - r, out=own[:, :h])
+        d_z = before[t] - new
+        d_z *= back
+        np.multiply(d_z, 1 - z, out=own[:, h : 2 * h])
+        back += own @ by_gate
+        if anew[t]:
+            back[begins[t]] = 0
+    out["u"][:] = np.matmul(before.transpose(0, 2, 1), d_gates).sum(axis=0)
+    d_gates[:, :, 2 * h :] = d_news  # from here on what the inputs send
+    out["w"][:] = np.matmul(p["embed"].take(x, axis=0).transpose(0, 2, 1), d_gates).sum(axis=0)
+    out["b"][:] = (np.ones(lanes, dtype=kind) @ d_gates).sum(axis=0)
+    d_embed = p["w"] @ d_gates.reshape(steps * lanes, 3 * h).T
     flat_x = x.reshape(-1)
-    order = np.argsort(flat_x, kind="stable")
-    starts = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
-    out["embed"][flat_x[order[starts]]] = np.add.reduceat((flat_inputs @ p["w"].T)[order], starts, axis=0)
-    return out, state, loss / n
+    for k, row in enumerate(d_embed):
+        out["embed"][:, k] = np.bincount(flat_x, weights=row, minlength=len(p["embed"]))
+    return out, state.copy(), loss / n
 
 
 def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 256, window: int = 32, rate: float = 0.01, updates: int = 128) -> np.ndarray:
@@ -257,7 +294,14 @@ def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int =
         g = np.concatenate([v.reshape(-1) for v in g.values()])
         g *= np.float32(min(1.0, 1.0 / (float(np.sqrt(np.dot(g, g))) + 1e-12)))
         first += np.float32(0.1) * (g - first)
-        second += np.float32(0.005) * (g * g - second)
-        size = np.sqrt(second * np.float32(1 / (1 - 0.995**step))) + np.float32(1e-8)
-        flat -= np.float32(rate / (1 - 0.9**step)) * first / size
+        g *= g
+        g -= second
+        g *= np.float32(0.005)
+        second += g
+        np.multiply(second, np.float32(1 / (1 - 0.995**step)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(first, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**step))
+        flat -= g
     return flat

@@ -11,8 +11,9 @@ How the work is spread:
 * Weights are trained in one pass over all training documents, at every size of the input. A hash deals them to the
   rounds, and each replica of a round sees a slice of its own; after each round the replicas' weights are averaged by a
   grouped aggregation over weight positions.
-* Scoring is one pass over the documents. A document's words outside the frequent end are joined to the stored
-  counts by word; no word there is frequent enough to make a hot key.
+* Documents become symbols once, in one pass, with their sums over the frequent words; training and scoring read the stored
+  symbols. A document's words outside the frequent end are joined to the stored counts by word; no word there is frequent
+  enough to make a hot key.
 
 Defined results: null text is empty and has one token, the end. A null id counts as the empty text when its
 remainder is taken, and so trains. Rows are scored one by one, repeated rows alike. No training rows: N = V = 0,
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelytics.llm import gru
-from panelytics.llm.common import built, id_remainder, slices, texts, words
+from panelytics.llm.common import built, drop_built, id_remainder, slices, texts, words
 from panelytics.session import stage
 
 END = b""  # no word is empty
@@ -176,32 +177,67 @@ def _coded(text: bytes, index: dict, vocab: Vocabulary) -> tuple[np.ndarray, np.
     return at, symbols, tail
 
 
-def dealt_rounds(training: DataFrame, vocab: Vocabulary, settings: Settings) -> list[DataFrame]:
-    """The training rows as (key, symbols), each in one of the rounds; a partition is the slice of one replica."""
-    sent = training.sparkSession.sparkContext.broadcast(vocab)
+def coded_rows(docs: DataFrame, vocab: Vocabulary, settings: Settings) -> DataFrame:
+    """Every row of ``docs`` as symbols, with what its score takes from the counts, stored; key: a hash of id and text."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def code(batches):
-        index = built("words", sent, lambda v: v.index())
+        index, vocab = built("words", sent, lambda v: v.index()), sent.value
+        log_count = np.log10(vocab.counts + 1.0)
+        known = vocab.counts > 0
         for batch in slices(batches, "text"):
-            coded = [_coded(t, index, sent.value)[1] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.list_(pa.int32()))], ["key", "symbols"])
+            out: dict[str, list] = {k: [] for k in ("tokens", "known", "base", "rare", "words", "times")}
+            coded = []
+            for text in batch.column(3).to_pylist():
+                at, symbols, tail = _coded(text, index, vocab)
+                inside = at[at >= 0]
+                rare = symbols >= vocab.model_words
+                seen = Counter(tail)
+                out["tokens"].append(len(at))
+                out["known"].append(int(known[inside].sum()))
+                out["base"].append(float(log_count[inside].sum()))
+                out["rare"].append(float(log_count[at[rare & (at >= 0)]].sum() - vocab.rare_log[symbols[rare] - vocab.model_words].sum()))
+                out["words"].append(list(seen))
+                out["times"].append(list(seen.values()))
+                coded.append(symbols)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
+            edges = np.cumsum([0, *out["tokens"]]).astype(np.int32)
+            symbols = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(coded)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, symbols], names)
+
+    names = ["doc_id", "held_out", "key", "tokens", "known", "base", "rare", "words", "times", "symbols"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = id_remainder("doc_id", settings.modulus) == settings.held_out
+    rows = docs.select("doc_id", held.alias("held_out"), F.xxhash64("doc_id", "text").alias("key"), texts(docs).alias("text"))
+    coded = rows.mapInArrow(
+        code,
+        f"doc_id {kind}, held_out boolean, key long, tokens long, known long, base double, rare double, words array<binary>, times array<long>, symbols array<int>",
+    )
+    return stage(coded.withColumn("row", F.monotonically_increasing_id()), "lm-coded")
 
-    rows = training.select(F.xxhash64("doc_id", "text").alias("key"), texts(training).alias("text"))
-    coded = stage(rows.mapInArrow(code, "key long, symbols array<int>"), "lm-coded")
+
+def dealt_rounds(training: DataFrame, vocab: Vocabulary, settings: Settings, coded: DataFrame | None = None) -> list[DataFrame]:
+    """The training rows as (key, symbols), each in one of the rounds; a partition is the slice of one replica.
+
+    ``coded``: the same rows as ``coded_rows`` has stored them, if they are.
+    """
+    coded = coded_rows(training, vocab, settings) if coded is None else coded
     part = F.pmod("key", F.lit(settings.rounds))
-    tokens = dict(coded.groupBy(part).agg(F.sum(F.size("symbols"))).collect())
+    tokens = dict(coded.groupBy(part).agg(F.sum("tokens")).collect())
+    coded = coded.select("key", "symbols")
     # Rounds were chosen by a hash, so any even deal will do; replicas, and what they send, stay in proportion to the rows.
     return [coded.where(part == k).repartition(max(1, round(tokens[k] / settings.replica_tokens))) for k in sorted(tokens)]
 
 
-def trained(training: DataFrame, vocab: Vocabulary, shape: gru.Shape, weights: np.ndarray, settings: Settings) -> np.ndarray:
-    """One pass over all training rows, in rounds of replicas whose weights are averaged in Spark."""
-    spark = training.sparkSession
-    for dealt in dealt_rounds(training, vocab, settings):
-        now = spark.sparkContext.broadcast(weights)
+def trained(rounds: list[DataFrame], shape: gru.Shape, weights: np.ndarray, settings: Settings) -> np.ndarray:
+    """One pass over all rows of the rounds, by replicas whose weights are averaged in Spark after each round."""
+    for dealt in rounds:
+        now = dealt.sparkSession.sparkContext.broadcast(weights)
 
         def replica(batches, now=now):
             gru.one_thread()
+            drop_built()
             rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             own = [np.asarray(s.values, dtype=np.int64) for _, s in sorted(rows, key=lambda r: r[0])]
             if own:
@@ -225,52 +261,37 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     training = docs.where(~held)
     counts = stage(count_words(training), "lm-counts")
     vocab, shape, symbol_counts = vocabulary(counts, settings)
-    weights = trained(training, vocab, shape, gru.initial(shape, symbol_counts, settings.seed), settings)
-    sent = spark.sparkContext.broadcast((vocab, shape, weights))
+    coded = coded_rows(docs, vocab, settings)
+    rounds = dealt_rounds(training, vocab, settings, coded.where(~F.col("held_out")))
+    weights = trained(rounds, shape, gru.initial(shape, symbol_counts, settings.seed), settings)
+    sent = spark.sparkContext.broadcast((shape, weights))
 
     def run(batches):
         gru.one_thread()
-        vocab, shape, weights = sent.value
-        index = built("scored-words", sent, lambda v: v[0].index())
-        log_count = np.log10(vocab.counts + 1.0)
-        known = vocab.counts > 0
-        for batch in slices(batches, "text", 8 << 20):
-            out: dict[str, list] = {k: [] for k in ("tokens", "known", "base", "rare", "words", "times")}
-            coded = []
-            for text in batch.column(2).to_pylist():
-                at, symbols, tail = _coded(text, index, vocab)
-                inside = at[at >= 0]
-                rare = symbols >= vocab.model_words
-                seen = Counter(tail)
-                out["tokens"].append(len(at))
-                out["known"].append(int(known[inside].sum()))
-                out["base"].append(float(log_count[inside].sum()))
-                out["rare"].append(float(log_count[at[rare & (at >= 0)]].sum() - vocab.rare_log[symbols[rare] - vocab.model_words].sum()))
-                out["words"].append(list(seen))
-                out["times"].append(list(seen.values()))
-                coded.append(symbols)
-            model = gru.score(shape, weights, coded) / LOG10
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(model + np.array(out["rare"]))], names)
-
-    names = ["doc_id", "held_out", "tokens", "known", "base", "rare", "words", "times", "model"]
+        drop_built()
+        shape, weights = sent.value
+        for batch in slices(batches, "symbols", 6 << 20):
+            symbols = batch.column(batch.num_columns - 1)
+            own = np.split(symbols.flatten().to_numpy(), np.cumsum(symbols.value_lengths().to_numpy())[:-1])
+            model = gru.score(shape, weights, own) / LOG10
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model)], [*kept, "model"])
+
+    kept = ["row", "doc_id", "held_out", "tokens", "known", "base", "rare"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", held.alias("held_out"), texts(docs).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, tokens long, known long, base double, rare double, words array<binary>, times array<long>, model double"
+    scored = coded.select(*kept, "symbols").mapInArrow(
+        run, f"row long, doc_id {kind}, held_out boolean, tokens long, known long, base double, rare double, model double"
     )
-    scored = stage(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    tail = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     log_c = F.log10(F.col("c") + F.lit(1.0))
     of_tail = tail.join(counts, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * log_c).alias("more"))
     space = math.log10(vocab.total + vocab.distinct + 1)
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("words", "times").join(of_tail, "row", "left").select(
+    return scored.join(of_tail, "row", "left").select(
         "doc_id",
         "held_out",
         F.col("tokens").alias("n_tokens"),
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("tokens") * F.lit(space)).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("model") + F.col("rare") + more).alias("score"),
     )
