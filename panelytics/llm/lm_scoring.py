@@ -12,7 +12,7 @@ How the work is spread:
   rounds, and each replica of a round sees a slice of its own; after each round the replicas' weights are averaged by a
   grouped aggregation over weight positions.
 * Documents become symbols once, in one pass, with their sums over the frequent words; training and scoring read the stored
-  symbols. A document's words outside the frequent end are joined to the stored counts by word; no word there is frequent
+  symbols, which are bytes to Spark (two for a symbol, or four where there are more than 65,536). A document's words outside the frequent end are joined to the stored counts by word; no word there is frequent
   enough to make a hot key.
 
 Defined results: null text is empty and has one token, the end. A null id counts as the empty text when its
@@ -119,6 +119,11 @@ class Vocabulary:
     total: int  # N
     distinct: int  # V
 
+    @property
+    def kind(self) -> np.dtype:
+        """The stored form of a symbol."""
+        return np.dtype("<u2" if self.model_words + SHAPES <= 1 << 16 else "<u4")
+
     def index(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate([*self.table.split(b" "), END] if self.table else [END])}
 
@@ -202,8 +207,7 @@ def coded_rows(docs: DataFrame, vocab: Vocabulary, settings: Settings) -> DataFr
                 coded.append(symbols)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
-            edges = np.cumsum([0, *out["tokens"]]).astype(np.int32)
-            symbols = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(coded)))
+            symbols = pa.array([s.astype(vocab.kind).tobytes() for s in coded], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, symbols], names)
 
     names = ["doc_id", "held_out", "key", "tokens", "known", "base", "rare", "words", "times", "symbols"]
@@ -212,7 +216,7 @@ def coded_rows(docs: DataFrame, vocab: Vocabulary, settings: Settings) -> DataFr
     rows = docs.select("doc_id", held.alias("held_out"), F.xxhash64("doc_id", "text").alias("key"), texts(docs).alias("text"))
     coded = rows.mapInArrow(
         code,
-        f"doc_id {kind}, held_out boolean, key long, tokens long, known long, base double, rare double, words array<binary>, times array<long>, symbols array<int>",
+        f"doc_id {kind}, held_out boolean, key long, tokens long, known long, base double, rare double, words array<binary>, times array<long>, symbols binary",
     )
     return stage(coded.withColumn("row", F.monotonically_increasing_id()), "lm-coded")
 
@@ -230,7 +234,7 @@ def dealt_rounds(training: DataFrame, vocab: Vocabulary, settings: Settings, cod
     return [coded.where(part == k).repartition(max(1, round(tokens[k] / settings.replica_tokens))) for k in sorted(tokens)]
 
 
-def trained(rounds: list[DataFrame], shape: gru.Shape, weights: np.ndarray, settings: Settings) -> np.ndarray:
+def trained(rounds: list[DataFrame], shape: gru.Shape, weights: np.ndarray, settings: Settings, kind: np.dtype) -> np.ndarray:
     """One pass over all rows of the rounds, by replicas whose weights are averaged in Spark after each round."""
     for dealt in rounds:
         now = dealt.sparkSession.sparkContext.broadcast(weights)
@@ -239,7 +243,7 @@ def trained(rounds: list[DataFrame], shape: gru.Shape, weights: np.ndarray, sett
             gru.one_thread()
             drop_built()
             rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            own = [np.asarray(s.values, dtype=np.int64) for _, s in sorted(rows, key=lambda r: r[0])]
+            own = [np.frombuffer(s.as_buffer(), dtype=kind).astype(np.int64) for _, s in sorted(rows, key=lambda r: r[0])]
             if own:
                 out = gru.train(shape, now.value, own, window=settings.window, rate=settings.rate)
                 seen = float(sum(map(len, own)))
@@ -263,23 +267,22 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     vocab, shape, symbol_counts = vocabulary(counts, settings)
     coded = coded_rows(docs, vocab, settings)
     rounds = dealt_rounds(training, vocab, settings, coded.where(~F.col("held_out")))
-    weights = trained(rounds, shape, gru.initial(shape, symbol_counts, settings.seed), settings)
+    weights = trained(rounds, shape, gru.initial(shape, symbol_counts, settings.seed), settings, vocab.kind)
     sent = spark.sparkContext.broadcast((shape, weights))
 
     def run(batches):
         gru.one_thread()
         drop_built()
         shape, weights = sent.value
-        for batch in slices(batches, "symbols", 6 << 20):
-            symbols = batch.column(batch.num_columns - 1)
-            own = np.split(symbols.flatten().to_numpy(), np.cumsum(symbols.value_lengths().to_numpy())[:-1])
+        for batch in slices(batches, "symbols", (3 << 19) * kind.itemsize):
+            own = [np.frombuffer(s.as_buffer(), dtype=kind).astype(np.int32) for s in batch.column(batch.num_columns - 1)]
             model = gru.score(shape, weights, own) / LOG10
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model)], [*kept, "model"])
 
-    kept = ["row", "doc_id", "held_out", "tokens", "known", "base", "rare"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept, kind = ["row", "doc_id", "held_out", "tokens", "known", "base", "rare"], vocab.kind
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
     scored = coded.select(*kept, "symbols").mapInArrow(
-        run, f"row long, doc_id {kind}, held_out boolean, tokens long, known long, base double, rare double, model double"
+        run, f"row long, doc_id {id_kind}, held_out boolean, tokens long, known long, base double, rare double, model double"
     )
     tail = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     log_c = F.log10(F.col("c") + F.lit(1.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 
 from panelytics.llm import gru, lm_scoring
@@ -46,3 +48,15 @@ def test_documents_become_symbols_once(spark, monkeypatch):
     got = lm_scoring.score_documents(docs, lm_scoring.Settings(replica_tokens=1_000, rounds=2)).collect()
     assert len(got) == 42 and len(calls) == 1 and calls[0].count() == 42
     assert {r["doc_id"]: r["tokens"] for r in calls[0].collect()} == {r["doc_id"]: r["n_tokens"] for r in got}
+
+
+def test_stored_symbols_are_bytes_to_spark(spark):
+    """Spark moves a document's symbols as one value; two bytes hold each of them, four if there are too many."""
+    docs = spark.createDataFrame([(1, "one two two"), (2, None), (3, "three " * 50)], "doc_id long, text string")
+    settings = lm_scoring.Settings()
+    vocab, _, _ = lm_scoring.vocabulary(lm_scoring.count_words(docs).cache(), settings)
+    rows = {r["doc_id"]: r for r in lm_scoring.coded_rows(docs, vocab, settings).collect()}
+    index = {**vocab.index(), None: -1}
+    for key, text in ((1, [b"one", b"two", b"two"]), (2, []), (3, [b"three"] * 50)):
+        assert rows[key]["symbols"] == vocab.symbols[[index[w] for w in [*text, b""]]].astype("<u2").tobytes()
+    assert dataclasses.replace(vocab, model_words=70_000).kind == np.dtype("<u4")
